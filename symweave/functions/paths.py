@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ODD = r"//|(^|/)\.\.?(/|$)|.+/$"
-
-
 def normalize_path(path: Column) -> Column:
     """The plain form of a path: forward slashes, no empty or ``.`` parts, ``x/..`` resolved.
 
@@ -29,7 +26,8 @@ def normalize_path(path: Column) -> Column:
 
     parts = F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), step)
     joined = F.concat(F.when(rooted, "/").otherwise(""), F.array_join(parts, "/"))
-    return F.when(p.rlike(_ODD), joined).otherwise(p)
+    odd = F.contains(p, F.lit("//")) | F.contains(p, F.lit("/.")) | F.startswith(p, F.lit(".")) | F.endswith(p, F.lit("/"))
+    return F.when(odd, joined).otherwise(p)
 
 
 def basename(path: Column) -> Column:

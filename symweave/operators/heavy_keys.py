@@ -8,7 +8,7 @@ group any task sees is ``BUCKETS`` counts of one key and rank.
 
 Defined results: a key with a null part is left out on its side and still counts in the total of edges.
 Re-delivered edges count once; where deliveries disagree the one with the largest ``loaded_at`` holds
-(a null ``loaded_at`` is the smallest, ties break by the larger row). A null ``line`` counts in the
+(a null ``loaded_at`` is the smallest, ties break by a hash of the row). A null ``line`` counts in the
 degree and not in the quantiles; a key without any line has null quantiles. The p-quantile of n values is
 the value of rank ``max(1, ceil(p * n))``, always one of the values. Paths are compared in plain form.
 An empty table gives no rows. Columns that are not named here are ignored.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from symweave.functions.paths import normalize_path
-from symweave.operators.skew import HOT, salt_all, salt_many
+from symweave.operators.skew import HOT, key_hash, salt_all, salt_many
 from symweave.runtime import cut
 
 BUCKETS = 1024
@@ -31,32 +31,33 @@ WIDE = 50_000
 _PARTS = ("file", "name", "kind")
 
 
-def _key(prefix: str) -> Column:
-    """The key as a struct, null where any part is null."""
-    f, n, k = (F.col(f"{prefix}_{p}") for p in _PARTS)
-    whole = f.isNotNull() & n.isNotNull() & k.isNotNull()
-    return F.when(whole, F.struct(normalize_path(f).alias("file"), n.alias("name"), k.alias("kind")))
+def _whole(prefix: str) -> Column:
+    f, n, k = (F.col(f"{prefix}_{p}").isNotNull() for p in _PARTS)
+    return f & n & k
 
 
-def _hash(prefix: str) -> Column:
-    key = _key(prefix)
-    return F.when(key.isNotNull(), F.xxhash64(key))
+def _hash(prefix: str) -> tuple[Column, Column]:
+    """The key as two hashes, null where any part of it is null."""
+    hi, lo = key_hash(normalize_path(F.col(f"{prefix}_file")), F.col(f"{prefix}_name"), F.col(f"{prefix}_kind"))
+    return F.when(_whole(prefix), hi), F.when(_whole(prefix), lo)
 
 
-def _latest(edges: DataFrame, *values: Column) -> DataFrame:
-    """One row for each edge_id: the values of its latest delivery."""
-    row = F.struct(F.coalesce(F.unix_micros(F.col("loaded_at").cast("timestamp")), F.lit(-(2**62))).alias("at"), *values)
-    return edges.select("edge_id", row.alias("row")).groupBy("edge_id").agg(F.max("row").alias("row")).select("edge_id", "row.*").drop("at")
+def _latest(edges: DataFrame, **values: Column) -> DataFrame:
+    """One row for each edge_id: the values of its latest delivery.
+
+    All values are numbers, so that the grouping stays a hash aggregation.
+    """
+    at = F.coalesce(F.try_multiply(F.unix_micros(F.col("loaded_at").cast("timestamp")), F.lit(1024)), F.lit(-(2**62)))
+    rows = edges.select("edge_id", *[v.alias(k) for k, v in values.items()], at.alias("at"))
+    order = F.col("at") + F.pmod(F.xxhash64(*values), F.lit(1024))
+    return rows.groupBy("edge_id").agg(*[F.max_by(k, order).alias(k) for k in values])
 
 
-def _sides(to: Column, src: Column) -> Column:
-    """Both ends of an edge as rows ``side, key, other``."""
-    return F.explode(
-        F.array(
-            F.struct(F.lit("to").alias("side"), to.alias("key"), src.alias("other")),
-            F.struct(F.lit("from").alias("side"), src.alias("key"), to.alias("other")),
-        )
-    ).alias("s")
+def _sides(*rest: str) -> Column:
+    """Both ends of an edge as rows ``side, hi, lo, other``."""
+    ends = [("to", "to", "src"), ("from", "src", "to")]
+    parts = [F.struct(F.lit(side).alias("side"), F.col(f"{x}_hi").alias("hi"), *[F.col(f"{x}_{r}").alias(r) for r in rest], F.col(f"{y}_hi").alias("other")) for side, x, y in ends]
+    return F.explode(F.array(*parts)).alias("s")
 
 
 def heavy_hashes(edges: DataFrame, min_share: float) -> tuple[list[tuple[str, int]], int]:
@@ -65,12 +66,11 @@ def heavy_hashes(edges: DataFrame, min_share: float) -> tuple[list[tuple[str, in
     Two keys with one hash count together here, so the list may hold too much and never too little; at
     most ``1 / min_share`` hashes for each side, whatever the size of the data.
     """
-    one = _latest(edges, _hash("dst").alias("to"), _hash("src").alias("src"))
-    counts = one.select(_sides(F.col("to"), F.col("src"))).groupBy("s.side", "s.key").agg(F.count(F.lit(1)).alias("n"))
-    counts = cut(counts)
+    one = _latest(edges, to_hi=_hash("dst")[0], src_hi=_hash("src")[0])
+    counts = cut(one.select(_sides()).groupBy("s.side", "s.hi").agg(F.count(F.lit(1)).alias("n")))
     total = counts.where("side = 'to'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    heavy = counts.where(F.col("key").isNotNull() & (F.col("n") >= F.lit(min_share * total)))
-    return [(r.side, r.key) for r in heavy.select("side", "key").collect()], total
+    heavy = counts.where(F.col("hi").isNotNull() & (F.col("n") >= F.lit(min_share * total)))
+    return [(r.side, r.hi) for r in heavy.select("side", "hi").collect()], total
 
 
 def key_quantiles(rows: DataFrame, key: list[str], value: str, quantiles: list[float], buckets: int = BUCKETS) -> DataFrame:
@@ -83,42 +83,38 @@ def key_quantiles(rows: DataFrame, key: list[str], value: str, quantiles: list[f
     work = rows.where(F.col(value).isNotNull()).select(*key, F.col(value).cast("bigint").alias("v"), n.cast("bigint").alias("n"))
     counts = work.groupBy(*key, "v").agg(F.sum("n").alias("n"))
     counts = cut(counts)
-    spans = counts.groupBy(*key).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("values"))
+    spans = counts.groupBy(*key).agg(F.min("v").alias("least"), F.max("v").alias("most"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("values"))
     name = F.xxhash64(*key)
     wide = spans.where(F.col("values") > WIDE).orderBy(F.desc("values"), name).limit(HOT)
     hot = [r[0] for r in wide.select(name).collect()]
     salted = counts.withColumn("salt", salt_many(name, F.col("v"), hot))
     qs = F.explode(F.array(*[F.lit(float(q)) for q in quantiles])).alias("q")
     rank = F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("total"))).cast("bigint")
-    open_ = cut(spans.select(*key, "lo", "hi", "total", qs).select(*key, "q", "lo", "hi", rank.alias("rank")))
+    wanted = cut(spans.select(*key, "least", "most", "total", qs).select(*key, "q", "least", "most", rank.alias("rank")))
     done: list[DataFrame] = []
     ids = [*key, "q"]
     while True:
-        done.append(open_.where("lo = hi").select(*ids, F.col("lo").alias("quantile")))
-        open_ = open_.where("lo < hi")
-        if open_.isEmpty():
+        done.append(wanted.where("least = most").select(*ids, F.col("least").alias("quantile")))
+        wanted = wanted.where("least < most")
+        if wanted.isEmpty():
             break
-        asked = open_.withColumn("salt", F.explode(salt_all(name, hot)))
-        inside = salted.join(asked, [*key, "salt"]).where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-        part = F.expr(f"(v - lo) div (((hi - lo) div {buckets}L) + 1L)")
-        parts = inside.groupBy(*ids, "lo", "hi", "rank", part.alias("part")).agg(F.sum("n").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+        asked = wanted.withColumn("salt", F.explode(salt_all(name, hot)))
+        inside = salted.join(asked, [*key, "salt"]).where((F.col("v") >= F.col("least")) & (F.col("v") <= F.col("most")))
+        part = F.expr(f"(v - least) div (((most - least) div {buckets}L) + 1L)")
+        parts = inside.groupBy(*ids, "rank", part.alias("part")).agg(F.sum("n").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
         upto = F.sum("n").over(Window.partitionBy(*ids).orderBy("part"))
         hit = parts.withColumn("upto", upto).where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
-        open_ = cut(hit.select(*ids, F.col("least").alias("lo"), F.col("most").alias("hi"), (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank")))
+        wanted = cut(hit.select(*ids, "least", "most", (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank")))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
     return out
 
 
-def _results(sides: DataFrame, quantiles: list[float]) -> DataFrame:
-    """Degree, distinct partners and line quantiles from rows ``side, key, other, line``, by mergeable counts."""
-    pairs = sides.groupBy("side", "key", "other").agg(F.count(F.lit(1)).alias("n"))
-    degree = pairs.groupBy("side", "key").agg(F.sum("n").alias("degree"), F.count("other").alias("partners"))
-    lines = sides.groupBy("side", "key", "line").agg(F.count(F.lit(1)).alias("n"))
-    found = key_quantiles(lines, ["side", "key"], "line", quantiles)
-    wide = found.groupBy("side", "key").agg(*[F.max(F.when(F.col("q") == q, F.col("quantile"))).alias(f"line_p{round(q * 100)}") for q in quantiles])
-    return degree.join(wide, ["side", "key"], "left")
+def _names(edges: DataFrame, prefix: str) -> DataFrame:
+    named = F.struct(normalize_path(F.col(f"{prefix}_file")).alias("file"), F.col(f"{prefix}_name").alias("name"), F.col(f"{prefix}_kind").alias("kind"))
+    hi, lo = _hash(prefix)
+    return edges.where(_whole(prefix)).select(hi.alias("hi"), lo.alias("lo"), named.alias("named"))
 
 
 def key_results(edges: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.9), min_share: float = 0.0) -> DataFrame:
@@ -126,26 +122,28 @@ def key_results(edges: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.9), min
 
     On side ``to`` partners are callers, on side ``from`` callees. With ``min_share`` only keys that hold
     at least this share of all distinct edges come out; then the number of keys is bounded by
-    ``1 / min_share`` and the details are computed for their rows only.
+    ``1 / min_share`` and the details are computed for their rows only. Keys travel as two hashes of
+    their parts; the names are put back at the end.
     """
-    total = None
+    rows, kept = edges, F.lit(True)
     if min_share > 0:
         heavy, total = heavy_hashes(edges, min_share)
-        to = [h for side, h in heavy if side == "to"]
-        src = [h for side, h in heavy if side == "from"]
-        rows = edges.where(_hash("dst").isin(to) | _hash("src").isin(src))
-    else:
-        rows = edges
-    one = _latest(rows, _key("dst").alias("to"), _key("src").alias("src"), F.col("line"))
-    sides = one.select(_sides(F.col("to"), F.col("src")), "line").select("s.*", "line").where(F.col("key").isNotNull())
-    sides = sides.withColumn("other", F.when(F.col("other").isNotNull(), F.xxhash64("other")))
-    if min_share > 0:
-        hashed = F.xxhash64("key")
-        sides = sides.where(((F.col("side") == "to") & hashed.isin(to)) | ((F.col("side") == "from") & hashed.isin(src)))
+        to, src = ([h for side, h in heavy if side == s] for s in ("to", "from"))
+        rows = edges.where(_hash("dst")[0].isin(to) | _hash("src")[0].isin(src))
+        kept = ((F.col("side") == "to") & F.col("hi").isin(to)) | ((F.col("side") == "from") & F.col("hi").isin(src))
     else:
         total = edges.select("edge_id").distinct().count()
-    out = _results(sides, list(quantiles))
+    (to_hi, to_lo), (src_hi, src_lo) = _hash("dst"), _hash("src")
+    one = _latest(rows, to_hi=to_hi, to_lo=to_lo, src_hi=src_hi, src_lo=src_lo, line=F.col("line").cast("bigint"))
+    sides = one.select(_sides("lo"), "line").select("s.*", "line").where(F.col("hi").isNotNull() & kept)
+    key = ["side", "hi", "lo"]
+    pairs = sides.groupBy(*key, "other").agg(F.count(F.lit(1)).alias("n"))
+    out = pairs.groupBy(*key).agg(F.sum("n").alias("degree"), F.count("other").alias("partners"))
     if min_share > 0:
         out = out.where(F.col("degree") >= F.lit(min_share * total))
-    names = [f"line_p{round(q * 100)}" for q in quantiles]
-    return out.select("side", "key.*", "degree", "partners", *names, (F.col("degree") / F.lit(float(max(total, 1)))).alias("share"))
+    found = key_quantiles(sides.groupBy(*key, "line").agg(F.count(F.lit(1)).alias("n")), key, "line", list(quantiles))
+    labels = [f"line_p{round(q * 100)}" for q in quantiles]
+    wide = found.groupBy(*key).agg(*[F.max(F.when(F.col("q") == q, F.col("quantile"))).alias(c) for q, c in zip(quantiles, labels)])
+    names = _names(rows, "dst").unionByName(_names(rows, "src")).groupBy("hi", "lo").agg(F.min("named").alias("named"))
+    out = out.join(wide, key, "left").join(names, ["hi", "lo"])
+    return out.select("side", "named.*", "degree", "partners", *labels, (F.col("degree") / F.lit(float(max(total, 1)))).alias("share"))
