@@ -6,15 +6,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symweave.llm import leakage
+from symweave.llm import consensus, leakage, truncation
 from symweave.runtime import table
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rollouts whose answer lost its end."""
+    return truncation.judged(table(spark, sf_dir, "rollouts")).where("truncated").select("rollout_id")
+
+
+def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of truncated answers for each run label."""
+    return truncation.shares(table(spark, sf_dir, "rollouts"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answer that is truly better on correctness, for each item."""
+    return consensus.item_labels(table(spark, sf_dir, "judge_verdicts")).select("verdict_id", "label")
+
+
+def p5_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consensus label, difficulty and agreement for each item."""
+    return consensus.item_labels(table(spark, sf_dir, "judge_verdicts"))
+
+
+def p5_judges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reliability of each judge."""
+    return consensus.judge_reliability(table(spark, sf_dir, "judge_verdicts"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that carry a passage of an evaluation item, with the item."""
     found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
     return found.select("doc_id", "item_id").distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p8_found,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_shares, p5_found, p5_items, p5_judges, p8_found)}
 ORACLES: dict[str, str] = {}
