@@ -26,8 +26,8 @@ def normalize_path(path: Column) -> Column:
 
     parts = F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), step)
     joined = F.concat(F.when(rooted, "/").otherwise(""), F.array_join(parts, "/"))
-    odd = F.contains(p, F.lit("//")) | F.contains(p, F.lit("/.")) | F.startswith(p, F.lit(".")) | F.endswith(p, F.lit("/"))
-    return F.when(odd, joined).otherwise(p)
+    plain = ~F.contains(path, F.lit("\\")) & ~F.contains(path, F.lit("//")) & ~F.contains(path, F.lit("/.")) & ~F.startswith(path, F.lit(".")) & ~F.endswith(path, F.lit("/"))
+    return F.when(plain, path).otherwise(joined)
 
 
 def basename(path: Column) -> Column:
