@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symweave.llm import consensus, leakage, truncation
+from symweave.llm import canonical, consensus, leakage, truncation
 from symweave.runtime import table
 
 
@@ -41,5 +41,15 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id").distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_shares, p5_found, p5_items, p5_judges, p8_found)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents that look the same and are written differently."""
+    return canonical.look_alike_pairs(table(spark, sf_dir, "documents"))
+
+
+def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of a look that is written in several ways, with its class and the number of variants."""
+    return canonical.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "variants")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_shares, p5_found, p5_items, p5_judges, p8_found, p9_found, p9_classes)}
 ORACLES: dict[str, str] = {}
