@@ -6,10 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symweave.llm import canonical, consensus, leakage, truncation
+from symweave.llm import canonical, consensus, leakage, packing, quantiles, truncation
 from symweave.runtime import table
 
 
+def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact percentiles of the rollouts' metrics for each arm."""
+    return quantiles.rollout_percentiles(table(spark, sf_dir, "rollouts"))
+
+
+def p2_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries for each arm and day that can be combined."""
+    return quantiles.rollout_summaries(table(spark, sf_dir, "rollouts"))
+
+
+def p2_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles for each arm from the combined daily summaries, with the bound of the rank error."""
+    return quantiles.merged(p2_daily(spark, sf_dir), ["arm"], [0.1, 0.25, 0.5, 0.75, 0.9, 0.99])
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rollouts whose answer lost its end."""
     return truncation.judged(table(spark, sf_dir, "rollouts")).where("truncated").select("rollout_id")
@@ -35,6 +50,16 @@ def p5_judges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.judge_reliability(table(spark, sf_dir, "judge_verdicts"))
 
 
+def p7_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container, position and tokens of every text."""
+    return packing.layout(table(spark, sf_dir, "documents"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.fill(p7_layout(spark, sf_dir))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that carry a passage of an evaluation item, with the item."""
     found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -51,5 +76,17 @@ def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "variants")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_shares, p5_found, p5_items, p5_judges, p8_found, p9_found, p9_classes)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_percentiles, p2_daily, p2_combined, p4_found, p4_shares, p5_found, p5_items, p5_judges, p7_layout, p7_fill, p8_found, p9_found, p9_classes)}
+_QUANTILES = ", ".join(f"quantile_disc(v, {q}) FILTER (v IS NOT NULL AND NOT isnan(v)) AS p{round(q * 100)}" for q in (0.1, 0.25, 0.5, 0.75, 0.9, 0.99))
+_LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rollout_id ORDER BY loaded_at DESC) AS rn FROM rollouts) WHERE rn = 1"
+ORACLES: dict[str, str] = {
+    "p2_percentiles": f"""
+        WITH one AS ({_LATEST}),
+        long AS (
+            SELECT lower(regexp_replace(arm, '^\\s+|\\s+$', '', 'g')) AS arm, 'input_tokens' AS metric, input_tokens::DOUBLE AS v FROM one
+            UNION ALL SELECT lower(regexp_replace(arm, '^\\s+|\\s+$', '', 'g')), 'wall_seconds', wall_seconds FROM one
+            UNION ALL SELECT lower(regexp_replace(arm, '^\\s+|\\s+$', '', 'g')), 'total_cost_usd', total_cost_usd FROM one)
+        SELECT arm, metric, count(*) FILTER (v IS NOT NULL AND NOT isnan(v)) AS n, count(*) FILTER (v IS NULL OR isnan(v)) AS n_missing,
+               {_QUANTILES}, 0::BIGINT AS rank_error
+        FROM long GROUP BY arm, metric""",
+}
