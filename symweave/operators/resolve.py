@@ -23,12 +23,21 @@ def _joined(folder: Column, rest: Column) -> Column:
     return normalize_path(F.when(folder == "", rest).otherwise(F.concat(folder, F.lit("/"), rest)))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, as the variable of a list of one."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _with_suffixes(base: Column) -> Column:
     """As it is, with each suffix added, then with a known extension replaced."""
-    added = [F.concat(base, F.lit(s)) for s in SCRIPT_SUFFIXES]
-    bare = F.regexp_replace(base, r"\.(m|c)?(j|t)sx?$", "")
-    replaced = [F.when(bare != base, F.concat(bare, F.lit(s))) for s in SCRIPT_SUFFIXES[1:7]]
-    return F.array(*added, *replaced)
+
+    def all_of(b: Column) -> Column:
+        bare = F.regexp_replace(b, r"\.(m|c)?(j|t)sx?$", "")
+        added = F.transform(F.array(*map(F.lit, SCRIPT_SUFFIXES)), lambda s: F.concat(b, s))
+        replaced = F.transform(F.array(*map(F.lit, SCRIPT_SUFFIXES[1:7])), lambda s: F.concat(bare, s))
+        return F.concat(added, F.when(bare != b, replaced).otherwise(F.array().cast("array<string>")))
+
+    return _let(base, all_of)
 
 
 def script_candidates(src: Column, spec: Column, mapped: Column | None = None) -> Column:

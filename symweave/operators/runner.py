@@ -42,8 +42,8 @@ class Reports:
         self.records = cut(nested.find_records(outputs, "run_id", "stdout", (self.JEST, self.PYTEST)))
         self.tables = nested.flatten(self.records)
 
-    def _table(self, name: str, **columns: str) -> DataFrame:
-        df = self.tables.get(name)
+    def _table(self, path_: str, **columns: str) -> DataFrame:
+        df = self.tables.get(path_)
         if df is None:
             df = self.records.sparkSession.createDataFrame([], "row_key string, parent_key string, key bigint, pos int, positions array<int>, is_null boolean")
         for c, kind in columns.items():

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symweave.plans import quality
+from symweave.plans import eval_queries, graph_queries, quality
 
-_MODULES = (quality,)
+_MODULES = (graph_queries, eval_queries, quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symweave.operators import heavy_keys, nested, orphans
+from symweave.plans.views import norm_sql
 from symweave.runtime import cut, table
 
 
@@ -56,4 +57,19 @@ def p6_key_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_report, p3_found, p3_table_counts, p6_found, p6_key_results)
 }
-ORACLES: dict[str, str] = {}
+_LIVES = f"""l AS (SELECT {norm_sql('file')} AS f, name AS n, kind AS k, indexed_at AS a, coalesce(removed_at, TIMESTAMP '9999-01-01') AS b, 'symbol' AS o FROM (SELECT * FROM symbols UNION ALL SELECT * FROM prelude_symbols)
+    UNION ALL SELECT {norm_sql('file')}, '', 'Module', indexed_at, coalesce(removed_at, TIMESTAMP '9999-01-01'), 'file' FROM source_files),
+    r AS (SELECT edge_id, {norm_sql('dst_file')} AS f, dst_name AS n, dst_kind AS k, seen_at AS t, CASE WHEN dst_name = '' AND dst_kind = 'Module' THEN 'file' ELSE 'symbol' END AS o FROM edges
+        WHERE lower(trim(confidence)) IN ('certain', 'inferred') AND dst_file IS NOT NULL AND dst_name IS NOT NULL AND dst_kind IS NOT NULL),
+    x AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.f = r.f AND l.n = r.n AND l.k = r.k AND l.o = r.o AND l.a <= r.t AND r.t < l.b))"""
+_ENDS = f"""one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY loaded_at DESC) AS rn FROM edges) WHERE rn = 1),
+    ends AS (SELECT edge_id, line, 'to' AS side, {norm_sql('dst_file')} AS file, dst_name AS name, dst_kind AS kind, CASE WHEN src_file IS NOT NULL AND src_name IS NOT NULL AND src_kind IS NOT NULL THEN {norm_sql('src_file')} || chr(1) || src_name || chr(1) || src_kind END AS other FROM one
+        UNION ALL SELECT edge_id, line, 'from', {norm_sql('src_file')}, src_name, src_kind, CASE WHEN dst_file IS NOT NULL AND dst_name IS NOT NULL AND dst_kind IS NOT NULL THEN {norm_sql('dst_file')} || chr(1) || dst_name || chr(1) || dst_kind END FROM one)"""
+ORACLES: dict[str, str] = {
+    "p1_found": f"WITH {_LIVES} SELECT DISTINCT edge_id FROM x",
+    "p1_report": f"""WITH {_LIVES}, y AS (SELECT edge_id, o, min(strftime(t, '%Y-%m')) AS month, min(f) AS f FROM x GROUP BY edge_id, o)
+        SELECT CASE WHEN o = 'file' THEN 'source_files' WHEN starts_with(f, 'prelude/') THEN 'prelude_symbols' ELSE 'symbols' END AS target_table, month, 'direct' AS status, count(*) AS orphans FROM y GROUP BY ALL""",
+    "p6_found": f"WITH {_ENDS} SELECT side, file, name, kind FROM ends WHERE file IS NOT NULL AND name IS NOT NULL AND kind IS NOT NULL GROUP BY ALL HAVING count(*) >= 0.01 * (SELECT count(*) FROM one)",
+    "p6_key_results": f"""WITH {_ENDS} SELECT side, file, name, kind, count(*) AS degree, count(DISTINCT other) AS partners, quantile_disc(line::BIGINT, 0.5) AS line_p50, quantile_disc(line::BIGINT, 0.9) AS line_p90, count(*) / (SELECT count(*) FROM one)::DOUBLE AS share
+        FROM ends WHERE file IS NOT NULL AND name IS NOT NULL AND kind IS NOT NULL GROUP BY side, file, name, kind""",
+}
