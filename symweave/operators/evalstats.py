@@ -165,7 +165,8 @@ def tampered(paths: Column) -> Column:
 
 def salvage_json(text: Column, schema: str) -> Column:
     """A judge's reply as JSON: the whole text, else its part from the first to the last brace."""
-    return F.coalesce(F.from_json(text, schema), F.from_json(F.regexp_extract(text, r"(?s)\{.*\}", 0), schema))
+    part = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    return F.when(F.try_parse_json(text).isNotNull(), F.from_json(text, schema)).when(F.try_parse_json(part).isNotNull(), F.from_json(part, schema))
 
 
 def trimmed_text(text: Column, most: int) -> Column:

@@ -25,12 +25,12 @@ _FRAME = r"(?:\(|at )([^\s():]+):(\d+)(?::\d+)?\)?"
 def frames(text: Column) -> Column:
     """The stack frames in a message, ``at f (path:line:col)`` or ``at path:line``, as ``array<struct<file,line>>``."""
     spots = F.regexp_extract_all(text, F.lit(_FRAME), F.lit(0))
-    parsed = F.transform(spots, lambda s: F.struct(F.regexp_extract(s, _FRAME, 1).alias("file"), F.least(F.regexp_extract(s, _FRAME, 2).cast("bigint"), F.lit(2**31 - 1)).cast("int").alias("line")))
+    parsed = F.transform(spots, lambda s: F.struct(F.regexp_extract(s, _FRAME, 1).alias("file"), F.least(F.regexp_extract(s, _FRAME, 2).try_cast("bigint"), F.lit(2**31 - 1)).cast("int").alias("line")))
     return F.coalesce(parsed, F.array().cast("array<struct<file:string,line:int>>"))
 
 
 def _cast(c: str) -> Column:
-    return F.coalesce(F.greatest(F.lit(0), F.least(F.col(c).try_cast("bigint"), F.lit(2**31 - 1))), F.lit(0)).cast("int")
+    return F.greatest(F.lit(0), F.least(F.coalesce(F.col(c).try_cast("bigint"), F.lit(0)), F.lit(2**31 - 1))).cast("int")
 
 
 class Reports:

@@ -106,29 +106,34 @@ def call_arguments(content: str | None, line: int, name: str) -> str | None:
     return args[:200] or None
 
 
-_OPEN, _SHUT = "([{", ")]}"
+def _balance(line: str) -> int:
+    """Round and square brackets that a line opens, less those it closes; strings and comments do not count."""
+    line = re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|//.*|#.*", "", line)
+    return sum(line.count(c) for c in "([") - sum(line.count(c) for c in ")]")
 
 
 def enclosing_statement(content: str | None, line: int, most: int = 20) -> str | None:
-    """The statement around a line: grown while brackets are open, at most 20 lines; else the line and its neighbours."""
+    """The statement around a line: up to where its brackets open, down to where they close, at most 20 lines.
+
+    Where no end is found within 20 lines, the line and its neighbours.
+    """
     if content is None:
         return None
     rows = content.split("\n")
     if not 1 <= line <= len(rows):
         return None
-
-    def balance(s: str) -> int:
-        s = re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|//.*|#.*", "", s)
-        return sum(s.count(c) for c in _OPEN) - sum(s.count(c) for c in _SHUT)
-
-    a = b = line - 1
-    while a > 0 and b - a < most and (sum(balance(x) for x in rows[a : b + 1]) < 0 or rows[a].lstrip().startswith((".", ")", "]", "}"))):
-        a -= 1
-    while b < len(rows) - 1 and b - a < most - 1 and (sum(balance(x) for x in rows[a : b + 1]) > 0 or rows[b + 1].lstrip().startswith(".")):
-        b += 1
-    found = rows[a : b + 1]
-    if sum(balance(x) for x in found) != 0:
-        found = rows[max(0, line - 2) : line + 1]
+    begin, level = line - 1, 0
+    for i in range(line - 2, max(-1, line - 1 - most), -1):
+        level += _balance(rows[i])
+        if level > 0:
+            begin, level = i, 0
+    while begin > 0 and rows[begin].lstrip().startswith("."):
+        begin -= 1
+    end, level = begin, _balance(rows[begin])
+    while end < len(rows) - 1 and end - begin < most - 1 and (level > 0 or end < line - 1 or rows[end + 1].lstrip().startswith(".")):
+        end += 1
+        level += _balance(rows[end])
+    found = rows[begin : end + 1] if level == 0 else rows[max(0, line - 2) : line + 1]
     return "\n".join(found)
 
 

@@ -28,7 +28,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id",
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)
         rows = part.where(F.col(value).isNotNull()).select(key, value).collect()
         ids = np.array([r[0] for r in rows], np.int64)
-        matrix = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
+        matrix = np.array([r[1] for r in rows], np.float64).reshape(len(rows), len(rows[0][1]) if rows else 0)
         length = np.linalg.norm(matrix, axis=1)
         sent = spark.sparkContext.broadcast((ids[length > 0], matrix[length > 0] / length[length > 0][:, None]))
 
