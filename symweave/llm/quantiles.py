@@ -184,7 +184,7 @@ def multi_select(values: DataFrame, wanted: pd.DataFrame, gather: int = GATHER)
         lists = _inside(table, spans[["r", "g", "lo", "hi"]]).groupBy("r").agg(F.array_sort(F.collect_list("k")).alias("v"))
         got = lists.join(F.broadcast(asked), "r").select("r", F.explode(F.transform("ks", lambda i: F.struct(i.alias("k"), F.element_at("v", i.cast("int")).alias("key")))).alias("x")).select("r", "x.*").toPandas()
         out.append(few.merge(got, on=["r", "k"])[["g", "rank", "key"]])
-    return pd.concat(out) if out else pd.DataFrame({"g": [], "rank": [], "key": []})
+    return pd.concat(out).astype(np.int64) if out else pd.DataFrame({"g": [], "rank": [], "key": []}, dtype=np.int64)
 
 
 def label(name: Column) -> Column:
@@ -223,7 +223,7 @@ def _prepared(rows: DataFrame, groups: dict[str, Column], metrics: list[str]) ->
 
 def _ranks(sizes: pd.DataFrame, quantiles: list[float]) -> pd.DataFrame:
     rows = [(g, rank_of(q, n), n, q) for g, n in zip(sizes["g"], sizes["n"]) if n for q in quantiles]
-    return pd.DataFrame(rows, columns=["g", "rank", "n", "q"])
+    return pd.DataFrame(rows, columns=["g", "rank", "n", "q"]).astype({"g": np.int64, "rank": np.int64, "n": np.int64, "q": float})
 
 
 def _blocks(values: DataFrame, sizes: DataFrame, per_group: int) -> Iterator[pd.DataFrame]:
@@ -268,7 +268,7 @@ def summaries(rows: DataFrame, groups: dict[str, Column], metrics: list[str], si
             for i in range(m):
                 a, b = i * n // m, (i + 1) * n // m
                 points.append((g, a + (b - a + 1) // 2, n, b - a))
-        p = pd.DataFrame(points, columns=["g", "rank", "n", "weight"])
+        p = pd.DataFrame(points, columns=["g", "rank", "n", "weight"]).astype(np.int64)
         got = multi_select(values, p[["g", "rank", "n"]]).merge(p[["g", "rank", "weight"]], on=["g", "rank"])
         data = list(zip(map(int, got["g"]), map(float, from_key(got["key"].to_numpy(np.int64))), map(int, got["weight"])))
         part = spark.createDataFrame(data, "g bigint, value double, weight bigint")
