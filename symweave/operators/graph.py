@@ -128,11 +128,12 @@ def libraries(imports: DataFrame, internal: list[str] = ()) -> DataFrame:
 def bfs(edges: DataFrame, start: DataFrame, max_depth: int = 64, stop: Callable[[DataFrame], DataFrame] | None = None) -> list[DataFrame]:
     """Levels of a breadth-first walk along edges of all kinds: ``file, name, kind`` and the parent's ``p_*``.
 
-    Each level is written to the shared folder and joined with the edges once; the parent of a node is the
-    smallest of its discoverers. The walk ends with the level in which ``stop`` finds a row.
+    The adjacency is written to the shared folder once, partitioned by its source, so that a level's join
+    moves the frontier and not the edges. The parent of a node is the smallest of its discoverers. The walk ends with the level in which ``stop`` finds a row.
     """
     parents = [f"p_{k}" for k in KEY]
-    adjacent = edges.where("dst_file is not null and dst_name is not null and dst_kind is not null").select(*SRC, *DST).distinct()
+    adjacent = edges.where("dst_file is not null and dst_name is not null and dst_kind is not null").select(*SRC, *DST).repartition(*SRC).distinct()
+    adjacent = cut(adjacent)
     level = cut(start.select(*KEY).distinct().select(*KEY, *[F.lit(None).cast("string").alias(p) for p in parents]))
     levels = [level]
     seen = level.select(*KEY)
