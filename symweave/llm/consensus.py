@@ -37,7 +37,7 @@ LABELS = ("raw", "treatment", "tie")
 GRID = np.array([0.25, 0.5, 1.0, 1.5, 2.0])
 #: Annotators travel to all tasks as a handful of numbers each; this many are some 20 MB.
 MOST_ANNOTATORS = 500_000
-ROUNDS, STEADY = 40, 2e-3
+ROUNDS, STEADY = 40, 2e-2
 _FEATURES = 5
 _PRIOR_MEAN = np.array([2.0, 0.0, 1.0, 0.0, 0.0])
 _PRIOR_WEIGHT = np.array([0.3, 0.5, 0.3, 0.5, 0.5])
