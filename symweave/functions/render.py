@@ -70,3 +70,9 @@ def failure_line() -> Column:
     """``FAIL file:line name — message``."""
     return F.format_string("FAIL %s:%d %s — %s", F.coalesce("file", F.lit("?")), F.coalesce("line", F.lit(0)), "test_name", "message")
 
+
+
+def status_text(last_run: str | None = None) -> Column:
+    """The status block from a row of :func:`symweave.operators.incremental.status`."""
+    languages = F.when(F.col("extensions") == "", "(none, the index is empty)").otherwise(F.col("extensions"))
+    return F.format_string("symbols: %d\nedges: %d\nfiles: %d\nlanguages: %s\nedits: %d\nlast test run: %s", "symbols", "edges", "files", languages, "edits", F.lit(last_run or "no test run yet"))

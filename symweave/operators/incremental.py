@@ -93,6 +93,29 @@ def edits_ago(log: DataFrame) -> DataFrame:
     return last.crossJoin(F.broadcast(end)).select(*KEY, (F.col("end") - F.col("last")).alias("edits_ago"))
 
 
+def calls_ago(log: DataFrame) -> DataFrame:
+    """``file, name, kind, calls_ago``: edits (distinct moments ``ts``) logged after the last one of each symbol.
+
+    One edit may log many symbols; here it counts once. Moments are few beside records: they are counted per
+    day with map-side sums, so that no window runs over the log.
+    """
+    moments = log.select("ts").distinct()
+    days = moments.groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    later = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("day").orderBy(F.desc("ts"))) - 1
+    placed = moments.withColumn("day", F.to_date("ts")).withColumn("within", within).join(days.withColumn("later", later), "day")
+    last = log.groupBy(*KEY).agg(F.max("ts").alias("ts"))
+    return last.join(placed, "ts").select(*KEY, (F.col("within") + F.col("later")).alias("calls_ago"))
+
+
+def append_edits(log: DataFrame, edits: DataFrame) -> DataFrame:
+    """The log with further edits (``ts, file, name, kind``), numbered on from its end in order of time."""
+    end = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("end"))
+    number = F.row_number().over(Window.orderBy("ts", *KEY)).cast("bigint")  # the edits of one call, not the log
+    new = edits.withColumn("n", number).crossJoin(end).select((F.col("n") + F.col("end")).alias("seq"), "ts", *KEY)
+    return log.select("seq", "ts", *KEY).unionByName(new)
+
+
 def first_of(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first row of each key."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
 from dataclasses import dataclass
 
@@ -59,3 +60,10 @@ def safe_pattern(text: str) -> str:
         return text
     except re.error:
         return re.escape(text)
+
+
+def query_path(root: str, path: str) -> str:
+    """A path of a query as the tables have it: relative to the root, in plain form."""
+    plain = posixpath.normpath(path.replace("\\", "/"))
+    base = root.rstrip("/") + "/"
+    return plain[len(base) :] if plain.startswith(base) else plain

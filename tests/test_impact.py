@@ -84,3 +84,26 @@ def test_edits_ago_and_files(df):
     a = {r.path: r.hash for r in incremental.directory_hashes(tree).collect()}
     b = {r.path: r.hash for r in incremental.directory_hashes(df([("x/a", "1"), ("x/y/b", "9"), ("c", "3")], "path string, content_hash string")).collect()}
     assert set(a) == {"", "x", "x/y"} and all(a[p] != b[p] for p in a)
+
+
+def test_log_positions(df):
+    import datetime as dt
+
+    t = lambda d, s: dt.datetime(2024, 1, d, 0, 0, s)
+    log = df([(1, t(1, 1), "f", "a", "F"), (2, t(1, 1), "f", "b", "F"), (3, t(1, 5), "f", "c", "F")], "seq bigint, ts timestamp, file string, name string, kind string")
+    more = incremental.append_edits(log, df([(t(2, 2), "f", "e", "F"), (t(2, 1), "f", "d", "F")], "ts timestamp, file string, name string, kind string"))
+    assert {r.name: r.seq for r in more.collect()} == {"a": 1, "b": 2, "c": 3, "d": 4, "e": 5}
+    assert {r.name: r.calls_ago for r in incremental.calls_ago(more).collect()} == {"a": 3, "b": 3, "c": 2, "d": 1, "e": 0}
+
+
+def test_status_and_intents(df):
+    from symweave.functions import intents
+    from symweave.functions.render import status_text
+    from symweave.plans.classify import query_path
+
+    s = incremental.status(df([("a", 1)], "n string, i int"), df([], "n string"), df([("x/a.rs",), ("b.PY",)], "file string"), df([], "n string"))
+    assert s.select(status_text()).first()[0].split("\n")[3:] == ["languages: py, rs", "edits: 0", "last test run: no test run yet"]
+    c = df([("rg 'fn main' src",), ("cat x",), ("cargo test -q",), ("src/a.tsx",), (None,)], "c string")
+    got = [tuple(r) for r in c.select(intents.is_structural_command(F.col("c")), intents.is_test_run(F.col("c")), intents.is_source_file(F.col("c"))).collect()]
+    assert got == [(True, False, False), (False, False, False), (False, True, False), (False, False, True), (None, None, None)]
+    assert query_path("/r", "/r/a/../b.py") == "b.py" and query_path("/r", "a\\b.py") == "a/b.py"
