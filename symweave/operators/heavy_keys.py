@@ -9,7 +9,7 @@ group any task sees is ``BUCKETS`` counts of one key and rank.
 Defined results: a key with a null part is left out on its side and still counts in the total of edges.
 Re-delivered edges count once; where deliveries disagree the one with the largest ``loaded_at`` holds
 (a null ``loaded_at`` is the smallest, ties break by a hash of the row).
-An edge with a null id is left out of the names' sources; all such edges count as one. A null ``line`` counts in the
+All edges with a null id count as one. A null ``line`` counts in the
 degree and not in the quantiles; a key without any line has null quantiles. The p-quantile of n values is
 the value of rank ``max(1, ceil(p * n))``, always one of the values. Paths are compared in plain form.
 An empty table gives no rows. Columns that are not named here are ignored.
@@ -99,15 +99,14 @@ def key_quantiles(rows: DataFrame, key: list[str], value: str, quantiles: list[f
     return out
 
 
-def _named(edges: DataFrame, reps: DataFrame) -> DataFrame:
-    """``side, hi, lo, named`` from one edge of each key."""
+def _named(edges: DataFrame) -> DataFrame:
+    """``hi, lo, named`` of all keys of the edges; each task sends a key once."""
     parts = []
-    for side, prefix in (("to", "dst"), ("from", "src")):
+    for prefix in ("dst", "src"):
         named = F.struct(normalize_path(F.col(f"{prefix}_file")).alias("file"), F.col(f"{prefix}_name").alias("name"), F.col(f"{prefix}_kind").alias("kind"))
         hi, lo = _hash(prefix)
-        rows = edges.where(_whole(prefix)).select("edge_id", F.lit(side).alias("side"), hi.alias("hi"), lo.alias("lo"), named.alias("named"))
-        parts.append(rows.join(reps.where(F.col("side") == side), ["edge_id", "side", "hi", "lo"]))
-    return parts[0].unionByName(parts[1]).groupBy("side", "hi", "lo").agg(F.min("named").alias("named"))
+        parts.append(edges.where(_whole(prefix)).select(hi.alias("hi"), lo.alias("lo"), named.alias("named")))
+    return parts[0].unionByName(parts[1]).groupBy("hi", "lo").agg(F.min("named").alias("named"))
 
 
 def key_results(edges: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.9), min_share: float = 0.0) -> DataFrame:
@@ -116,26 +115,28 @@ def key_results(edges: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.9), min
     On side ``to`` partners are callers, on side ``from`` callees. With ``min_share`` only keys that hold
     at least this share of all distinct edges come out; then the number of keys is bounded by
     ``2 / min_share`` and the details are computed for their rows only. Keys travel as two hashes of their
-    parts; the names are put back at the end from one edge of each key.
+    parts; the names are put back at the end.
     """
     (to_hi, to_lo), (src_hi, src_lo) = _hash("dst"), _hash("src")
-    one = cut(_latest(edges, to_hi=to_hi, to_lo=to_lo, src_hi=src_hi, src_lo=src_lo, line=F.col("line").cast("bigint")))
+    one = _latest(edges, to_hi=to_hi, to_lo=to_lo, src_hi=src_hi, src_lo=src_lo, line=F.col("line").cast("bigint"))
+    one = cut(one if min_share > 0 else one.drop("edge_id"))
     total = one.count()
     key = ["side", "hi", "lo"]
-    sides = one.select(_sides("lo"), "line", "edge_id").select("s.*", "line", "edge_id").where(F.col("hi").isNotNull())
+    rest = [c for c in one.columns if c in ("line", "edge_id")]
+    sides = one.select(_sides("lo"), *rest).select("s.*", *rest).where(F.col("hi").isNotNull())
     if min_share > 0:
         counts = sides.groupBy("side", "hi").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.lit(min_share * total))
         heavy = [(r.side, r.hi) for r in counts.collect()]  # at most 1 / min_share for each side
         of = {s: [h for side, h in heavy if side == s] for s in ("to", "from")}
         sides = sides.where(((F.col("side") == "to") & F.col("hi").isin(of["to"])) | ((F.col("side") == "from") & F.col("hi").isin(of["from"])))
-    pairs = sides.groupBy(*key, "other").agg(F.count(F.lit(1)).alias("n"), F.min("edge_id").alias("edge_id"))
-    out = pairs.groupBy(*key).agg(F.sum("n").alias("degree"), F.count("other").alias("partners"), F.min("edge_id").alias("edge_id"))
-    if min_share > 0:
+    pairs = sides.groupBy(*key, "other").agg(F.count(F.lit(1)).alias("n"))
+    out = pairs.groupBy(*key).agg(F.sum("n").alias("degree"), F.count("other").alias("partners"))
+    if min_share > 0:  # few keys: one edge of each tells its name
         out = cut(out.where(F.col("degree") >= F.lit(min_share * total)))
-        edges = edges.where(F.col("edge_id").isin([r[0] for r in out.select("edge_id").distinct().collect()]))
+        seen = sides.groupBy(*key).agg(F.min("edge_id").alias("edge_id")).collect()
+        edges = edges.where(F.col("edge_id").isin([r.edge_id for r in seen]))
     found = key_quantiles(sides.groupBy(*key, "line").agg(F.count(F.lit(1)).alias("n")), key, "line", list(quantiles))
     labels = [f"line_p{round(q * 100)}" for q in quantiles]
     wide = found.groupBy(*key).agg(*[F.max(F.when(F.col("q") == q, F.col("quantile"))).alias(c) for q, c in zip(quantiles, labels)])
-    named = _named(edges, out.select(*key, "edge_id"))
-    out = out.join(wide, key, "left").join(named, key)
+    out = out.join(wide, key, "left").join(_named(edges), ["hi", "lo"])
     return out.select("side", "named.*", "degree", "partners", *labels, (F.col("degree") / F.lit(float(max(total, 1)))).alias("share"))
