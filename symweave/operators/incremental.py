@@ -86,11 +86,11 @@ def dangling_edges(edges: DataFrame, symbols: DataFrame) -> DataFrame:
 def edits_ago(log: DataFrame) -> DataFrame:
     """``file, name, kind, edits_ago``: records logged after the last one of each symbol.
 
-    Counted from dense sequence numbers; the log's end is one aggregate row, not a window over the log.
+    Counted from dense sequence numbers; the log's end is one number, not a window over the log.
     """
     last = log.groupBy(*KEY).agg(F.max("seq").alias("last"))
-    end = log.agg(F.max("seq").alias("end"))
-    return last.crossJoin(F.broadcast(end)).select(*KEY, (F.col("end") - F.col("last")).alias("edits_ago"))
+    end = log.agg(F.max("seq")).first()[0]
+    return last.select(*KEY, (F.lit(end).cast("bigint") - F.col("last")).alias("edits_ago"))
 
 
 def calls_ago(log: DataFrame) -> DataFrame:
@@ -110,9 +110,9 @@ def calls_ago(log: DataFrame) -> DataFrame:
 
 def append_edits(log: DataFrame, edits: DataFrame) -> DataFrame:
     """The log with further edits (``ts, file, name, kind``), numbered on from its end in order of time."""
-    end = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("end"))
+    end = log.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
     number = F.row_number().over(Window.orderBy("ts", *KEY)).cast("bigint")  # the edits of one call, not the log
-    new = edits.withColumn("n", number).crossJoin(end).select((F.col("n") + F.col("end")).alias("seq"), "ts", *KEY)
+    new = edits.select((number + F.lit(end)).alias("seq"), "ts", *KEY)
     return log.select("seq", "ts", *KEY).unionByName(new)
 
 
@@ -123,9 +123,15 @@ def first_of(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 def status(symbols: DataFrame, edges: DataFrame, files: DataFrame, edits: DataFrame) -> DataFrame:
     """One row: numbers of symbols, edges, files, edits, and the languages' extensions in order."""
-    a = symbols.agg(F.count(F.lit(1)).alias("symbols"))
-    b = edges.agg(F.count(F.lit(1)).alias("edges"))
     ext = F.when(extension(F.col("file")) != "", extension(F.col("file")))
-    c = files.agg(F.count(F.lit(1)).alias("files"), F.array_join(F.array_sort(F.collect_set(ext)), ", ").alias("extensions"))
-    d = edits.agg(F.count(F.lit(1)).alias("edits"))
-    return a.join(b).join(c).join(d)  # four aggregates of one row each
+    n = F.count(F.lit(1))
+    parts = [
+        symbols.agg(n.alias("symbols")),
+        edges.agg(n.alias("edges")),
+        files.agg(n.alias("files"), F.array_join(F.array_sort(F.collect_set(ext)), ", ").alias("extensions")),
+        edits.agg(n.alias("edits")),
+    ]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in ("symbols", "edges", "files", "extensions", "edits")])

@@ -430,7 +430,8 @@ def remove_file(spark, d):
     """The graph without its test files."""
     gone = table(spark, d, "source_files").where("is_test_path").select("file")
     s, e, _ = incremental.remove_files(gone, views.symbols(spark, d), views.edges(spark, d))
-    return s.agg(F.count(F.lit(1)).alias("symbols")).join(e.agg(F.count(F.lit(1)).alias("edges")))
+    counts = s.agg(F.count(F.lit(1)).alias("symbols")).unionByName(e.agg(F.count(F.lit(1)).alias("edges")), allowMissingColumns=True)
+    return counts.agg(F.max("symbols").alias("symbols"), F.max("edges").alias("edges"))
 
 
 @query(f"WITH {SYM}, {EDG} SELECT edge_id FROM edg e WHERE dst_name <> '' AND NOT EXISTS (SELECT 1 FROM sym WHERE file = e.dst_file AND name = e.dst_name)")

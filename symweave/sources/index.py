@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import uuid
 from dataclasses import dataclass
 
@@ -119,30 +117,34 @@ def save(index: Index, store: str) -> str:
         out = df.write.mode("overwrite")
         (out.partitionBy("language") if name == "files" else out).parquet(f"{store}/{version}/{name}")
     pointer = spark.createDataFrame([(schema.VERSION, version)], "schema_version int, version string")
-    pointer.coalesce(1).write.mode("overwrite").json(f"{store}/current.new")
-    _swap(store)
+    pointer.coalesce(1).write.mode("overwrite").json(f"{store}/{NEXT}")
+    _move(spark, f"{store}/{NEXT}", f"{store}/{CURRENT}")
     return version
 
 
-def _swap(store: str) -> None:
-    new, now = f"{store}/current.new", f"{store}/current"
-    if "://" in store and not store.startswith("file://"):
-        raise ValueError("the pointer of a remote store is moved by the store's own tools")
-    new, now = new.removeprefix("file://"), now.removeprefix("file://")
-    old = now + ".old"
-    shutil.rmtree(old, ignore_errors=True)
-    if os.path.exists(now):
-        os.rename(now, old)
-    os.rename(new, now)
-    shutil.rmtree(old, ignore_errors=True)
+CURRENT, NEXT = "current", "next"
+
+
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    """Puts a folder in another's place, on any file system that Spark can write to."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(path(target), True)
+    if not fs.rename(path(source), path(target)):
+        raise OSError(f"{source} could not be moved to {target}")
 
 
 def load(spark: SparkSession, store: str) -> Index | None:
-    """The stored graph; None where there is none or its schema has another version."""
-    try:
-        row = spark.read.schema("schema_version int, version string").json(f"{store}/current").first()
-    except AnalysisException:
-        return None
+    """The stored graph; None where there is none or its schema has another version.
+
+    Between the two steps of a move the pointer is found under its next name.
+    """
+    row = None
+    for name in (CURRENT, NEXT):
+        try:
+            row = row or spark.read.schema("schema_version int, version string").json(f"{store}/{name}").first()
+        except AnalysisException:
+            continue
     if row is None or row.schema_version != schema.VERSION:
         return None
     return Index(*[spark.read.parquet(f"{store}/{row.version}/{name}") for name in _PARTS])
