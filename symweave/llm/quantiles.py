@@ -228,7 +228,8 @@ def _ranks(sizes: pd.DataFrame, quantiles: list[float]) -> pd.DataFrame:
 
 def _blocks(values: DataFrame, sizes: DataFrame, per_group: int) -> Iterator[pd.DataFrame]:
     """The groups in blocks, so that a round reports at most ``REPORTS`` rows."""
-    most = max(1, REPORTS // max(1, values.rdd.getNumPartitions()) // per_group)
+    partitions = values.select(F.spark_partition_id().alias("p")).distinct().count()
+    most = max(1, REPORTS // max(1, partitions) // per_group)
     n = sizes.count()
     blocks = max(1, -(-n // most))
     for b in range(blocks):
