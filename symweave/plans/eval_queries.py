@@ -142,7 +142,7 @@ _NAMES = "(" + ", ".join(f"'{x}'" for x in evalstats.TAMPER_NAMES) + ")"
 @query(f"WITH p AS (SELECT src_file AS file, list(DISTINCT split_part(src_file, '/', 1) || '/' || kind || CASE WHEN line % 50 = 0 THEN '/conftest.py' ELSE '/main.py' END) AS paths FROM (SELECT DISTINCT edge_id, {views.norm_sql('src_file')} AS src_file, kind, line FROM edges) GROUP BY src_file) SELECT file, array_to_string(list_sort(list_filter(paths, lambda x: regexp_extract(x, '[^/]*$') IN {_NAMES} OR starts_with(x, '{evalstats.TAMPER_FOLDER}'))), ' ') AS tampered FROM p")
 def tamper_flags(spark, d):
     """Changed paths that belong to the tests' set-up."""
-    e = views.edges(spark, d)
+    e = views.edges(spark, d, "src_file", "kind", "line")
     name = F.when(F.col("line") % 50 == 0, "/conftest.py").otherwise("/main.py")
     paths = e.select(F.col("src_file").alias("file"), F.concat(F.substring_index("src_file", "/", 1), F.lit("/"), "kind", name).alias("p")).distinct().groupBy("file").agg(F.collect_list("p").alias("paths"))
     return paths.select("file", F.array_join(evalstats.tampered(F.col("paths")), " ").alias("tampered"))

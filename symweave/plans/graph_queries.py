@@ -40,7 +40,7 @@ START = ("prelude/boot/registry.ts", "installAll", "Function")
 @query(f"{BASE} SELECT row_number() OVER (ORDER BY {ORDER})::INT AS rank, file, name, kind, in_degree FROM ranked ORDER BY {ORDER} LIMIT 50")
 def centrality_topk(spark, d):
     """F1 H1 H2: the most central symbols."""
-    top = graph.ranked(views.symbols(spark, d), graph.centrality(views.edges(spark, d)))
+    top = graph.ranked(views.symbols(spark, d), graph.centrality(views.edges(spark, d, *graph.DST)))
     return graph.with_rank(top, graph.by_centrality(), 50).select("rank", *KEY, "in_degree")
 
 
@@ -49,7 +49,7 @@ def centrality_topk(spark, d):
     SELECT row_number() OVER (ORDER BY {ORDER})::INT AS rank, file, name, kind, in_degree, edge_line FROM hit JOIN ranked USING (file, name, kind) ORDER BY {ORDER} LIMIT 10""")
 def callers_topk(spark, d):
     """Callers of the most central symbol."""
-    s, e = views.symbols(spark, d), views.edges(spark, d)
+    s, e = views.symbols(spark, d), views.edges(spark, d, *graph.SRC, *graph.DST, "line")
     central = graph.centrality(e)
     best = graph.ranked(s, central).orderBy(*graph.by_centrality()).limit(1)
     ends = graph.endpoint_symbols(graph.callers(e, best), s, "src")
@@ -61,7 +61,7 @@ def callers_topk(spark, d):
     SELECT row_number() OVER (ORDER BY {ORDER})::INT AS rank, file, name, kind, in_degree, edge_line FROM hit JOIN ranked USING (file, name, kind) ORDER BY {ORDER} LIMIT 10""")
 def callees_topk(spark, d):
     """What the symbol with the most outgoing edges refers to."""
-    s, e = views.symbols(spark, d), views.edges(spark, d)
+    s, e = views.symbols(spark, d), views.edges(spark, d, *graph.SRC, *graph.DST, "line")
     best = e.groupBy(*graph.SRC).count().orderBy(F.desc("count"), *graph.SRC).limit(1).select(*[F.col(x).alias(k) for x, k in zip(graph.SRC, KEY)])
     ends = graph.endpoint_symbols(graph.callees(e, best), s, "dst")
     return graph.with_rank(graph.ranked(ends, graph.centrality(e)), graph.by_centrality(), 10).select("rank", *KEY, "in_degree", "edge_line")
@@ -73,7 +73,7 @@ def callees_topk(spark, d):
     SELECT file, name, kind, tier, count(*) AS n FROM best WHERE tier = b GROUP BY ALL""")
 def callers_relaxed(spark, d):
     """Callers of every symbol by its full key, else by file and name."""
-    hits = graph.callers_relaxed(views.edges(spark, d).where("dst_kind is not null"), views.symbols(spark, d))
+    hits = graph.callers_relaxed(views.edges(spark, d, *graph.SRC, *graph.DST, "line").where("dst_kind is not null"), views.symbols(spark, d))
     return hits.groupBy(*KEY, "tier").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -81,7 +81,7 @@ def callers_relaxed(spark, d):
 def find_exact(spark, d):
     """Symbols of a name."""
     found = graph.find_by_name(views.symbols(spark, d), "emit")
-    return graph.with_rank(graph.ranked(found, graph.centrality(views.edges(spark, d))), graph.by_centrality(), 5).select("rank", *KEY, "in_degree")
+    return graph.with_rank(graph.ranked(found, graph.centrality(views.edges(spark, d, *graph.DST))), graph.by_centrality(), 5).select("rank", *KEY, "in_degree")
 
 
 @query(f"""{BASE}, near AS (SELECT *, levenshtein(name, 'emitt') AS distance FROM ranked WHERE abs(length(name) - 5) <= 2 AND levenshtein(name, 'emitt') <= 2)
@@ -89,7 +89,7 @@ def find_exact(spark, d):
     ORDER BY in_degree DESC, distance, file NULLS FIRST, line_start NULLS FIRST, name NULLS FIRST, kind NULLS FIRST LIMIT 5""")
 def find_fuzzy(spark, d):
     """Names within two edits where no symbol has the name."""
-    found = graph.ranked(graph.find_by_name(views.symbols(spark, d), "emitt"), graph.centrality(views.edges(spark, d)))
+    found = graph.ranked(graph.find_by_name(views.symbols(spark, d), "emitt"), graph.centrality(views.edges(spark, d, *graph.DST)))
     order = [F.desc("in_degree"), "distance", *[F.col(c).asc_nulls_first() for c in ("file", "line_start", "name", "kind")]]
     return graph.with_rank(found, order, 5).select("rank", *KEY, "distance", "in_degree")
 
@@ -142,21 +142,21 @@ def _hub(e: DataFrame, column: str) -> str:
 @query(f"WITH {EDG}, hub AS (SELECT src_file FROM edg WHERE kind = 'Imports' AND confidence = 'Certain' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT dst_file AS file, line, count(*) AS n FROM edg JOIN hub USING (src_file) WHERE kind = 'Imports' AND confidence = 'Certain' AND src_kind = 'Module' GROUP BY ALL")
 def imports_of(spark, d):
     """Imports of the file that imports most."""
-    e = views.edges(spark, d)
+    e = views.edges(spark, d, "src_file", "src_kind", *graph.DST, "kind", "line", "confidence")
     return graph.imports_of(e, _hub(e, "src_file")).groupBy(F.col("dst_file").alias("file"), "line").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {EDG}, hub AS (SELECT dst_file FROM edg WHERE kind = 'Imports' AND confidence = 'Certain' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT src_file AS file, line, count(*) AS n FROM edg JOIN hub USING (dst_file) WHERE kind = 'Imports' AND confidence = 'Certain' AND dst_name = '' AND dst_kind = 'Module' GROUP BY ALL")
 def importers_of(spark, d):
     """Importers of the file that is imported most."""
-    e = views.edges(spark, d)
+    e = views.edges(spark, d, "src_file", "src_kind", *graph.DST, "kind", "line", "confidence")
     return graph.importers_of(e, _hub(e, "dst_file")).groupBy(F.col("src_file").alias("file"), "line").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {EDG} SELECT DISTINCT dst_file AS file, src_file AS test_file FROM edg WHERE kind = 'Imports' AND confidence = 'Certain' AND dst_name = '' AND dst_kind = 'Module' AND {TEST_PATH.format('src_file')}")
 def tests_for(spark, d):
     """The tests of all files."""
-    e = views.edges(spark, d)
+    e = views.edges(spark, d, "src_file", "src_kind", *graph.DST, "kind", "line", "confidence")
     certain = e.where("kind = 'Imports' and confidence = 'Certain' and dst_name = '' and dst_kind = 'Module'")
     return certain.where(is_test_path(F.col("src_file"))).select(F.col("dst_file").alias("file"), F.col("src_file").alias("test_file")).distinct()
 
@@ -172,7 +172,7 @@ _LIBS = f"WITH {EDG}, lib AS (SELECT CASE WHEN starts_with(spec, '@') THEN regex
 @query(_LIBS + " SELECT library, count(*) AS uses FROM lib WHERE library NOT IN ('graph') GROUP BY library")
 def libraries(spark, d):
     """Imported packages with their sites."""
-    return graph.libraries(_library_rows(views.edges(spark, d)), ["graph"])
+    return graph.libraries(_library_rows(views.edges(spark, d, "src_file", "kind", "line", "confidence", "spec")), ["graph"])
 
 
 _GREP = "judge (reply|pass)"
@@ -207,7 +207,7 @@ def _start(spark: SparkSession) -> DataFrame:
 @query(_WALK + " SELECT depth::INT AS depth, count(*) AS nodes FROM dist GROUP BY depth")
 def chain_depths(spark, d):
     """Nodes at each distance from a start."""
-    return graph.depths(graph.bfs(views.edges(spark, d), _start(spark), 24)).groupBy("depth").agg(F.count(F.lit(1)).alias("nodes"))
+    return graph.depths(graph.bfs(views.edges(spark, d, *graph.SRC, *graph.DST), _start(spark), 24)).groupBy("depth").agg(F.count(F.lit(1)).alias("nodes"))
 
 
 _PATH = """, goal AS (SELECT file, name, kind, depth FROM dist WHERE {goal} AND depth = (SELECT min(depth) FROM dist WHERE {goal}) ORDER BY file, name, kind LIMIT 1),
@@ -217,14 +217,14 @@ _PATH = """, goal AS (SELECT file, name, kind, depth FROM dist WHERE {goal} AND
 @query(_WALK + _PATH.format(goal="name = 'emit'") + " SELECT depth::INT AS step, file, name, kind FROM back")
 def chain_path(spark, d):
     """A shortest path to a symbol."""
-    path = graph.shortest_path(views.edges(spark, d), _start(spark), graph.to_symbol("emit"), 24)
+    path = graph.shortest_path(views.edges(spark, d, *graph.SRC, *graph.DST), _start(spark), graph.to_symbol("emit"), 24)
     return path if path is not None else spark.createDataFrame([], "step int, file string, name string, kind string")
 
 
 @query(_WALK + _PATH.format(goal="'/' || file LIKE '%/std/result.rs'") + " SELECT depth::INT AS step, file, name, kind FROM back")
 def chain_to_file(spark, d):
     """I4: a shortest path into a file."""
-    path = graph.shortest_path(views.edges(spark, d), _start(spark), graph.to_file("std/result.rs"), 24)
+    path = graph.shortest_path(views.edges(spark, d, *graph.SRC, *graph.DST), _start(spark), graph.to_file("std/result.rs"), 24)
     return path if path is not None else spark.createDataFrame([], "step int, file string, name string, kind string")
 
 
@@ -232,7 +232,7 @@ def chain_to_file(spark, d):
     WHERE edg.kind = 'Calls' AND '/' || dst_file LIKE '%/std/result.rs' AND dst_name IS NOT NULL AND dst_kind IS NOT NULL AND NOT EXISTS (SELECT 1 FROM back x WHERE x.file = dst_file AND x.name = dst_name AND x.kind = dst_kind)""")
 def chain_siblings(spark, d):
     """Further call targets of the path in that file."""
-    e = views.edges(spark, d)
+    e = views.edges(spark, d, *graph.SRC, *graph.DST, "kind")
     path = graph.shortest_path(e, _start(spark), graph.to_file("std/result.rs"), 24)
     if path is None:
         return spark.createDataFrame([], "file string, name string, kind string")
@@ -246,7 +246,7 @@ _SUFFIXES6 = "[" + ", ".join(f"'{s}'" for s in resolve.SCRIPT_SUFFIXES[1:7]) + "
 
 
 def _imports(spark, d) -> DataFrame:
-    e = views.edges(spark, d).where("kind = 'Imports' and spec is not null")
+    e = views.edges(spark, d, "src_file", "kind", "spec").where("kind = 'Imports' and spec is not null")
     return e.select(F.col("edge_id").alias("import_id"), "src_file", "spec")
 
 
@@ -297,7 +297,7 @@ def resolve_calls_unique(spark, d):
 @query(_LIBS + ", res AS (SELECT DISTINCT src_file AS file, split_part(dst_file, '/', 1) AS library FROM edg WHERE kind = 'Imports' AND confidence = 'Certain') SELECT l.library, count(*) AS n FROM lib l WHERE NOT EXISTS (SELECT 1 FROM res r WHERE r.file = l.file AND r.library = l.library) GROUP BY l.library")
 def prune_libraries(spark, d):
     """Library imports without those that were resolved inside."""
-    e = views.edges(spark, d)
+    e = views.edges(spark, d, "src_file", "dst_file", "kind", "line", "confidence", "spec")
     inside = e.where("kind = 'Imports' and confidence = 'Certain'").select(F.col("src_file").alias("file"), F.substring_index("dst_file", "/", 1).alias("library"))
     return resolve.prune_libraries(_library_rows(e), inside).groupBy("library").agg(F.count(F.lit(1)).alias("n"))
 
@@ -342,32 +342,32 @@ _OUT = f" SELECT kind, file, name, symbol_kind, {_CLAMP} FROM sig"
 @query(_SIGNATURE + _OUT)
 def warn_signature(spark, d):
     """K2 E4 F6 H8."""
-    return impact.warn_signature(_changes(spark, d), views.edges(spark, d))
+    return impact.warn_signature(_changes(spark, d), views.edges(spark, d, *graph.SRC, *graph.DST, "kind", "line"))
 
 
 @query(_ASYNC + _OUT)
 def warn_async(spark, d):
     """K3."""
-    return impact.warn_async(_changes(spark, d), views.edges(spark, d))
+    return impact.warn_async(_changes(spark, d), views.edges(spark, d, *graph.SRC, *graph.DST, "kind", "line"))
 
 
 @query(_ORPHAN + _OUT)
 def warn_orphan(spark, d):
     """K4 E15."""
-    return impact.warn_orphan(_changes(spark, d), views.edges(spark, d))
+    return impact.warn_orphan(_changes(spark, d), views.edges(spark, d, *graph.SRC, *graph.DST, "kind", "line"))
 
 
 @query(_INTERFACE + _OUT)
 def warn_interface(spark, d):
     """K5 E16; the data has no Implements edges, so its calls of interfaces stand for them."""
-    return impact.warn_interface(_changes(spark, d), views.edges(spark, d), "Calls")
+    return impact.warn_interface(_changes(spark, d), views.edges(spark, d, *graph.SRC, *graph.DST, "kind", "line"), "Calls")
 
 
 @query(f"""SELECT array_to_string(list(kind || ': ' || n ORDER BY kind), ', ') AS summary FROM (
     SELECT kind, count(*) AS n FROM (SELECT kind FROM ({_SIGNATURE} SELECT kind FROM sig) UNION ALL SELECT kind FROM ({_ASYNC} SELECT kind FROM sig) UNION ALL SELECT kind FROM ({_ORPHAN} SELECT kind FROM sig)) GROUP BY kind)""")
 def warning_summary(spark, d):
     """warnings by kind."""
-    return impact.warning_summary(impact.warnings(cut(_changes(spark, d)), cut(views.edges(spark, d))))
+    return impact.warning_summary(impact.warnings(cut(_changes(spark, d)), cut(views.edges(spark, d, *graph.SRC, *graph.DST, "kind", "line"))))
 
 
 @query(_CHANGE + f""", {SYM}, {CEN}, f AS (SELECT * FROM diff WHERE change_class IN ('modified_sig', 'modified_body')), {_RELAXED},
@@ -377,7 +377,7 @@ def warning_summary(spark, d):
 def context_bundle(spark, d):
     """K7 H6: callers of changed symbols."""
     c = _changes(spark, d).where("change_class in ('modified_sig', 'modified_body')").select("file", "name", F.coalesce("new.own_kind", "old.own_kind").alias("kind"))
-    return impact.context_bundle(c, views.edges(spark, d), views.symbols(spark, d))
+    return impact.context_bundle(c, views.edges(spark, d, *graph.SRC, *graph.DST, "line"), views.symbols(spark, d))
 
 
 # ---------------------------------------------------------------- incremental
@@ -421,7 +421,7 @@ def body_hash_equiv(spark, d):
 @query(f"WITH {EDG} SELECT src_file, src_name, dst_name, edge_id, line FROM (SELECT *, row_number() OVER (PARTITION BY src_file, src_name, dst_name ORDER BY line NULLS FIRST, edge_id) AS rn FROM edg WHERE kind = 'Calls') WHERE rn = 1")
 def dedupe_first(spark, d):
     """The first call of a name from a caller."""
-    calls = views.edges(spark, d).where("kind = 'Calls'")
+    calls = views.edges(spark, d, "src_file", "src_name", "dst_name", "kind", "line").where("kind = 'Calls'")
     return incremental.first_of(calls, ["src_file", "src_name", "dst_name"], ["line", "edge_id"]).select("src_file", "src_name", "dst_name", "edge_id", "line")
 
 
@@ -429,7 +429,7 @@ def dedupe_first(spark, d):
 def remove_file(spark, d):
     """The graph without its test files."""
     gone = table(spark, d, "source_files").where("is_test_path").select("file")
-    s, e, _ = incremental.remove_files(gone, views.symbols(spark, d), views.edges(spark, d))
+    s, e, _ = incremental.remove_files(gone, views.symbols(spark, d), views.edges(spark, d, "src_file"))
     counts = s.agg(F.count(F.lit(1)).alias("symbols")).unionByName(e.agg(F.count(F.lit(1)).alias("edges")), allowMissingColumns=True)
     return counts.agg(F.max("symbols").alias("symbols"), F.max("edges").alias("edges"))
 
@@ -437,7 +437,7 @@ def remove_file(spark, d):
 @query(f"WITH {SYM}, {EDG} SELECT edge_id FROM edg e WHERE dst_name <> '' AND NOT EXISTS (SELECT 1 FROM sym WHERE file = e.dst_file AND name = e.dst_name)")
 def dangling_edges(spark, d):
     """Edges to names that their file does not have now."""
-    return incremental.dangling_edges(views.edges(spark, d), views.symbols(spark, d)).select("edge_id")
+    return incremental.dangling_edges(views.edges(spark, d, "dst_file", "dst_name"), views.symbols(spark, d)).select("edge_id")
 
 
 _WANTED = "List every caller of the index and say which of them are tests."
@@ -461,7 +461,7 @@ def match_lines(spark, d):
 @query(f"WITH {SYM}, {EDG}, f AS (SELECT DISTINCT file, language, content_hash, is_test_path FROM source_files WHERE removed_at IS NULL) SELECT (SELECT count(*) FROM sym) AS symbols, (SELECT count(*) FROM edg) AS edges, (SELECT count(*) FROM f) AS files, (SELECT string_agg(DISTINCT lower(regexp_extract(file, '\\.([^./]+)$', 1)), ', ' ORDER BY lower(regexp_extract(file, '\\.([^./]+)$', 1))) FROM f) AS extensions, (SELECT count(*) FROM events) AS edits")
 def status(spark, d):
     """F7 B4."""
-    return incremental.status(views.symbols(spark, d), views.edges(spark, d), views.files(spark, d), table(spark, d, "events"))
+    return incremental.status(views.symbols(spark, d), views.edges(spark, d, "kind"), views.files(spark, d), table(spark, d, "events"))
 
 
 @query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS fresh, event_id FROM events),
@@ -484,7 +484,7 @@ def attribute_failures(spark, d):
 def path_suffix(spark, d):
     """Edges into current files by a suffix of their path."""
     current = views.files(spark, d).select(F.col("file").alias("dst_file")).distinct()
-    return views.edges(spark, d).join(current, "dst_file", "left_semi").where(F.endswith("dst_file", F.lit(".rs"))).select("edge_id")
+    return views.edges(spark, d, "dst_file").join(current, "dst_file", "left_semi").where(F.endswith("dst_file", F.lit(".rs"))).select("edge_id")
 
 
 def _graph(spark, d) -> Graph:

@@ -41,11 +41,15 @@ def changed_symbols(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def edges(spark: SparkSession, d: str) -> DataFrame:
-    """Edges once for each delivery-independent row, with plain paths and spellings."""
+def edges(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Edges once for each ``edge_id``, with plain paths and spellings.
+
+    Deliveries of an edge are equal but for their time, so with ``columns`` only these are read, shuffled and
+    made distinct together with the id.
+    """
     rows = table(spark, d, "edges")
     plain = {"src_file": normalize_path(F.col("src_file")), "dst_file": normalize_path(F.col("dst_file")), "confidence": F.initcap(F.trim("confidence"))}
-    return rows.withColumns(plain).select(*EDGE_COLUMNS).distinct()
+    return rows.withColumns(plain).select(*(dict.fromkeys(("edge_id", *columns)) if columns else EDGE_COLUMNS)).distinct()
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
