@@ -40,7 +40,7 @@ START = ("prelude/boot/registry.ts", "installAll", "Function")
 @query(f"{BASE} SELECT row_number() OVER (ORDER BY {ORDER})::INT AS rank, file, name, kind, in_degree FROM ranked ORDER BY {ORDER} LIMIT 50")
 def centrality_topk(spark, d):
     """F1 H1 H2: the most central symbols."""
-    top = graph.ranked(views.symbols(spark, d), graph.centrality(views.edges(spark, d, *graph.DST)))
+    top = graph.ranked(views.symbols(spark, d, "line_start"), graph.centrality(views.edges(spark, d, *graph.DST)))
     return graph.with_rank(top, graph.by_centrality(), 50).select("rank", *KEY, "in_degree")
 
 
@@ -49,7 +49,7 @@ def centrality_topk(spark, d):
     SELECT row_number() OVER (ORDER BY {ORDER})::INT AS rank, file, name, kind, in_degree, edge_line FROM hit JOIN ranked USING (file, name, kind) ORDER BY {ORDER} LIMIT 10""")
 def callers_topk(spark, d):
     """Callers of the most central symbol."""
-    s, e = views.symbols(spark, d), views.edges(spark, d, *graph.SRC, *graph.DST, "line")
+    s, e = views.symbols(spark, d, "line_start"), views.edges(spark, d, *graph.SRC, *graph.DST, "line")
     central = graph.centrality(e)
     best = graph.ranked(s, central).orderBy(*graph.by_centrality()).limit(1)
     ends = graph.endpoint_symbols(graph.callers(e, best), s, "src")
@@ -61,7 +61,7 @@ def callers_topk(spark, d):
     SELECT row_number() OVER (ORDER BY {ORDER})::INT AS rank, file, name, kind, in_degree, edge_line FROM hit JOIN ranked USING (file, name, kind) ORDER BY {ORDER} LIMIT 10""")
 def callees_topk(spark, d):
     """What the symbol with the most outgoing edges refers to."""
-    s, e = views.symbols(spark, d), views.edges(spark, d, *graph.SRC, *graph.DST, "line")
+    s, e = views.symbols(spark, d, "line_start"), views.edges(spark, d, *graph.SRC, *graph.DST, "line")
     best = e.groupBy(*graph.SRC).count().orderBy(F.desc("count"), *graph.SRC).limit(1).select(*[F.col(x).alias(k) for x, k in zip(graph.SRC, KEY)])
     ends = graph.endpoint_symbols(graph.callees(e, best), s, "dst")
     return graph.with_rank(graph.ranked(ends, graph.centrality(e)), graph.by_centrality(), 10).select("rank", *KEY, "in_degree", "edge_line")
@@ -73,14 +73,14 @@ def callees_topk(spark, d):
     SELECT file, name, kind, tier, count(*) AS n FROM best WHERE tier = b GROUP BY ALL""")
 def callers_relaxed(spark, d):
     """Callers of every symbol by its full key, else by file and name."""
-    hits = graph.callers_relaxed(views.edges(spark, d, *graph.SRC, *graph.DST, "line").where("dst_kind is not null"), views.symbols(spark, d))
+    hits = graph.callers_relaxed(views.edges(spark, d, *graph.SRC, *graph.DST, "line").where("dst_kind is not null"), views.symbols(spark, d, "kind"))
     return hits.groupBy(*KEY, "tier").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"{BASE} SELECT row_number() OVER (ORDER BY {ORDER})::INT AS rank, file, name, kind, in_degree FROM ranked WHERE name = 'emit' ORDER BY {ORDER} LIMIT 5")
 def find_exact(spark, d):
     """Symbols of a name."""
-    found = graph.find_by_name(views.symbols(spark, d), "emit")
+    found = graph.find_by_name(views.symbols(spark, d, "line_start"), "emit")
     return graph.with_rank(graph.ranked(found, graph.centrality(views.edges(spark, d, *graph.DST))), graph.by_centrality(), 5).select("rank", *KEY, "in_degree")
 
 
@@ -89,7 +89,7 @@ def find_exact(spark, d):
     ORDER BY in_degree DESC, distance, file NULLS FIRST, line_start NULLS FIRST, name NULLS FIRST, kind NULLS FIRST LIMIT 5""")
 def find_fuzzy(spark, d):
     """Names within two edits where no symbol has the name."""
-    found = graph.ranked(graph.find_by_name(views.symbols(spark, d), "emitt"), graph.centrality(views.edges(spark, d, *graph.DST)))
+    found = graph.ranked(graph.find_by_name(views.symbols(spark, d, "line_start"), "emitt"), graph.centrality(views.edges(spark, d, *graph.DST)))
     order = [F.desc("in_degree"), "distance", *[F.col(c).asc_nulls_first() for c in ("file", "line_start", "name", "kind")]]
     return graph.with_rank(found, order, 5).select("rank", *KEY, "distance", "in_degree")
 
@@ -110,7 +110,7 @@ _OUTLINE = f"""WITH {SYM}, f AS (SELECT file, line_start AS line, name, kind, co
 @query(_OUTLINE + ' SELECT file, entry, line, label, "group", members FROM o')
 def outline_collapse(spark, d):
     """The outlines of all files."""
-    return graph.outline(views.symbols(spark, d))
+    return graph.outline(views.symbols(spark, d, "line_start", "signature", "visibility"))
 
 
 @query(
@@ -123,13 +123,13 @@ def outline_collapse(spark, d):
 )
 def outline_header(spark, d):
     """the summary lines of all outlines."""
-    return graph.outline_headers(graph.outline(views.symbols(spark, d)))
+    return graph.outline_headers(graph.outline(views.symbols(spark, d, "line_start", "signature", "visibility")))
 
 
 @query(f"WITH {SYM}, best AS (SELECT file FROM sym GROUP BY file ORDER BY count(*) DESC, file LIMIT 1) SELECT row_number() OVER (ORDER BY line_start, name, kind)::INT AS rank, file, name, kind, line_start FROM sym JOIN best USING (file) WHERE visibility = 'Export' ORDER BY line_start, name, kind LIMIT 50")
 def exports_of(spark, d):
     """Exports of the file with the most symbols."""
-    s = views.symbols(spark, d)
+    s = views.symbols(spark, d, "line_start", "visibility")
     file = s.groupBy("file").count().orderBy(F.desc("count"), "file").first().file
     return graph.with_rank(graph.exports_of(s, file), ["line_start", "name", "kind"], 50).select("rank", *KEY, "line_start")
 
@@ -291,7 +291,7 @@ def resolve_calls_unique(spark, d):
     """Unresolved calls whose target is clear from the imports."""
     e = views.edges(spark, d)
     open_ = e.where("kind = 'Calls' and confidence = 'Unresolved'").select("edge_id")
-    return resolve.resolve_calls(e, views.symbols(spark, d)).join(open_, "edge_id").select("edge_id", "dst_file", "dst_kind", "confidence")
+    return resolve.resolve_calls(e, views.symbols(spark, d, "line_start")).join(open_, "edge_id").select("edge_id", "dst_file", "dst_kind", "confidence")
 
 
 @query(_LIBS + ", res AS (SELECT DISTINCT src_file AS file, split_part(dst_file, '/', 1) AS library FROM edg WHERE kind = 'Imports' AND confidence = 'Certain') SELECT l.library, count(*) AS n FROM lib l WHERE NOT EXISTS (SELECT 1 FROM res r WHERE r.file = l.file AND r.library = l.library) GROUP BY l.library")
@@ -377,7 +377,7 @@ def warning_summary(spark, d):
 def context_bundle(spark, d):
     """K7 H6: callers of changed symbols."""
     c = _changes(spark, d).where("change_class in ('modified_sig', 'modified_body')").select("file", "name", F.coalesce("new.own_kind", "old.own_kind").alias("kind"))
-    return impact.context_bundle(c, views.edges(spark, d, *graph.SRC, *graph.DST, "line"), views.symbols(spark, d))
+    return impact.context_bundle(c, views.edges(spark, d, *graph.SRC, *graph.DST, "line"), views.symbols(spark, d, "line_start", "signature"))
 
 
 # ---------------------------------------------------------------- incremental
@@ -429,7 +429,7 @@ def dedupe_first(spark, d):
 def remove_file(spark, d):
     """The graph without its test files."""
     gone = table(spark, d, "source_files").where("is_test_path").select("file")
-    s, e, _ = incremental.remove_files(gone, views.symbols(spark, d), views.edges(spark, d, "src_file"))
+    s, e, _ = incremental.remove_files(gone, views.symbols(spark, d, "kind"), views.edges(spark, d, "src_file"))
     counts = s.agg(F.count(F.lit(1)).alias("symbols")).unionByName(e.agg(F.count(F.lit(1)).alias("edges")), allowMissingColumns=True)
     return counts.agg(F.max("symbols").alias("symbols"), F.max("edges").alias("edges"))
 
@@ -437,7 +437,7 @@ def remove_file(spark, d):
 @query(f"WITH {SYM}, {EDG} SELECT edge_id FROM edg e WHERE dst_name <> '' AND NOT EXISTS (SELECT 1 FROM sym WHERE file = e.dst_file AND name = e.dst_name)")
 def dangling_edges(spark, d):
     """Edges to names that their file does not have now."""
-    return incremental.dangling_edges(views.edges(spark, d, "dst_file", "dst_name"), views.symbols(spark, d)).select("edge_id")
+    return incremental.dangling_edges(views.edges(spark, d, "dst_file", "dst_name"), views.symbols(spark, d, "kind")).select("edge_id")
 
 
 _WANTED = "List every caller of the index and say which of them are tests."
@@ -461,7 +461,7 @@ def match_lines(spark, d):
 @query(f"WITH {SYM}, {EDG}, f AS (SELECT DISTINCT file, language, content_hash, is_test_path FROM source_files WHERE removed_at IS NULL) SELECT (SELECT count(*) FROM sym) AS symbols, (SELECT count(*) FROM edg) AS edges, (SELECT count(*) FROM f) AS files, (SELECT string_agg(DISTINCT lower(regexp_extract(file, '\\.([^./]+)$', 1)), ', ' ORDER BY lower(regexp_extract(file, '\\.([^./]+)$', 1))) FROM f) AS extensions, (SELECT count(*) FROM events) AS edits")
 def status(spark, d):
     """F7 B4."""
-    return incremental.status(views.symbols(spark, d), views.edges(spark, d, "kind"), views.files(spark, d), table(spark, d, "events"))
+    return incremental.status(views.symbols(spark, d, "kind"), views.edges(spark, d, "kind"), views.files(spark, d), table(spark, d, "events"))
 
 
 @query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS fresh, event_id FROM events),

@@ -18,9 +18,10 @@ def all_symbols(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "symbols").unionByName(table(spark, d, "prelude_symbols"))
 
 
-def symbols(spark: SparkSession, d: str) -> DataFrame:
-    """Symbols that are there now."""
-    return all_symbols(spark, d).where("removed_at is null").select(*SYMBOL_COLUMNS).distinct()
+def symbols(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Symbols that are there now; repeated rows are equal, so with ``columns`` only these and the key are read."""
+    chosen = dict.fromkeys((*SYMBOL_COLUMNS[:3], *columns)) if columns else SYMBOL_COLUMNS
+    return all_symbols(spark, d).where("removed_at is null").select(*chosen).distinct()
 
 
 def symbols_at(spark: SparkSession, d: str, moment: str) -> DataFrame:
