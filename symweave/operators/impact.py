@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from symweave.functions.paths import is_test_path
 from symweave.functions.render import clamp
 from symweave.operators import graph
+from symweave.runtime import cut
 from symweave.schema import KEY
 
 LISTED = 10
@@ -152,6 +153,26 @@ def in_cycle(edges: DataFrame, start: DataFrame, max_depth: int = 64) -> bool:
     return bool(levels) and not goal(levels[-1]).isEmpty()
 
 
+def warn_reexports(changes: DataFrame, edges: DataFrame, max_depth: int = 64) -> DataFrame:
+    """REEXPORT_CHAIN: a removed or changed symbol that other files pass on, directly or through further re-exports."""
+    found = cut(_found(changes, ["removed", "modified_sig"]))
+    passed = edges.where("kind = 'ReExports' and dst_file is not null and dst_name is not null and src_file is not null and src_name is not null")
+    step = cut(passed.select(F.col("dst_file").alias("at_file"), F.col("dst_name").alias("at_name"), "src_file", "src_name").distinct())
+    here = found.select("file", "name", "own_kind", F.col("file").alias("at_file"), F.col("name").alias("at_name"))
+    seen, reached = here, None
+    for _ in range(max_depth):
+        further = here.join(step, ["at_file", "at_name"]).select("file", "name", "own_kind", F.col("src_file").alias("at_file"), F.col("src_name").alias("at_name")).distinct()
+        here = cut(further.join(seen, seen.columns, "left_anti"))
+        if here.isEmpty():
+            break
+        seen = seen.unionByName(here)
+        reached = here if reached is None else reached.unionByName(here)
+    if reached is None:
+        return _warning("REEXPORT_CHAIN", found.limit(0), F.lit(""))
+    sites = listed(reached, ["file", "name", "own_kind"], F.format_string("%s:%s", "at_file", "at_name"))
+    return _warning("REEXPORT_CHAIN", found.join(sites, ["file", "name", "own_kind"]), F.format_string("%s is passed on by %d other name%s: %s", "name", "n", F.when(F.col("n") == 1, "").otherwise("s"), "listed"))
+
+
 def warnings(changes: DataFrame, edges: DataFrame) -> DataFrame:
     """All warnings of the four cascades."""
     parts = [warn_signature(changes, edges), warn_async(changes, edges), warn_orphan(changes, edges), warn_interface(changes, edges)]

@@ -452,9 +452,10 @@ def closest_line(spark, d):
     return textscan.closest_line(tasks, _WANTED).withColumn("similarity", F.round("similarity", 9))
 
 
-@query()
+@query("""WITH p AS (SELECT source || '/' || doc_id AS file, string_split(text, 'symbol table') AS p FROM documents WHERE contains(text, 'symbol table')), e AS (SELECT file, p, unnest(range(1, len(p))) AS i FROM p)
+    SELECT file, (1 + list_sum(list_transform(p[1:i], lambda x: length(x) - length(replace(x, chr(10), '')))))::INT AS line FROM e""")
 def match_lines(spark, d):
-    """The lines of all occurrences of a text; tested against a scan in Python."""
+    """The lines of all occurrences of a text."""
     return textscan.match_lines(views.texts(spark, d), "symbol table")
 
 
@@ -498,7 +499,11 @@ def search_callers(spark, d):
     return search(_graph(spark, d), "callers of emit")
 
 
-@query()
+@query(f"""{BASE}, top AS (SELECT row_number() OVER (ORDER BY {ORDER})::INT AS rank, file, line_start, signature, name FROM ranked WHERE name = 'emit' ORDER BY {ORDER} LIMIT 5),
+    head AS (SELECT count(*) AS n, count(DISTINCT file) AS f, list_sort(list(DISTINCT regexp_extract(file, '[^/]*$'))) AS names FROM top)
+    SELECT 0 AS rank, '' AS file, 0 AS line, '=== ' || n || ' symbol' || CASE WHEN n = 1 THEN '' ELSE 's' END || ' matching ' || chr(39) || 'emit' || chr(39) || CASE WHEN f = 1 THEN ' in ' || names[1] WHEN f <= 3 THEN ' across ' || f || ' files (' || array_to_string(names[1:3], ', ') || ')' ELSE ' across ' || f || ' files (e.g. ' || array_to_string(names[1:3], ', ') || ', +' || (f - 3) || ' more)' END || ' ===' AS signature,
+        NULL::VARCHAR AS snippet, NULL::VARCHAR AS context, true AS is_hint FROM head
+    UNION ALL SELECT rank, file, line_start, regexp_replace(coalesce(signature, name), '(?s)(\\))\\s*(:|->).*$', '\\1'), NULL, NULL, false FROM top""")
 def search_find(spark, d):
     """A text query for a symbol."""
     return search(_graph(spark, d), "find emit")

@@ -49,6 +49,14 @@ def test_further_warnings(df):
     assert impact.in_cycle(ring, at("a")) and not impact.in_cycle(ring, at("c"))
 
 
+def test_reexport_chain(df):
+    c = impact.diff(df([sym("gone"), sym("kept", line=9)], SYM), df([sym("kept", line=9)], SYM))
+    hop = lambda a, b, fa, fb: edge(a, b, kind="ReExports", fa=fa, fb=fb)
+    edges = df([hop("g", "gone", "b.rs", "a.rs"), hop("h", "g", "c.rs", "b.rs"), hop("g", "h", "b.rs", "c.rs"), hop("k", "kept", "b.rs", "a.rs")], EDG)
+    assert [r.body for r in impact.warn_reexports(c, edges).collect()] == ["gone is passed on by 2 other names: b.rs:g, c.rs:h"]
+    assert impact.warn_reexports(c, edges.limit(0)).count() == 0
+
+
 def test_context_and_tests(df):
     edges = df([edge(f"c{i}", "t") for i in range(8)] + [("tests/x.py", "x", "Module", "a.rs", "", "Module", "Imports", 1, "Certain", None)], EDG)
     symbols = df([sym(f"c{i}", line=i) for i in range(8)] + [sym("t")], SYM)
