@@ -17,6 +17,8 @@ An empty table gives no rows. Columns that are not named here are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -121,18 +123,19 @@ def key_results(edges: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.9), min
     one = _latest(edges, to_hi=to_hi, to_lo=to_lo, src_hi=src_hi, src_lo=src_lo, line=F.col("line").cast("bigint"))
     one = cut(one if min_share > 0 else one.drop("edge_id"))
     total = one.count()
+    least = math.ceil(min_share * total * (1 - 1e-12))
     key = ["side", "hi", "lo"]
     rest = [c for c in one.columns if c in ("line", "edge_id")]
     sides = one.select(_sides("lo"), *rest).select("s.*", *rest).where(F.col("hi").isNotNull())
     if min_share > 0:
-        counts = sides.groupBy("side", "hi").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.lit(min_share * total))
+        counts = sides.groupBy("side", "hi").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.lit(least))
         heavy = [(r.side, r.hi) for r in counts.collect()]  # at most 1 / min_share for each side
         of = {s: [h for side, h in heavy if side == s] for s in ("to", "from")}
         sides = sides.where(((F.col("side") == "to") & F.col("hi").isin(of["to"])) | ((F.col("side") == "from") & F.col("hi").isin(of["from"])))
     pairs = sides.groupBy(*key, "other").agg(F.count(F.lit(1)).alias("n"))
     out = pairs.groupBy(*key).agg(F.sum("n").alias("degree"), F.count("other").alias("partners"))
     if min_share > 0:  # few keys: one edge of each tells its name
-        out = cut(out.where(F.col("degree") >= F.lit(min_share * total)))
+        out = cut(out.where(F.col("degree") >= F.lit(least)))
         seen = sides.groupBy(*key).agg(F.min("edge_id").alias("edge_id")).collect()
         edges = edges.where(F.col("edge_id").isin([r.edge_id for r in seen]))
     found = key_quantiles(sides.groupBy(*key, "line").agg(F.count(F.lit(1)).alias("n")), key, "line", list(quantiles))

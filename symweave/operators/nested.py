@@ -16,6 +16,7 @@ letter case only) get a number behind the later name. Columns of the input other
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,7 +30,15 @@ from pyspark.sql import types as T
 from symweave.runtime import table
 
 _START = re.compile(r'[{\[]|"(?=(?:\s|\\[nrt])*(?:\\?[{\[]))')
-_DECODER = json.JSONDecoder()
+
+
+def _finite(text: str) -> float | None:
+    value = float(text)
+    return value if math.isfinite(value) else None
+
+
+#: NaN, Infinity and numbers beyond all doubles have no place in the tables; they count as null.
+_DECODER = json.JSONDecoder(parse_constant=lambda _: None, parse_float=_finite)
 
 
 # ---------------------------------------------------------------- records inside of other text
@@ -77,7 +86,7 @@ def find_records(df: DataFrame, key: str, text: str, wanted: tuple[str, ...]) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, i, json.dumps(o, ensure_ascii=False)) for k, s in zip(b["k"], b["t"]) for i, o in enumerate(embedded_objects(s, wanted))]
+            rows = [(k, i, json.dumps(o)) for k, s in zip(b["k"], b["t"]) for i, o in enumerate(embedded_objects(s, wanted))]
             yield pd.DataFrame(rows, columns=["key", "seq", "json"])
 
     kind = df.schema[key].dataType

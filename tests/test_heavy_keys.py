@@ -31,6 +31,11 @@ def test_heavy_share(df):
     assert key_results(df([], SCHEMA)).count() == 0
 
 
+def test_share_is_exact(df):
+    rows = [edge(i, f"s{i}.rs", "hot.rs" if i < 7 else f"t{i}.rs", i) for i in range(70)]
+    assert {r.file for r in key_results(df(rows, SCHEMA), min_share=0.1).collect()} == {"hot.rs"}
+
+
 def test_latest_delivery_counts(df):
     rows = [edge(1, "a.rs", "old.rs", 5), edge(1, "a.rs", "new.rs", 7, T + dt.timedelta(1)), edge(1, "a.rs", "new.rs", 7, T + dt.timedelta(1)), edge(2, "a.rs", "new.rs", 9, None)]
     got = {r.file: (r.degree, r.line_p50) for r in key_results(df(rows, SCHEMA)).where("side = 'to'").collect()}

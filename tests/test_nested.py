@@ -45,6 +45,11 @@ def test_lone_values_nulls_and_changing_types(df):
     assert got == {(0, 0, 0, 0), (1, 1, 1, 1), (1, 1, 1, 2), (2, 0, -1, 0), (2, 0, -1, 2), (2, 2, -1, 0)}
 
 
+def test_odd_numbers_and_characters(df):
+    texts = ['{"tests": [{"duration": NaN, "call": {"traceback": [{"path": "p", "lineno": 123456789012345678901234567890, "x": 1e999}]}}]}', '{"tests": [{"call": {"traceback": ["\\u00e9\\ud83d\\ude00 \u00e9", ""]}}]}']
+    assert leaves(df, texts) == {(0, 0, -1, 0), (1, 0, -1, 0), (1, 0, -1, 1)}
+
+
 def test_no_reports(df):
     assert leaves(df, [None, "x"]) == set()
     assert leaves(df, []) == set()
