@@ -45,6 +45,8 @@ def script(c: str) -> str:
 
 _ALIKE = {latin: (latin, *others) for latin, others in LOOK_ALIKES.items()}
 _IMITATES = {x for others in LOOK_ALIKES.values() for x in others}
+#: Only scripts that have look-alikes need a model, which keeps it to pairs of some hundred letters.
+_SCRIPTS = {script(c) for c in _IMITATES} | {"LATIN"}
 
 
 def bigrams(text: str, out: Counter) -> None:
@@ -53,9 +55,12 @@ def bigrams(text: str, out: Counter) -> None:
     ``^`` and ``$`` stand for a word's ends. A word of another script made of look-alikes only tells nothing.
     """
     for word, n in Counter(_WORD.findall(compatible(text).lower())).items():
-        if word.isascii() or (len({script(c) for c in word if not unicodedata.combining(c)}) == 1 and not all(c in _IMITATES for c in word)):
-            for pair in zip("^" + word, word + "$"):
-                out[pair] += n
+        if not word.isascii():
+            kinds = {script(c) for c in word if not unicodedata.combining(c)}
+            if len(kinds) != 1 or not kinds <= _SCRIPTS or all(c in _IMITATES for c in word):
+                continue
+        for pair in zip("^" + word, word + "$"):
+            out[pair] += n
 
 
 def count_bigrams(documents: DataFrame, text: str = "text") -> dict[tuple[str, str], int]:

@@ -41,7 +41,7 @@ PIECES = 2
 #: Words of a shard: a partition is indexed in pieces of at most about this size (whole documents).
 SHARD = 1_000_000
 #: Items searched at once. More items take further passes over the corpus, so what is broadcast is bounded.
-BLOCK = 5_000
+BLOCK, BLOCK_CHARACTERS = 5_000, 20_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
@@ -202,8 +202,8 @@ def leaks(documents: DataFrame, items: DataFrame, text: str = "text", min_words:
     spark = documents.sparkSession
     rows = items.where(F.col("item_text").isNotNull()).select("item_id", "item_text")
     docs = documents.where(F.col(text).isNotNull()).select("doc_id", F.col(text).alias("text"))
-    n = rows.count()
-    blocks = max(1, -(-n // BLOCK))
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("item_text")), F.lit(0))).first()
+    blocks = max(1, -(-n // BLOCK), -(-size // BLOCK_CHARACTERS))
     out = None
     for b in range(blocks):
         part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
