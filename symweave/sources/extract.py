@@ -91,8 +91,13 @@ def extract_python(path: str, src: str) -> Extract:
     out = Extract(path)
     lines = src.split("\n")
 
+    coded = [x.encode() for x in lines]  # the parser's columns are bytes
+
     def text(node) -> str:
-        return ast.get_source_segment(src, node) or ""
+        if node.lineno == node.end_lineno:
+            return coded[node.lineno - 1][node.col_offset : node.end_col_offset].decode()
+        first, *between = coded[node.lineno - 1 : node.end_lineno]
+        return b"\n".join([first[node.col_offset :], *between[:-1], between[-1][: node.end_col_offset]]).decode()
 
     def visit(node, owner: dict | None, in_class: bool) -> None:
         for child in ast.iter_child_nodes(node):
@@ -101,7 +106,7 @@ def extract_python(path: str, src: str) -> Extract:
                 kind = "Method" if in_class else "AsyncFunction" if is_async else "Function"
                 a = child.args
                 given = [*a.posonlyargs, *a.args]
-                params = [text(x) if text(x) else x.arg for x in given]
+                params = [text(x) or x.arg for x in given]
                 params += ["*" + text(a.vararg)] if a.vararg else []
                 params += [text(x) for x in a.kwonlyargs] + (["**" + text(a.kwarg)] if a.kwarg else [])
                 result = text(child.returns) if child.returns else None
