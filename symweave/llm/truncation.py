@@ -6,7 +6,7 @@ that stands for the rest. What counts as a proper end beyond a closing sentence
 the data, not listed: the shapes of last lines that stand in front of the closing word in complete texts
 are the baseline, and a last line of another shape without a terminator is missing its end. Lengths at
 which a source's texts pile up although few of them are complete are field limits; a text of exactly that
-length was cut even if it happens to end well.
+length was cut even if it happens to end well. White space at the end tells of a cut where it is rare.
 
 Defined results: null, empty and blank texts are no case, nor is a text that merely lacks the closing word.
 A text with the closing word as its last line is complete. Of re-delivered rows the one with the largest
@@ -31,6 +31,8 @@ CLOSING = "DONE"
 SUPPORT = 2
 #: Longer last lines are running text, which needs a terminator.
 SHAPE = 80
+#: Where fewer texts than this end in white space, a text that does was followed by something.
+RARE = 0.05
 #: A field limit: so many texts of one length, so many times the usual number around it, so many incomplete.
 LIMIT_ROWS, LIMIT_TIMES, LIMIT_OPEN, LIMIT_AROUND = 4, 8.0, 0.6, 8
 
@@ -117,7 +119,7 @@ def inspect(text: str) -> tuple[str, str, bool]:
 
 
 def inspected(rows: DataFrame, key: str, source: str, text: str, at: str | None) -> DataFrame:
-    """``k, s, n_chars, n_bytes, why, shape, closed`` of the latest delivery of each key, blank texts left out.
+    """``k, s, n_chars, n_bytes, why, shape, closed, blank`` of the latest delivery of each key, blank texts left out.
 
     Only what the automaton says about a text is shuffled, not the text.
     """
@@ -127,6 +129,7 @@ def inspected(rows: DataFrame, key: str, source: str, text: str, at: str | None)
             seen = [inspect(t) if t and not t.isspace() else ("", "", None) for t in b["t"]]
             out = b[["k", "s", "n_chars", "n_bytes", "at", "h"]].copy()
             out["why"], out["shape"], out["closed"] = ([x[i] for x in seen] for i in range(3))
+            out["blank"] = [bool(t) and t[-1].isspace() for t in b["t"]]
             yield out
 
     kind = dict(rows.dtypes)
@@ -135,8 +138,8 @@ def inspected(rows: DataFrame, key: str, source: str, text: str, at: str | None)
         F.col(key).alias("k"), F.col(source).alias("s"), F.length(text).alias("n_chars"), F.octet_length(text).alias("n_bytes"),
         F.coalesce(moment, F.lit(-1)).alias("at"), F.xxhash64(source, text).alias("h"), F.col(text).alias("t"),
     )
-    seen = given.mapInPandas(run, f"k {kind[key]}, s {kind[source]}, n_chars int, n_bytes int, at bigint, h bigint, why string, shape string, closed boolean")
-    row = F.struct("s", "n_chars", "n_bytes", "why", "shape", "closed")
+    seen = given.mapInPandas(run, f"k {kind[key]}, s {kind[source]}, n_chars int, n_bytes int, at bigint, h bigint, why string, shape string, closed boolean, blank boolean")
+    row = F.struct("s", "n_chars", "n_bytes", "why", "shape", "closed", "blank")
     one = seen.groupBy("k").agg(F.max_by(row, F.struct("at", "h")).alias("r"))
     return one.select("k", "r.*").where(F.col("closed").isNotNull())
 
@@ -146,7 +149,13 @@ def judged(rows: DataFrame, key: str = "rollout_id", source: str = "run_label",
     seen = cut(inspected(rows, key, source, text, at))
     proper = seen.where("closed").groupBy("shape").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= SUPPORT) & (F.col("shape") != ""))
     fit = seen.join(proper.select("shape", F.lit(True).alias("proper")), "shape", "left")
-    why = F.when(F.col("why").isin("no terminator", "mark") & F.coalesce("proper", F.lit(False)), "").otherwise(F.col("why"))
+    texts, blank = seen.agg(F.count(F.lit(1)), F.count_if("blank")).first()
+    rare = F.lit(blank < RARE * texts)
+    why = (
+        F.when(~F.col("closed") & F.col("blank") & rare & ((F.col("why") == "") | F.col("why").isin("no terminator", "mark")), "blank end")
+        .when(F.col("why").isin("no terminator", "mark") & F.coalesce("proper", F.lit(False)), "")
+        .otherwise(F.col("why"))
+    )
     fit = fit.select("k", "s", "n_chars", "n_bytes", "closed", why.alias("why"))
     limits = None
     for size in ("n_chars", "n_bytes"):

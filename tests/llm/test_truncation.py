@@ -31,6 +31,12 @@ def test_baseline_of_proper_ends(df):
     assert run(df, rows) == {6: "no terminator", 8: "mark", 9: "no terminator"}
 
 
+def test_blank_ends(df):
+    rows = [("s", f"Sentence {i}.") for i in range(60)] + [("s", "Sentence. "), ("s", "Ends well.\n\nDONE\n")]
+    assert run(df, rows) == {60: "blank end"}
+    assert run(df, [("s", f"Sentence {i}.\n") for i in range(9)]) == {}
+
+
 def test_field_limits(df):
     body = "word " * 200
     rows = [("a", (body + "x" * i)[: 300 + i % 7] + ".") for i in range(10)]
