@@ -2,10 +2,12 @@
 
 Every partition of the corpus builds an FM-index over its words ("training shard"); all short phrases of
 all items are searched backwards in it at once and located by sampled suffix positions. The hits of a
-document and an item are then merged to spans: on each alignment the hits are extended over replaced
-words as long as at most one word in eight differs, and pieces that follow each other in both texts, with
-an insertion between them, are added up. A pair is reported when the pieces cover ``min_words`` words of
-the item's own wording.
+document and an item are then merged to spans: the hits are extended over replaced words as long as at
+most one word in eight differs, and two pieces that follow each other in both texts, with an insertion
+between them, are added up. A pair is reported when the pieces cover ``min_words`` words of the item's own
+wording. Words are those between blanks: ``muster_lot299`` is one, though the index holds its two parts.
+A word is replaced by one word of any number of parts (``GLUED`` where no blank parts it from the words
+beside it), or by as many parts as it has.
 
 Why short phrases find everything: ``min_words`` = 24 words with 3 replaced and one insertion fall into at
 most 5 runs of 21 words, so that one run has at least 5; phrases have ``phrase`` = 4.
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -36,8 +39,10 @@ from symweave.llm.fmindex import FMIndex
 from symweave.llm.forms import skeleton
 
 MIN_WORDS, ONE_IN, PHRASE, SHARED = 24, 8, 4, 5
-#: Pieces of one passage: an insertion may stand between two.
-PIECES = 2
+#: Words of the shorter of two pieces with an insertion between.
+LEAST = 3
+#: Parts that a replacing word may have where no blanks set it apart from its neighbours; with blanks it may have any number.
+GLUED = 8
 #: Words of a shard: a partition is indexed in pieces of at most about this size (whole documents).
 SHARD = 1_000_000
 #: Items searched at once. More items take further passes over the corpus, so what is broadcast is bounded.
@@ -48,15 +53,20 @@ _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
-def words(text: str | None) -> list[str]:
-    """The words of a text in one form: looks folded, tags and entities undone, lower case."""
+def plain(text: str | None) -> str:
+    """A text in one form: looks folded, tags and entities undone, lower case."""
     if not text:
-        return []
+        return ""
     if "&" in text:
         text = html.unescape(text)
     if "<" in text:
         text = _TAG.sub(" ", text)
-    return _WORD.findall(skeleton(text).lower())
+    return skeleton(text).lower()
+
+
+def words(text: str | None) -> list[str]:
+    """The words of a text in its one form, and the parts of those with punctuation inside."""
+    return _WORD.findall(plain(text))
 
 
 class Items:
@@ -66,24 +76,25 @@ class Items:
         split = {i: _SENTENCE.split(t.strip()) for i, t in rows if t}
         seen = Counter(s for ss in split.values() for s in {" ".join(words(x)) for x in ss})
         self.ids: list[int] = []
-        self.tokens: list[np.ndarray] = []
-        self.units: list[np.ndarray] = []
+        self.units: list[list[tuple[int, ...]]] = []
+        self.begins: list[list[int]] = []
         self.vocabulary: dict[str, int] = {}
         starts, owners, phrases = [], [], []
         for i, sentences in split.items():
-            symbols, units, unit = [], [], 0
+            symbols, units, begins = [], [], []
             for s in sentences:
                 if seen[" ".join(words(s))] >= shared:
                     continue
                 for written in s.split():
-                    own = words(written)
-                    symbols += [self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in own]
-                    units += [unit] * len(own)
-                    unit += bool(own)
+                    own = [self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words(written)]
+                    if own:
+                        begins.append(len(symbols))
+                        units.append(tuple(own))
+                        symbols += own
             k = len(self.ids)
             self.ids.append(i)
-            self.tokens.append(np.array(symbols, np.int64))
-            self.units.append(np.array(units, np.int64))
+            self.units.append(units)
+            self.begins.append(begins)
             for j in range(len(symbols) - phrase + 1):
                 starts.append(j)
                 owners.append(k)
@@ -96,60 +107,126 @@ class Items:
         return len(self.vocabulary) + 1
 
 
-def _longest(match: np.ndarray, one_in: int) -> tuple[int, int] | None:
-    """The longest span of at most one mismatch in ``one_in``, beginning and ending with a match."""
-    score = np.concatenate(([0], np.cumsum(np.where(match, 1, 1 - one_in))))
-    best: tuple[int, int] | None = None
-    low: list[int] = []
-    for i, s in enumerate(score):
-        if not low or s < score[low[-1]]:
-            low.append(i)
-    j, k = len(score) - 1, len(low) - 1
-    while j > 0 and k >= 0:
-        while k >= 0 and score[low[k]] <= score[j]:
-            if j > low[k] and (best is None or j - low[k] > best[1] - best[0]):
-                best = (low[k], j)
-            k -= 1
-        j -= 1
-    if best is None:
-        return None
-    inside = np.flatnonzero(match[best[0] : best[1]])
-    return (best[0] + int(inside[0]), best[0] + int(inside[-1]) + 1) if len(inside) else None
-
-
-def _pieces(item: np.ndarray, doc: np.ndarray, seeds: list[tuple[int, int]], one_in: int) -> list[tuple[int, int, int]]:
-    """Aligned pieces ``(item begin, item end, document begin)`` on the alignments that the seeds name."""
-    out = []
-    for shift in {d - j for j, d in seeds}:
-        a, b = max(0, -shift), min(len(item), len(doc) - shift)
-        match = item[a:b] == doc[a + shift : b + shift]
-        stack = [(0, b - a)]
-        while stack:  # the longest span, then what is left and right of it
-            x, y = stack.pop()
-            span = _longest(match[x:y], one_in) if y - x >= 3 else None
-            if span and span[1] - span[0] >= 3:
-                out.append((a + x + span[0], a + x + span[1], a + x + span[0] + shift))
-                stack += [(x, x + span[0]), (x + span[1], y)]
-    return out
+class Document:
+    """The symbols of a document, where each of them stands, and to which word between blanks it belongs."""
+
+    def __init__(self, symbols: np.ndarray, parts: list[int] | None = None):
+        self.symbols = symbols.tolist()
+        self.parts = list(range(len(symbols))) if parts is None else parts
+        self.places: dict[int, list[int]] = defaultdict(list)
+        for d in np.flatnonzero(symbols > 1).tolist():
+            self.places[self.symbols[d]].append(d)
+
+
+def _parts(text: str) -> list[int]:
+    """The number of the word between blanks for each of ``_WORD.findall(text)``."""
+    sizes = [n for x in text.split() if (n := len(_WORD.findall(x)))]
+    return np.repeat(np.arange(len(sizes)), sizes).tolist()
+
+
+class _Alignment:
+    """Matches ``(word of the item, place in the document)`` and the steps between them over replaced words."""
+
+    def __init__(self, item: list[tuple[int, ...]], doc: Document, one_in: int):
+        self.item, self.doc, self.most = item, doc, len(item) // one_in
+        self.begin = np.concatenate(([0], np.cumsum([len(x) for x in item]))).tolist()
+
+    def matches(self, u: int, d: int) -> bool:
+        return 0 <= u < len(self.item) and d >= 0 and tuple(self.doc.symbols[d : d + len(self.item[u])]) == self.item[u]
+
+    def after(self, u: int, d: int) -> Iterator[tuple[int, int, int]]:
+        """The matches that may follow one, with the number of words replaced between."""
+        end, parts = d + len(self.item[u]), self.doc.parts
+        if self.matches(u + 1, end):
+            yield u + 1, end, 0
+        for n in range(1, min(self.most, len(self.item) - u - 2) + 1):
+            v = u + 1 + n
+            same = end + self.begin[v] - self.begin[u + 1]
+            if end + n >= len(parts):
+                return
+            stop = bisect_left(parts, parts[end] + n)  # the replacements lie before this place
+            places = self.doc.places.get(self.item[v][0], ())
+            near = places[bisect_left(places, end + n) : bisect_right(places, min(stop, end + n * GLUED))]
+            far = [stop] if stop > end + n * GLUED and parts[end - 1] < parts[end] else []
+            for e in {same, *near, *far}:
+                if self.matches(v, e):
+                    yield v, e, n
+
+    def before(self, u: int, d: int) -> Iterator[tuple[int, int]]:
+        """The matches that one may follow."""
+        parts = self.doc.parts
+        if u and self.matches(u - 1, d - len(self.item[u - 1])):
+            yield u - 1, d - len(self.item[u - 1])
+        for n in range(1, min(self.most, u - 1) + 1):
+            v = u - 1 - n
+            size = len(self.item[v])
+            same = d - (self.begin[u] - self.begin[v])
+            if d - n < size:
+                return
+            start = bisect_left(parts, parts[d - 1] - n + 1)  # the replacements lie from this place on
+            places = self.doc.places.get(self.item[v][0], ())
+            near = places[bisect_left(places, max(start, d - n * GLUED) - size) : bisect_right(places, d - n - size)]
+            far = [start - size] if start < d - n * GLUED and parts[d - 1] < parts[d] else []
+            for e in {same, *near, *far}:
+                if self.matches(v, e):
+                    yield v, e
+
+    def reached(self, seeds: set[tuple[int, int]]) -> list[tuple[int, int]]:
+        """The seeds and all matches before and after them, in order."""
+        known = set(seeds)
+        for steps in (self.before, self.after):
+            seen, todo = set(seeds), list(seeds)
+            while todo:
+                for x in steps(*todo.pop()):
+                    if x[:2] not in seen:
+                        seen.add(x[:2])
+                        todo.append(x[:2])
+            known |= seen
+        return sorted(known)
 
 
-def covered(item: np.ndarray, units: np.ndarray, doc: np.ndarray, seeds: list[tuple[int, int]], one_in: int = ONE_IN, pieces: int = PIECES) -> int:
-    """Most words of the item in at most ``pieces`` pieces that follow each other in both texts."""
-    best = 0
-    chains: list[tuple[int, int, list[int]]] = []  # item end, document end, most words with 1, 2, ... pieces
-    for i0, i1, d0 in sorted(_pieces(item, doc, seeds, one_in)):
-        size = int(units[i1 - 1] - units[i0] + 1)
-        most = [size] * pieces
-        for e, d, w in chains:
-            if e <= i0 and d <= d0:
-                most = [most[0], *(max(m, size + x) for m, x in zip(most[1:], w))]
-        chains.append((i1, d0 + i1 - i0, most))
-        best = max(best, most[-1])
+def covered(item: list[tuple[int, ...]], doc: Document, seeds: set[tuple[int, int]], one_in: int = ONE_IN) -> int:
+    """Most words of the item in one piece or two that follow each other in both texts. ``seeds`` are pairs of a word and its place."""
+    way = _Alignment(item, doc, one_in)
+    cells = way.reached(seeds)
+    at = {c: n for n, c in enumerate(cells)}
+    steps = [[(at[v, e], n) for v, e, n in way.after(u, d) if (v, e) in at] for u, d in cells]
+    # by words replaced: the first word of the longest piece that ends in a match, the last of the longest that begins there
+    first = [{0: u} for u, _ in cells]
+    last = [{0: u} for u, _ in cells]
+    for c, (u, _) in enumerate(cells):
+        for x, n in steps[c]:
+            for r, v in first[c].items():
+                if r + n <= way.most and v < first[x].get(r + n, len(item)):
+                    first[x][r + n] = v
+    for c in range(len(cells) - 1, -1, -1):
+        for x, n in steps[c]:
+            for r, v in last[x].items():
+                if r + n <= way.most and v > last[c].get(r + n, -1):
+                    last[c][r + n] = v
+    ending = [max(u - v + 1 if r * one_in <= u - v + 1 else 0 for r, v in f.items()) for (u, _), f in zip(cells, first)]
+    starting = [max(v - u + 1 if r * one_in <= v - u + 1 else 0 for r, v in f.items()) for (u, _), f in zip(cells, last)]
+    best = max(ending, default=0)
+    ends: list[int] = []  # places where pieces of ever more words end, all before the word looked at
+    sizes: list[int] = []
+    done = 0
+    for c, (u, d) in enumerate(cells):
+        while cells[done][0] < u:
+            v, e = cells[done]
+            e, n = e + len(item[v]), ending[done]
+            k = bisect_right(ends, e)
+            if n >= LEAST and (not k or sizes[k - 1] < n):
+                last_k = bisect_right(sizes, n, k)
+                ends[k:last_k], sizes[k:last_k] = [e], [n]
+            done += 1
+        k = bisect_right(ends, d)
+        if k and starting[c] >= LEAST:
+            best = max(best, sizes[k - 1] + starting[c])
     return best
 
 
-def search_shard(texts: list[list[str]], items: Items, min_words: int = MIN_WORDS, one_in: int = ONE_IN) -> list[tuple[int, int, int]]:
-    """``(document number, item number, words)`` for the documents of one shard."""
+def search_shard(texts: list[list[str]], items: Items, min_words: int = MIN_WORDS, one_in: int = ONE_IN, forms: list[str] | None = None) -> list[tuple[int, int, int]]:
+    """``(document number, item number, words)`` for the documents of one shard. Without their ``forms`` each part counts as a word."""
     get, phrase = items.vocabulary.get, items.phrases.shape[1]
     docs = [np.array([get(w, 1) for w in t], np.int64) for t in texts]
     keep, start = [], []
@@ -184,6 +261,7 @@ def search_shard(texts: list[list[str]], items: Items, min_words: int = MIN_WORD
         for n in users[p]:
             seeds[d, int(items.owners[n])].append((int(items.starts[n]), place))
     out = []
+    whole: dict[int, Document] = {}
     least = min_words // one_in * 3 - 1  # what phrases of a shortest passage cover at the least
     for (d, i), s in seeds.items():
         reach = set()
@@ -191,7 +269,15 @@ def search_shard(texts: list[list[str]], items: Items, min_words: int = MIN_WORD
             reach.update(range(j, j + phrase))
         if len(reach) < least:
             continue
-        n = covered(items.tokens[i], items.units[i], docs[d], s, one_in)
+        if d not in whole:
+            whole[d] = Document(docs[d], forms and _parts(forms[d]))
+        begins, units, cells = items.begins[i], items.units[i], set()
+        for j, place in s:
+            for u in range(bisect_left(begins, j), bisect_left(begins, j + phrase)):
+                e = place + begins[u] - j
+                if tuple(whole[d].symbols[e : e + len(units[u])]) == units[u]:
+                    cells.add((u, e))
+        n = covered(units, whole[d], cells, one_in)
         if n >= min_words:
             out.append((d, i, n))
     return out
@@ -213,21 +299,23 @@ def leaks(documents: DataFrame, items: DataFrame, text: str = "text", min_words:
             own = block.value
             ids: list = []
             texts: list[list[str]] = []
+            forms: list[str] = []
             size = 0
 
             def flush() -> pd.DataFrame:
-                hits = search_shard(texts, own, min_words)
+                hits = search_shard(texts, own, min_words, forms=forms)
                 return pd.DataFrame([(ids[d], own.ids[i], n) for d, i, n in hits], columns=["doc_id", "item_id", "words"])
 
             for batch in batches:
                 for k, t in zip(batch["doc_id"], batch["text"]):
-                    w = words(t)
+                    forms.append(plain(t))
+                    w = _WORD.findall(forms[-1])
                     ids.append(k)
                     texts.append(w)
                     size += len(w)
                     if size >= SHARD:
                         yield flush()
-                        ids, texts, size = [], [], 0
+                        ids, texts, forms, size = [], [], [], 0
             if ids:
                 yield flush()
 

@@ -68,6 +68,28 @@ def test_passages(df):
     assert found(df, texts) == {(i, 0) for i in (0, 2, 3, 4, 5, 6, 13, 14, 15)}
 
 
+def test_a_word_of_two_parts_is_one_word(df):
+    plain = [f"{VOCABULARY[i % 56]}{i}" for i in range(60)]
+    for i in (12, 19, 40):
+        plain[i] = f"muster_lot{i}"
+    items = df([(1, " ".join(plain) + ".")], "item_id bigint, item_text string")
+    texts = [
+        " ".join(replaced(plain[:24], {12})),  # 0: by a word of one part
+        " ".join(plain[:6] + ["and", "so", "on"] + replaced(plain[6:24], {6})),  # 1: and an insertion
+        " ".join("other_long-word" if i == 5 else w for i, w in enumerate(plain[30:54])),  # 2: by one of more parts
+        " ".join("a" if i in (12, 19) else w for i, w in enumerate(plain[:24])),  # 3: two of them
+        " ".join(replaced(plain[:23], {12})),  # 4: an echo of 23
+        " ".join(replaced(plain[:24], {3, 7, 12, 19})),  # 5: four of 24
+        "in " + " ".join(plain[:12]) + " two whole sentences of other words then " + " ".join(plain[13:24]),  # 6: no word in its place
+        " ".join(plain[:24]).replace("_", " "),  # 7: other spacing
+        " ".join("x_y" if i in (6, 12, 19) else w for i, w in enumerate(plain[:24])),  # 8: by as many parts
+        " ".join("-".join("abcdefghijklm") if i == 12 else w for i, w in enumerate(plain[:24])),  # 9: by one of very many
+        "/".join("one-two-three" if i in (5, 12, 19) else w for i, w in enumerate(plain[:24])),  # 10: without blanks
+    ]
+    docs = df(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id for r in leakage.leaks(docs, items).collect()} == {0, 1, 2, 3, 7, 8, 9, 10}
+
+
 def test_random_passages_against_the_rule(df):
     texts, want = [], set()
     for n in range(60):
