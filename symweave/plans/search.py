@@ -115,7 +115,7 @@ def callers(g: Graph, name: str, with_context: bool = False, most: int = CAPS["c
     known = top.select(F.col("file").alias("src_file")).distinct()
     others = graph.importers_of(g.edges, target.file).where(F.col("src_file") != target.file).join(known, "src_file", "left_anti")
     hint = others.groupBy(F.col("src_file").alias("file")).agg(F.min("line").alias("line_start"))
-    hint = graph.with_rank(hint, ["file"], CAPS["outline"], most + 1)
+    hint = graph.with_rank(hint, ["file"], first=most + 1)
     said = F.lit(f"cross-file importer — file imports `{target.file}`; grep `{name}` here for call sites")
     head = top.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file").alias("f"))
     text = F.when(F.col("n") > 0, F.concat(F.lit("=== "), _plural(F.col("n"), "caller"), F.lit(f" of {name} in "), _plural(F.col("f"), "file"), F.lit(" ==="))).otherwise(F.lit(f"=== 0 callers of {name} ==="))
@@ -142,7 +142,7 @@ def exports(g: Graph, file: str, most: int = CAPS["exports"]) -> DataFrame:
 
 def _import_hits(edges: DataFrame, file: str, said: Column) -> DataFrame:
     rows = edges.select(F.col(file).alias("file"), F.col("line").alias("line_start"), said.alias("said"))
-    return _hits(graph.with_rank(rows, ["file", "line_start"], CAPS["outline"]), F.col("said"))
+    return _hits(graph.with_rank(rows, ["file", "line_start"]), F.col("said"))
 
 
 def imports(g: Graph, file: str) -> DataFrame:

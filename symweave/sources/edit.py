@@ -134,5 +134,5 @@ def apply_change(spark: SparkSession, root: str, index: Index, path: str, change
     found = cut(impact.warnings(changed, seen))
     of = changed.where("change_class in ('modified_sig', 'modified_body')").select("file", "name", F.coalesce("new.own_kind", "kind").alias("kind"))
     context = impact.context_bundle(of, all_edges, all_symbols)
-    tests = [r.file for r in impact.test_importers(all_edges, touched).orderBy("file").limit(50).collect()]
+    tests = [r.file for r in impact.test_importers(all_edges, touched).orderBy("file").collect()]
     return Outcome(status, diff, found, impact.warning_summary(found).first().summary, context, tests, Index(files, all_symbols, all_edges, all_imports, raw))

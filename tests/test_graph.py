@@ -138,6 +138,18 @@ def test_search_kinds(project):
     assert len(rows(search(project, "exports of lib/m.py"))) == 50
 
 
+def test_importers_are_not_capped(df):
+    symbols = df([sym("target", "lib/t.py")], SYM)
+    edges = [(f"tests/a{i:02}_test.py", "m", "Module", "lib/t.py", "", "Module", "Imports", 1, "Certain", None) for i in range(60)]
+    edges += [("lib/big.py", "m", "Module", f"lib/d{i:02}.py", "", "Module", "Imports", i, "Certain", None) for i in range(60)]
+    g = Graph(symbols, df(edges, EDG))
+    want = [f"tests/a{i:02}_test.py" for i in range(60)]
+    assert [r.file for r in rows(search(g, "callers of target"))[1:]] == want
+    assert [r.file for r in rows(search(g, "importers of lib/t.py"))] == want
+    assert [r.file for r in rows(search(g, "tests for target"))] == want
+    assert [r.line for r in rows(search(g, "imports of lib/big.py"))] == list(range(60))
+
+
 def test_search_text(project):
     got = rows(search(project, "needle"))
     assert len(got) == 31 and got[0].signature == "=== 30 matches in 15 files ===" and got[1].snippet == "needle here"

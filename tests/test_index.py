@@ -82,6 +82,15 @@ def test_change_and_cascade(spark, tree):
     assert edit.apply_change(spark, str(tree), made.index, "src/fresh.py", [edit.Change("def f", "def f")]).status == "NO_OP"
 
 
+def test_all_tests_of_a_change(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/auth.py").write_text("def verify():\n    pass\n")
+    for i in range(55):
+        (tmp_path / f"src/test_{i:02}.py").write_text("from .auth import verify\n")
+    out = edit.apply_change(spark, str(tmp_path), index.cold_index(spark, str(tmp_path)), "src/auth.py", [edit.Change("verify()", "verify(x)")])
+    assert out.tests == [f"src/test_{i:02}.py" for i in range(55)]
+
+
 def test_edit_errors():
     with pytest.raises(edit.EditError, match="closest is line 2 .*90 %"):
         edit.apply_edits("a\nhello worl\n", [edit.Change("hello word", "x")])
