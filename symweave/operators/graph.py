@@ -125,11 +125,12 @@ def libraries(imports: DataFrame, internal: list[str] = ()) -> DataFrame:
 # ---------------------------------------------------------------- traversal
 
 
-def bfs(edges: DataFrame, start: DataFrame, max_depth: int = 64, stop: Callable[[DataFrame], DataFrame] | None = None) -> list[DataFrame]:
+def bfs(edges: DataFrame, start: DataFrame, max_depth: int | None = None, stop: Callable[[DataFrame], DataFrame] | None = None) -> list[DataFrame]:
     """Levels of a breadth-first walk along edges of all kinds: ``file, name, kind`` and the parent's ``p_*``.
 
     The adjacency is written to the shared folder once, partitioned by its source, so that a level's join
-    moves the frontier and not the edges. The parent of a node is the smallest of its discoverers. The walk ends with the level in which ``stop`` finds a row.
+    moves the frontier and not the edges. The parent of a node is the smallest of its discoverers. The walk ends with the level in which ``stop`` finds a row,
+    else with the last node reached, or after ``max_depth`` levels where that is given.
     """
     parents = [f"p_{k}" for k in KEY]
     adjacent = edges.where("dst_file is not null and dst_name is not null and dst_kind is not null").select(*SRC, *DST).repartition(*SRC).distinct()
@@ -137,7 +138,7 @@ def bfs(edges: DataFrame, start: DataFrame, max_depth: int = 64, stop: Callable[
     level = cut(start.select(*KEY).distinct().select(*KEY, *[F.lit(None).cast("string").alias(p) for p in parents]))
     levels = [level]
     seen = level.select(*KEY)
-    while len(levels) <= max_depth:
+    while max_depth is None or len(levels) <= max_depth:
         if level.isEmpty() or (stop is not None and not stop(level).isEmpty()):
             break
         step = adjacent.join(level.select(*[F.col(k).alias(s) for k, s in zip(KEY, SRC)]), SRC)
@@ -146,6 +147,8 @@ def bfs(edges: DataFrame, start: DataFrame, max_depth: int = 64, stop: Callable[
         level = cut(fresh.join(seen, KEY, "left_anti"))
         levels.append(level)
         seen = seen.unionByName(level.select(*KEY))
+        if len(levels) % 16 == 0:  # keeps the plans of long walks short
+            seen = cut(seen.coalesce(16))
     return levels if not levels[-1].isEmpty() else levels[:-1]
 
 
@@ -158,7 +161,7 @@ def depths(levels: list[DataFrame]) -> DataFrame:
     return out
 
 
-def shortest_path(edges: DataFrame, start: DataFrame, goal: Callable[[DataFrame], DataFrame], max_depth: int = 64) -> DataFrame | None:
+def shortest_path(edges: DataFrame, start: DataFrame, goal: Callable[[DataFrame], DataFrame], max_depth: int | None = None) -> DataFrame | None:
     """``step, file, name, kind`` of a shortest path to the first level with a goal; None where there is none.
 
     Among goals of one level the smallest key is taken. A start that is a goal gives a path of one step.

@@ -207,7 +207,7 @@ def _start(spark: SparkSession) -> DataFrame:
 @query(_WALK + " SELECT depth::INT AS depth, count(*) AS nodes FROM dist GROUP BY depth")
 def chain_depths(spark, d):
     """Nodes at each distance from a start."""
-    return graph.depths(graph.bfs(views.edges(spark, d, *graph.SRC, *graph.DST), _start(spark), 24)).groupBy("depth").agg(F.count(F.lit(1)).alias("nodes"))
+    return graph.depths(graph.bfs(views.edges(spark, d, *graph.SRC, *graph.DST), _start(spark))).groupBy("depth").agg(F.count(F.lit(1)).alias("nodes"))
 
 
 _PATH = """, goal AS (SELECT file, name, kind, depth FROM dist WHERE {goal} AND depth = (SELECT min(depth) FROM dist WHERE {goal}) ORDER BY file, name, kind LIMIT 1),
@@ -217,14 +217,14 @@ _PATH = """, goal AS (SELECT file, name, kind, depth FROM dist WHERE {goal} AND
 @query(_WALK + _PATH.format(goal="name = 'emit'") + " SELECT depth::INT AS step, file, name, kind FROM back")
 def chain_path(spark, d):
     """A shortest path to a symbol."""
-    path = graph.shortest_path(views.edges(spark, d, *graph.SRC, *graph.DST), _start(spark), graph.to_symbol("emit"), 24)
+    path = graph.shortest_path(views.edges(spark, d, *graph.SRC, *graph.DST), _start(spark), graph.to_symbol("emit"))
     return path if path is not None else spark.createDataFrame([], "step int, file string, name string, kind string")
 
 
 @query(_WALK + _PATH.format(goal="'/' || file LIKE '%/std/result.rs'") + " SELECT depth::INT AS step, file, name, kind FROM back")
 def chain_to_file(spark, d):
     """I4: a shortest path into a file."""
-    path = graph.shortest_path(views.edges(spark, d, *graph.SRC, *graph.DST), _start(spark), graph.to_file("std/result.rs"), 24)
+    path = graph.shortest_path(views.edges(spark, d, *graph.SRC, *graph.DST), _start(spark), graph.to_file("std/result.rs"))
     return path if path is not None else spark.createDataFrame([], "step int, file string, name string, kind string")
 
 
@@ -233,7 +233,7 @@ def chain_to_file(spark, d):
 def chain_siblings(spark, d):
     """Further call targets of the path in that file."""
     e = views.edges(spark, d, *graph.SRC, *graph.DST, "kind")
-    path = graph.shortest_path(e, _start(spark), graph.to_file("std/result.rs"), 24)
+    path = graph.shortest_path(e, _start(spark), graph.to_file("std/result.rs"))
     if path is None:
         return spark.createDataFrame([], "file string, name string, kind string")
     return graph.siblings(e, path, "std/result.rs").where("name is not null and kind is not null")

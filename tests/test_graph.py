@@ -155,3 +155,9 @@ def test_search_text(project):
     assert len(got) == 31 and got[0].signature == "=== 30 matches in 15 files ===" and got[1].snippet == "needle here"
     assert len(rows(search(project, "(#"))) == 31
     assert rows(search(project, "find zzzzzzzzzz"))[0].signature == "=== 0 matches in 0 files ==="
+
+
+def test_walks_have_no_depth_limit(df):
+    e = df([edge(f"n{i:02}", f"n{i + 1:02}") for i in range(70)], EDG)
+    path = graph.shortest_path(e, start(df, "n00"), graph.to_symbol("n70"))
+    assert [r.name for r in path.orderBy("step").collect()] == [f"n{i:02}" for i in range(71)]
