@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from symweave.llm.fmindex import FMIndex
 from symweave.llm.forms import skeleton
+from symweave.runtime import cut
 
 MIN_WORDS, ONE_IN, PHRASE, SHARED = 24, 8, 4, 5
 #: Words of the shorter of two pieces with an insertion between.
@@ -69,21 +70,30 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(plain(text))
 
 
+def sentences(text: str) -> list[str]:
+    return _SENTENCE.split(text.strip())
+
+
 class Items:
-    """The own wording of a block of items, as numbers."""
+    """The own wording of a block of items, as numbers.
 
-    def __init__(self, rows: list[tuple[int, str]], shared: int = SHARED, phrase: int = PHRASE):
-        split = {i: _SENTENCE.split(t.strip()) for i, t in rows if t}
-        seen = Counter(s for ss in split.values() for s in {" ".join(words(x)) for x in ss})
+    ``standing`` are the sentences, in one form, of the standing instructions; without it the block holds all items.
+    """
+
+    def __init__(self, rows: list[tuple[int, str]], shared: int = SHARED, phrase: int = PHRASE, standing: set[str] | None = None):
+        split = {i: sentences(t) for i, t in rows if t}
+        if standing is None:
+            seen = Counter(s for ss in split.values() for s in {" ".join(words(x)) for x in ss})
+            standing = {s for s, n in seen.items() if n >= shared}
         self.ids: list[int] = []
         self.units: list[list[tuple[int, ...]]] = []
         self.begins: list[list[int]] = []
         self.vocabulary: dict[str, int] = {}
         starts, owners, phrases = [], [], []
-        for i, sentences in split.items():
+        for i, given in split.items():
             symbols, units, begins = [], [], []
-            for s in sentences:
-                if seen[" ".join(words(s))] >= shared:
+            for s in given:
+                if " ".join(words(s)) in standing:
                     continue
                 for written in s.split():
                     own = [self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words(written)]
@@ -283,6 +293,18 @@ def search_shard(texts: list[list[str]], items: Items, min_words: int = MIN_WORD
     return out
 
 
+def _said(items: DataFrame) -> DataFrame:
+    """``item_id, sentence``: the distinct sentences of each item in one form."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(i, s) for i, t in zip(b["item_id"], b["item_text"]) if t for s in {" ".join(words(x)) for x in sentences(t)}]
+            yield pd.DataFrame(rows, columns=["item_id", "sentence"])
+
+    one = items.groupBy("item_id").agg(F.max("item_text").alias("item_text"))
+    return one.mapInPandas(run, f"item_id {dict(items.dtypes)['item_id']}, sentence string")
+
+
 def leaks(documents: DataFrame, items: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, item_id, words`` for every document that carries a passage of an item."""
     spark = documents.sparkSession
@@ -290,10 +312,17 @@ def leaks(documents: DataFrame, items: DataFrame, text: str = "text", min_words:
     docs = documents.where(F.col(text).isNotNull()).select("doc_id", F.col(text).alias("text"))
     n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("item_text")), F.lit(0))).first()
     blocks = max(1, -(-n // BLOCK), -(-size // BLOCK_CHARACTERS))
+    if blocks > 1:  # standing instructions are shared by items of any blocks
+        said = cut(_said(rows))
+        standing = cut(said.groupBy("sentence").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SHARED))
     out = None
     for b in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        block = spark.sparkContext.broadcast(Items(sorted((r[0], r[1]) for r in part.collect())))
+        part, known = rows, None
+        if blocks > 1:
+            mine = F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b
+            part = rows.where(mine)
+            known = {r[0] for r in said.where(mine).join(standing, "sentence", "left_semi").select("sentence").distinct().collect()}
+        block = spark.sparkContext.broadcast(Items(sorted((r[0], r[1]) for r in part.collect()), standing=known))
 
         def run(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
             own = block.value

@@ -117,6 +117,15 @@ def test_blocks_and_shards_do_not_matter(df, monkeypatch):
     assert one == two == whole
 
 
+def test_standing_instructions_are_counted_over_all_blocks(df, monkeypatch):
+    standing = " ".join(f"rule{i}" for i in range(30)) + "."
+    items = df([(i, f"{ITEMS[i][1]} {standing}") for i in range(8)], "item_id bigint, item_text string")
+    docs = df([(1, standing), (2, " ".join(own(3)[:30]))], "doc_id bigint, text string")
+    for block in (100, 2):
+        monkeypatch.setattr(leakage, "BLOCK", block)
+        assert {(r.doc_id, r.item_id) for r in leakage.leaks(docs, items).collect()} == {(2, 3)}
+
+
 def test_empty_tables(df):
     assert found(df, []) == set()
     docs = df([(1, "text")], "doc_id bigint, text string")
