@@ -2,11 +2,12 @@
 
 A stack automaton reads every text and tells what is still open at its end: code fences, code spans,
 brackets, quotes, table rows and list entries, escapes and multibyte sequences that break off, or a mark
-that stands for the rest. What counts as a proper end beyond a closing sentence mark is learned per run of
-the data, not listed: the shapes of last lines that stand in front of the closing word in complete texts
-are the baseline, and a last line of another shape without a terminator is missing its end. Lengths at
+that stands for the rest. What counts as a proper end beyond a closing sentence mark is learned per source,
+not listed: the shapes of last lines that stand in front of the closing word in the source's complete texts
+are the baseline (those of all sources where a source has no complete text), and a last line of another
+shape without a terminator is missing its end. Lengths at
 which a source's texts pile up although few of them are complete are field limits; a text of exactly that
-length was cut even if it happens to end well. White space at the end tells of a cut where it is rare.
+length was cut even if it happens to end well. White space at the end tells of a cut in a source where it is rare.
 
 Defined results: null, empty and blank texts are no case, nor is a text that merely lacks the closing word.
 A text with the closing word as its last line is complete. Of re-delivered rows the one with the largest
@@ -31,7 +32,7 @@ CLOSING = "DONE"
 SUPPORT = 2
 #: Longer last lines are running text, which needs a terminator.
 SHAPE = 80
-#: Where fewer texts than this end in white space, a text that does was followed by something.
+#: Where fewer texts of a source than this end in white space, a text that does was followed by something.
 RARE = 0.05
 #: A field limit: so many texts of one length, so many times the usual number around it, so many incomplete.
 LIMIT_ROWS, LIMIT_TIMES, LIMIT_OPEN, LIMIT_AROUND = 4, 8.0, 0.6, 8
@@ -147,12 +148,15 @@ def inspected(rows: DataFrame, key: str, source: str, text: str, at: str | None)
 def judged(rows: DataFrame, key: str = "rollout_id", source: str = "run_label", text: str = "final_answer", at: str | None = "loaded_at") -> DataFrame:
     """``key, source, truncated, why`` for each text that is not blank."""
     seen = cut(inspected(rows, key, source, text, at))
-    proper = seen.where("closed").groupBy("shape").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= SUPPORT) & (F.col("shape") != ""))
-    fit = seen.join(proper.select("shape", F.lit(True).alias("proper")), "shape", "left")
-    texts, blank = seen.agg(F.count(F.lit(1)), F.count_if("blank")).first()
-    rare = F.lit(blank < RARE * texts)
+    ends = seen.where("closed and shape != ''").groupBy("s", "shape").agg(F.count(F.lit(1)).alias("n"))
+    own = ends.where(F.col("n") >= SUPPORT).select(F.col("s").alias("os"), F.col("shape").alias("oshape"), F.lit(True).alias("own"))
+    pooled = ends.groupBy("shape").agg(F.sum("n").alias("n")).where(F.col("n") >= SUPPORT).select("shape", F.lit(True).alias("pooled"))
+    sources = seen.groupBy(F.col("s").alias("bs")).agg((F.count_if("blank") < RARE * F.count(F.lit(1))).alias("rare"), F.max("closed").alias("learned"))
+    fit = seen.join(sources, F.col("s").eqNullSafe(F.col("bs")), "left")
+    fit = fit.join(own, F.col("s").eqNullSafe(F.col("os")) & (F.col("shape") == F.col("oshape")), "left").join(pooled, "shape", "left")
+    fit = fit.withColumn("proper", F.when(F.col("learned"), F.col("own")).otherwise(F.col("pooled")))
     why = (
-        F.when(~F.col("closed") & F.col("blank") & rare & ((F.col("why") == "") | F.col("why").isin("no terminator", "mark")), "blank end")
+        F.when(~F.col("closed") & F.col("blank") & F.col("rare") & ((F.col("why") == "") | F.col("why").isin("no terminator", "mark")), "blank end")
         .when(F.col("why").isin("no terminator", "mark") & F.coalesce("proper", F.lit(False)), "")
         .otherwise(F.col("why"))
     )

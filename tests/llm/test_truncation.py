@@ -37,6 +37,13 @@ def test_blank_ends(df):
     assert run(df, [("s", f"Sentence {i}.\n") for i in range(9)]) == {}
 
 
+def test_each_source_has_its_baseline(df):
+    rows = [("lines", f"Sentence {i}.\n") for i in range(9)] + [("rare", f"Sentence {i}.") for i in range(60)] + [("rare", "Sentence. ")]
+    assert run(df, rows) == {69: "blank end"}
+    rows = [("a", "No callers found\n\nDONE")] * 2 + [("b", "Well.\n\nDONE")] + [(s, "No callers found") for s in ("a", "b", "c", None)]
+    assert run(df, rows) == {4: "no terminator"}
+
+
 def test_field_limits(df):
     body = "word " * 200
     rows = [("a", (body + "x" * i)[: 300 + i % 7] + ".") for i in range(10)]
