@@ -5,7 +5,7 @@ kinds of value that were seen there, with counts that add up across partitions.
 schema and explodes each list level into a child table that carries the surrogate key of its parent and
 the position in the list. Nested objects become columns of the level they stand in.
 
-Defined results: records that are null, empty or no JSON give no rows. Where one record has a list and
+Defined results: records that are null, empty or no JSON give no rows; one too large to parse is an error. Where one record has a list and
 another a lone value, the lone value counts as a list of one. A null or absent list gives no child rows,
 an empty one neither; a null entry of a list gives a row whose ``is_null`` is true, so positions stay
 true to the record. A field whose type changes comes out as text (objects and lists as JSON). Repeated
@@ -37,6 +37,9 @@ def _finite(text: str) -> float | None:
     return value if math.isfinite(value) else None
 
 
+#: Bytes of a record from which on it must parse; a VARIANT holds 16 MiB at the least.
+LONG = 16 * 1024 * 1024
+
 #: NaN, Infinity and numbers beyond all doubles have no place in the tables; they count as null.
 _DECODER = json.JSONDecoder(parse_constant=lambda _: None, parse_float=_finite)
 
@@ -48,18 +51,21 @@ def embedded_objects(text: str | None, wanted: tuple[str, ...]) -> list[dict]:
     """The complete JSON objects with one of the ``wanted`` fields, in order, wherever they stand in ``text``.
 
     They may be the whole text, lie among other output, under fields of another value, or inside a JSON
-    string. An object that breaks off is none. Each start is tried once and a complete value is skipped as
+    string. An object whose wanted fields are neither lists nor objects is one unless it holds such an object. An object that breaks off is none. Each start is tried once and a complete value is skipped as
     a whole, so the time is linear in the text for every level of nesting that breaks off.
     """
     found: list[dict] = []
 
     def walk(value: object) -> None:
         if isinstance(value, dict):
-            if any(w in value for w in wanted):
+            if any(isinstance(value.get(w), (list, dict)) for w in wanted):
                 found.append(value)
                 return
+            before = len(found)
             for v in value.values():
                 walk(v)
+            if len(found) == before and any(w in value for w in wanted):
+                found.append(value)
         elif isinstance(value, list):
             for v in value:
                 walk(v)
@@ -252,11 +258,16 @@ def flatten(records: DataFrame, schema: Node | None = None) -> dict[str, DataFra
         )
         level(rows, _merge(entry, lone), label)
 
-    root = records.select("key", F.concat_ws("#", F.col("key").cast("string"), "seq").alias("row_key"), F.try_parse_json("json").alias("_v"))
+    root = records.select("key", F.concat_ws("#", F.col("key").cast("string"), "seq").alias("row_key"), parsed("json").alias("_v"))
     level(root, schema, "")
     return out
 
 
+def parsed(json: str) -> Column:
+    """A record as a VARIANT: null where it is no JSON; a long one raises, as it may be beyond the size of a VARIANT."""
+    return F.when(F.octet_length(json) > LONG, F.parse_json(json)).otherwise(F.try_parse_json(json))
+
+
 # ---------------------------------------------------------------- runner reports
 
 
@@ -264,9 +275,9 @@ def latest_reports(reports: DataFrame) -> DataFrame:
     """``report_id, stdout`` of the jest, vitest and pytest reports, the latest delivery of each id.
 
     Among deliveries at the same time the one with the larger hash of its text stays; null outputs and null
-    ids are left out.
+    ids are left out. A null runner is not cargo, so its outputs are looked through.
     """
-    rows = reports.where((F.lower(F.trim("runner")) != "cargo") & F.col("stdout").isNotNull() & F.col("report_id").isNotNull())
+    rows = reports.where(~F.lower(F.trim("runner")).eqNullSafe("cargo") & F.col("stdout").isNotNull() & F.col("report_id").isNotNull())
     return rows.groupBy("report_id").agg(F.max_by("stdout", F.struct("loaded_at", F.xxhash64("stdout"))).alias("stdout"))
 
 

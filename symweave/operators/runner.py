@@ -55,7 +55,7 @@ class Reports:
         """``run_id, shape, passed, failed, skipped, duration_ms``."""
         names = ["numPassedTests", "numFailedTests", "numPendingTests", "summary_passed", "summary_failed", "summary_skipped", "duration"]
         root = self._table("", **dict.fromkeys(names, "string"))
-        v = F.try_parse_json("json")
+        v = nested.parsed("json")
         jest = self.records.select("key", "seq", F.try_variant_get(v, "$.testResults", "variant").isNotNull().alias("is_jest"))
         root = root.withColumn("seq", F.substring_index("row_key", "#", -1).cast("int")).join(jest, ["key", "seq"])
         pick = lambda a, b: F.when(F.col("is_jest"), _cast(a)).otherwise(_cast(b))

@@ -167,8 +167,8 @@ def tool_usage(spark, d):
 
 def _outputs(spark, d, cargo: bool) -> DataFrame:
     r = table(spark, d, "runner_reports").where(F.col("stdout").isNotNull())
-    mine = (F.lower(F.trim("runner")) == "cargo") if cargo else (F.lower(F.trim("runner")) != "cargo")
-    return r.where(mine).groupBy(F.col("report_id").alias("run_id")).agg(F.max_by("stdout", F.struct("loaded_at", F.xxhash64("stdout"))).alias("stdout"))
+    mine = F.lower(F.trim("runner")).eqNullSafe("cargo")
+    return r.where(mine if cargo else ~mine).groupBy(F.col("report_id").alias("run_id")).agg(F.max_by("stdout", F.struct("loaded_at", F.xxhash64("stdout"))).alias("stdout"))
 
 
 @query()

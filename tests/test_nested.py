@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -87,3 +88,24 @@ def brute(values):
 def test_leaves_against_a_walk(spark, values):
     frame = lambda rows, schema: spark.createDataFrame(rows, schema)
     assert leaves(frame, [json.dumps(v) for v in values]) == brute(values)
+
+
+def test_reports_below_a_count_of_tests():
+    assert nested.embedded_objects(json.dumps({"tests": 12, "report": JEST}), WANTED) == [JEST]
+    assert nested.embedded_objects(json.dumps({"testResults": json.dumps(JEST)}), WANTED) == [JEST]
+    assert nested.embedded_objects(json.dumps({"tests": 12}), WANTED) == [{"tests": 12}]
+    assert nested.embedded_objects(json.dumps({"tests": None, "x": {"y": 1}}), WANTED) == [{"tests": None, "x": {"y": 1}}]
+
+
+def test_null_runner_is_kept(df):
+    rows = [(1, None, json.dumps(JEST), 1), (2, " Cargo", "x", 1), (3, "jest", "x", 1)]
+    reports = df(rows, "report_id bigint, runner string, stdout string, loaded_at int")
+    assert {r.report_id for r in nested.latest_reports(reports).collect()} == {1, 3}
+
+
+def test_long_records_that_do_not_parse_raise(df, monkeypatch):
+    rows = df([('{"a": 1}',), ('{"a": ',)], "json string")
+    assert rows.where(nested.parsed("json").isNull()).count() == 1
+    monkeypatch.setattr(nested, "LONG", 4)
+    with pytest.raises(Exception, match="MALFORMED_RECORD|VARIANT"):
+        rows.select(nested.parsed("json").cast("string")).collect()
