@@ -2,7 +2,8 @@
 
 A stack automaton reads every text and tells what is still open at its end: code fences, code spans,
 brackets, quotes, table rows and list entries, escapes and multibyte sequences that break off, or a mark
-that stands for the rest. What counts as a proper end beyond a closing sentence mark is learned per source,
+that stands for the rest. Brackets and quotes are followed through the whole text outside fences, whatever its
+last line; code spans and bold type are read on the last line only. What counts as a proper end beyond a closing sentence mark is learned per source,
 not listed: the shapes of last lines that stand in front of the closing word in the source's complete texts
 are the baseline (those of all sources where a source has no complete text), and a last line of another
 shape without a terminator is missing its end. Lengths at
@@ -52,10 +53,13 @@ def _span_open(line: str) -> bool:
 
 
 def _brackets_open(text: str) -> bool:
-    """Whether a bracket or double quote is open at the end of running text; code spans are skipped."""
-    text = re.sub(r"`[^`]*`", "", text)
+    """Whether a bracket or double quote is open at the end of running text.
+
+    Code spans, which end with their paragraph, and inch marks are skipped.
+    """
+    text = "\n\n".join(re.sub(r"`[^`]*`", "", x) for x in text.split("\n\n"))
     stack: list[str] = []
-    for c in text:
+    for before, c in zip(" " + text, text):
         if c in "([{":
             stack.append(c)
         elif c in _PAIRS:
@@ -64,7 +68,7 @@ def _brackets_open(text: str) -> bool:
         elif c == '"':
             if stack and stack[-1] == '"':
                 stack.pop()
-            else:
+            elif not before.isdigit():
                 stack.append('"')
     return bool(stack)
 
@@ -81,12 +85,15 @@ def inspect(text: str) -> tuple[str, str, bool]:
     body = _CLOSED.sub("", text).rstrip()
     lines = body.split("\n")
     fence = ""
+    outside = []
     for line in lines:
         m = _FENCE.match(line)
         if m and not fence:
             fence = m[1]
         elif m and m[1].startswith(fence[:3]) and not m[2].strip():
             fence = ""
+        elif not fence:
+            outside.append(line)
     last = lines[-1]
     end = shape(last)
     if closed:
@@ -98,8 +105,9 @@ def inspect(text: str) -> tuple[str, str, bool]:
         return "mark", end, False
     if _BROKEN.search(body):
         return "broken sequence", end, False
+    bracket = "bracket" if _brackets_open("\n".join(outside)) else ""
     if _FENCE.match(last):
-        return "", "```", False
+        return bracket, "```", False
     if _span_open(last):
         return "code span", end, False
     if re.search(r"(?<!\*)\*\*(?!\*)", last) and len(re.findall(r"\*\*", last)) % 2:
@@ -109,13 +117,12 @@ def inspect(text: str) -> tuple[str, str, bool]:
         cells = [len(re.findall(r"(?<!\\)\|", x)) for x in rows]
         if not last.rstrip().endswith("|") or cells[-1] < max(cells):
             return "table row", end, False
-        return "", "| |", False
+        return bracket, "| |", False
     item = _ITEM.match(last)
     if item and not (item[2] or "").strip():
         return "list entry", end, False
-    paragraph = body.rsplit("\n\n", 1)[-1]
-    if _brackets_open(paragraph) and not _END.search(last):
-        return "bracket", end, False
+    if bracket:
+        return bracket, end, False
     return ("" if _END.search(last) else "no terminator"), end, False
 
 

@@ -20,6 +20,14 @@ def test_automaton(text, why):
     assert inspect(text)[0] == why
 
 
+@pytest.mark.parametrize("text, why", [
+    ("It failed (see below. The rest works.", "bracket"), ('He said "it works. It does.', "bracket"), ("Note (the first.\n\nThe second.", "bracket"), ("Of [these:\n\n| a |\n|---|\n| 1 |", "bracket"),
+    ("Fine (see `(`). It works.", ""), ('A 5" pipe fits.', ""), ("```\nf((\n```\n\nIt works.", ""), ("One ` tick.\n\nThen (`x`) works.", ""), ("See (a.\n\nThen b).", ""),
+])
+def test_what_is_open_before_a_whole_sentence(text, why):
+    assert inspect(text)[0] == why
+
+
 def run(df, rows):
     data = [(i, src, text, T, "x") for i, (src, text) in enumerate(rows)]
     return {r.rollout_id: r.why for r in judged(df(data, SCHEMA)).where("truncated").collect()}
