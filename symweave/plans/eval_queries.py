@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -215,19 +216,45 @@ def failure_attribution(spark, d):
 
 # ---------------------------------------------------------------- extraction
 
-_BLOCK = r"(?s)(?:^|\n)((?:(?:export )?(?:async )?function |(?:async )?def |(?:pub )?fn )[^\n]*\n.*)"
+#: Lines that begin a declaration, by the extension of their language.
+_DECLARED = re.compile(
+    (
+        r"(?m)^(?:(?P<py>(?:async )?def |class \w+[^{\n]*: *$)"
+        r"|(?P<rs>(?:pub(?:\([^)\n]*\))? )?(?:(?:async |const |unsafe )*fn |(?:struct|trait|mod) \w+[^\n]*[{;] *$)|impl\b[^\n]*\{ *$)"
+        r"|(?P<ts>(?:export )?(?:default )?(?:async )?function\b|(?:export )?(?:default )?(?:abstract )?class \w+[^\n]*\{ *$|(?:export )?interface \w+[^\n]*\{ *$))"
+    ).replace(" ", r"[^\S\n]")  # blanks of any kind
+)
+
+
+def code_parts(text: str | None) -> list[tuple[str, str]]:
+    """``(extension, content)`` for each language that declares something at the start of a line of a text.
+
+    The lines from the first declaration on; a paragraph with a declaration and what follows it belong to its
+    language until one with a declaration of another. Lines of other languages are blank, so that numbers stay.
+    """
+    found = [(m.start(), m.lastgroup) for m in _DECLARED.finditer(text or "")]
+    if not found:
+        return []
+    first, now = found[0]
+    begins = [(first, now)]
+    for at, ext in found:
+        if ext != now:
+            begins.append((max(text.rfind("\n\n", 0, at) + 2, begins[-1][0]) if "\n\n" in text[begins[-1][0] : at] else at, ext))
+            now = ext
+    pieces = [(ext, text[a:b]) for (a, ext), (b, _) in zip(begins, [*begins[1:], (len(text), "")])]
+    return [(ext, "".join(t if e == ext else "\n" * t.count("\n") for e, t in pieces)) for ext in dict(pieces)]
 
 
 def code_files(spark, d) -> DataFrame:
-    """Documents that hold code, as source files with the extension that their first declaration tells."""
-    docs = table(spark, d, "documents").select("doc_id", F.regexp_extract("text", _BLOCK, 1).alias("content")).where("content != ''")
-    ext = F.when(F.col("content").rlike(r"^(async )?def "), "py").when(F.col("content").rlike(r"^(pub )?fn "), "rs").otherwise("ts")
-    return docs.select(F.concat(F.lit("code/d"), F.col("doc_id").cast("string"), F.lit("."), ext).alias("path"), "content")
+    """Documents that hold code, as one source file for each language in them."""
+    parts = F.udf(code_parts, "array<struct<ext: string, content: string>>")
+    docs = table(spark, d, "documents").select("doc_id", F.explode(parts("text")).alias("p"))
+    return docs.select(F.concat(F.lit("code/d"), F.col("doc_id").cast("string"), F.lit("."), "p.ext").alias("path"), "p.content")
 
 
 @query()
 def extract_symbols(spark, d):
-    """Symbols of the code in the documents."""
+    """Symbols of the code in the documents, each language of a document as a file of its own."""
     symbols, _, _ = relations(cut(extract_files(code_files(spark, d))))
     return symbols.select("file", "name", "kind", "line_start", "line_end", "signature", "visibility", "is_async")
 

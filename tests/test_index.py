@@ -3,6 +3,7 @@ import os
 import pytest
 
 from symweave.operators import textscan
+from symweave.plans import eval_queries
 from symweave.sources import edit, index, scan
 from symweave.sources.extract import detect_language, extract
 from symweave.streaming import pipeline
@@ -188,3 +189,16 @@ def test_text_operators(df):
     assert df([("(a: A<B, C>, , d)",)], "s string").select(textscan.split_params(F.col("s"))).first()[0] == ["a: A<B", "C>", "d"]
     assert textscan.call_arguments("x = f(\n 1, g(2))", 1, "f") == "1, g(2)" and textscan.call_arguments("f()", 1, "f") is None and textscan.call_arguments(None, 1, "f") is None
     assert textscan.enclosing_statement("a\nx = f(\n 1,\n)\nb", 3) == "x = f(\n 1,\n)" and textscan.enclosing_statement("a", 5) is None
+
+
+def test_each_language_of_a_document_is_a_file(df, spark, tmp_path):
+    code = "Said.\n\nclass Early {\n}\n\nexport function a(x: string) {\n  return b(x);\n}\n\n/// Note.\npub\u2009fn c(x: &str) -> usize {\n    1\n}\n\nfunction b(y) {\n  return y;\n}\n\ndef d(z):\n    return z"
+    df([(1, code), (2, "No code here."), (3, None)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    files = {r.path: r.content for r in eval_queries.code_files(spark, str(tmp_path)).collect()}
+    assert set(files) == {"code/d1.ts", "code/d1.rs", "code/d1.py"}
+    assert "fn c" not in files["code/d1.ts"] and "function" not in files["code/d1.rs"] and files["code/d1.py"].strip() == "def d(z):\n    return z"
+    found = {(r.file[8:], r.name, r.line_start) for r in eval_queries.extract_symbols(spark, str(tmp_path)).collect()}
+    assert {("ts", "Early", 1), ("ts", "a", 4), ("ts", "b", 13), ("rs", "c", 9), ("py", "d", 17)} <= {(f.lstrip("."), n, x) for f, n, x in found}
+    assert len([n for _, n, _ in found if n in "abcd"]) == 4
+    calls = {(r.src_name, r.dst_name) for r in eval_queries.extract_calls(spark, str(tmp_path)).collect()}
+    assert ("a", "b") in calls
