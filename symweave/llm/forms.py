@@ -10,6 +10,7 @@ import functools
 import re
 import sys
 import unicodedata
+from collections.abc import Callable
 
 # For each Latin letter the letters of other scripts, or of phonetic use, drawn like it.
 LOOK_ALIKES = {
@@ -46,33 +47,46 @@ def _same_look(c: str) -> str:
     return "".join(_same_look(chr(int(x, 16))) for x in codes)
 
 
-class _Compat(dict):
-    """A translation table that is filled as characters come up."""
-
-    def __missing__(self, code: int) -> str:
-        c = chr(code)
-        out = _same_look(c)
-        if out != c and out.strip() != out and len(out) > 1:  # a spacing accent: blank and mark
-            out = c
-        out = "".join(SIGNS.get(x, x) for x in out)
-        self[code] = out
-        return out
+@functools.cache
+def _compatible_char(c: str) -> str:
+    """What stands for a character once invisible differences are gone; nothing for an ignorable one."""
+    if ignorable_pattern().fullmatch(c):
+        return ""
+    out = _same_look(c)
+    if out != c and out.strip() != out and len(out) > 1:  # a spacing accent: blank and mark
+        out = c
+    return "".join(SIGNS.get(x, x) for x in out)
 
 
-_COMPAT = _Compat((i, chr(i)) for i in range(128))
 _LATIN = {ord(x): latin for latin, others in LOOK_ALIKES.items() for x in others}
 
 
+@functools.cache
+def _latin_char(c: str) -> str:
+    """A composed character in its Latin shape."""
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", c).translate(_LATIN))
+
+
+def _replaced(text: str, new: Callable[[str], str]) -> str:
+    """Every character beyond ASCII replaced. A text has few different ones, so each is looked up once."""
+    changed = {c: x for c in set(text) if c > "\x7f" and (x := new(c)) != c}
+    if len(changed) > 24:
+        return text.translate({ord(c): x for c, x in changed.items()})
+    for c in sorted(changed, key=lambda c: (changed[c] != "", c)):  # what vanishes goes first
+        text = text.replace(c, changed[c])
+    return text
+
+
 def compatible(text: str) -> str:
     """Composed text without ignorable characters and without width, font and ligature forms.
 
     A blank of any width becomes one blank; several blanks stay several. Line ends become ``\\n``.
     """
-    if text.isascii():
-        return text.replace("\r\n", "\n").replace("\r", "\n")
-    text = ignorable_pattern().sub("", text)
-    text = unicodedata.normalize("NFC", text.translate(_COMPAT))
-    return text.replace("\r\n", "\n").replace("\r", "\n").replace("\u2028", "\n").replace("\u2029", "\n")
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", _replaced(text, _compatible_char))
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    return text if text.isascii() else text.replace("\u2028", "\n").replace("\u2029", "\n")
 
 
 def skeleton(text: str) -> str:
@@ -80,4 +94,5 @@ def skeleton(text: str) -> str:
     text = compatible(text)
     if text.isascii():
         return text
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_LATIN))
+    out = _replaced(text, _latin_char)
+    return text if out == text else unicodedata.normalize("NFC", out)
