@@ -37,17 +37,37 @@ def suffix_array(seq: np.ndarray) -> np.ndarray:
     return order
 
 
+class _Bits:
+    """A bit vector with constant-time ranks: words of 64 bits and the count before each of them."""
+
+    def __init__(self, bits: np.ndarray):
+        packed = np.packbits(bits.astype(np.uint8), bitorder="little")
+        words = np.zeros(len(bits) // 64 + 1, np.uint64)
+        words.view(np.uint8)[: len(packed)] = packed
+        self.words = words
+        self.before = np.concatenate(([0], np.cumsum(np.bitwise_count(words), dtype=np.int64)[:-1])).astype(np.int32)
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """Ones before each position."""
+        w = at >> 6
+        mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[w] + np.bitwise_count(self.words[w] & mask)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return ((self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64)
+
+
 class WaveletMatrix:
-    """Rank queries on a sequence over ``[0, 2**bits)``: one bit vector with its running sums per bit."""
+    """Rank queries on a sequence over ``[0, 2**bits)``: one bit vector per bit, a fifth of a byte a symbol and bit."""
 
     def __init__(self, seq: np.ndarray, bits: int):
         self.bits, self.n = bits, len(seq)
-        self.ones: list[np.ndarray] = []
+        self.ones: list[_Bits] = []
         self.zeros: list[int] = []
         for b in range(bits - 1, -1, -1):
             bit = (seq >> b) & 1
-            self.ones.append(np.concatenate(([0], np.cumsum(bit))).astype(np.int32))
-            self.zeros.append(int(self.n - self.ones[-1][-1]))
+            self.ones.append(_Bits(bit))
+            self.zeros.append(int(self.n - bit.sum()))
             seq = np.concatenate((seq[bit == 0], seq[bit == 1]))
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -56,7 +76,7 @@ class WaveletMatrix:
         for level, b in enumerate(range(self.bits - 1, -1, -1)):
             ones, zeros = self.ones[level], self.zeros[level]
             one = ((symbol >> b) & 1).astype(bool)
-            o0, o1 = ones[begin], ones[end]
+            o0, o1 = ones.rank(begin), ones.rank(end)
             begin = np.where(one, zeros + o0, begin - o0)
             end = np.where(one, zeros + o1, end - o1)
         return end - begin
@@ -66,9 +86,9 @@ class WaveletMatrix:
         out = np.zeros_like(at)
         for level in range(self.bits):
             ones, zeros = self.ones[level], self.zeros[level]
-            bit = ones[at + 1] - ones[at]
+            bit, before = ones[at], ones.rank(at)
             out = out * 2 + bit
-            at = np.where(bit == 1, zeros + ones[at], at - ones[at])
+            at = np.where(bit == 1, zeros + before, at - before)
         return out
 
 
@@ -84,7 +104,7 @@ class FMIndex:
         self.wavelet = WaveletMatrix(bwt, bits)
         self.first = np.concatenate(([0], np.cumsum(np.bincount(seq, minlength=sigma + 1)))).astype(np.int64)
         marked = sa % sample == 0
-        self.marked = np.concatenate(([0], np.cumsum(marked))).astype(np.int64)
+        self.marked = _Bits(marked)
         self.samples = sa[marked]
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,8 +126,8 @@ class FMIndex:
         out = np.empty(len(rows), np.int64)
         todo = np.arange(len(rows))
         while len(todo):
-            hit = self.marked[at + 1] > self.marked[at]
-            out[todo[hit]] = self.samples[self.marked[at[hit]]] + steps[hit]
+            hit = self.marked[at] == 1
+            out[todo[hit]] = self.samples[self.marked.rank(at[hit])] + steps[hit]
             todo, at, steps = todo[~hit], at[~hit], steps[~hit] + 1
             if len(todo):
                 c = self.wavelet.access(at)

@@ -108,8 +108,9 @@ def test_random_passages_against_the_rule(df):
 def test_blocks_and_shards_do_not_matter(df, monkeypatch):
     texts = [" ".join(own(i)[:30]) for i in range(8)] * 3
     whole = found(df, texts)
-    monkeypatch.setattr(leakage, "BLOCK", 3)
-    assert found(df, texts) == whole
+    for block in (100, 3, 1):
+        monkeypatch.setattr(leakage, "BLOCK", block)
+        assert found(df, texts) == whole
     items = leakage.Items(ITEMS)
     words = [leakage.words(t) for t in texts]
     one = {(d, items.ids[i]) for d, i, _ in leakage.search_shard(words, items)}
@@ -117,6 +118,32 @@ def test_blocks_and_shards_do_not_matter(df, monkeypatch):
     assert one == two == whole
 
 
+def test_common_phrases_are_expanded_for_some_documents_at_a_time(df, monkeypatch):
+    shared = " ".join(f"common{i}" for i in range(6))
+    items = [(i, f"{shared} {' '.join(own(i)[:30])}") for i in range(8)]
+    texts = [[*leakage.words(shared)] * 5 + leakage.words(" ".join(own(i % 8)[:30])) for i in range(40)]
+    whole = leakage.search_shard(texts, leakage.Items(items))
+    assert {(d, i) for d, i, _ in whole} == {(d, d % 8) for d in range(40)}
+    for n in (1, 50, 400):
+        monkeypatch.setattr(leakage, "EXPANDED", n)
+        assert leakage.search_shard(texts, leakage.Items(items)) == whole
+
+
+def test_hopeless_pairs_are_not_aligned():
+    # five runs at most; those not seen have three words
+    assert leakage._promising([(0, 0, 9)], 24, 8, 4)
+    assert not leakage._promising([(0, 0, 8)], 24, 8, 4)
+    assert not leakage._promising([(0, 0, 5), (6, 6, 4), (11, 11, 4)], 24, 8, 4)
+    assert leakage._promising([(0, 0, 6), (7, 7, 5), (13, 13, 4)], 24, 8, 4)
+    assert not leakage._promising([(0, 50, 6), (7, 20, 5), (13, 3, 4)], 24, 8, 4)  # in another order
+
+
+def test_an_item_with_two_texts_counts_with_both(df):
+    items = df([(1, ITEMS[0][1]), (1, ITEMS[1][1])], "item_id bigint, item_text string")
+    docs = df([(1, " ".join(own(0)[:30])), (2, " ".join(own(1)[:30]))], "doc_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in leakage.leaks(docs, items).collect()} == {(1, 1), (2, 1)}
+
+
 def test_standing_instructions_are_counted_over_all_blocks(df, monkeypatch):
     standing = " ".join(f"rule{i}" for i in range(30)) + "."
     items = df([(i, f"{ITEMS[i][1]} {standing}") for i in range(8)], "item_id bigint, item_text string")
