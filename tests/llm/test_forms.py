@@ -47,6 +47,20 @@ def test_words_of_one_script(df):
     assert m.form("сасһе the") == "cache the"
 
 
+def test_the_lattice_decides_the_spelling(df):
+    # fails if the form is the Latin shape of each letter or the text as it stands
+    russian, english = "проверка дома и графа", "cache the code once more"
+    m = Model(count_bigrams(df([(i, t, "", "") for i, t in enumerate([russian, english] * 3)], SCHEMA)))
+    assert m.form(f"{russian} of cаche") == f"{russian} of cache" == m.form(f"{russian.replace('о', 'o')} of саche")
+    assert m.form(russian) != skeleton(russian)
+
+
+def test_copies_of_a_frequent_look_are_paired_once(df):
+    rows = [(i, "plate", "", "") for i in range(200)] + [(1000, "plаte", "", ""), (1001, "рlаte", "", ""), (1002, "plate ", "", "")]
+    got = sorted(tuple(r) for r in look_alike_pairs(df(rows, SCHEMA)).collect())
+    assert got == sorted([(i, j) for i in range(200) for j in (1000, 1001)] + [(1000, 1001)])
+
+
 def test_pairs(df):
     rows = [(1, "same text", "", ""), (2, "sаme text", "", ""), (3, "same text", "", ""), (4, "same text", "", ""), (5, "same test", "", ""), (6, None, "", ""), (7, "", "", ""), (8, "​", "", ""), (None, "same texт", "", ""), (9, "x" * 100_000, "", ""), (10, "ｘ" + "x" * 99_999, "", "")]
     docs = df(rows, SCHEMA)
