@@ -60,6 +60,11 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(p7_layout(spark, sf_dir))
 
 
+def p7_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, texts and fill of each harmonic class."""
+    return packing.classes(p7_layout(spark, sf_dir))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that carry a passage of an evaluation item, with the item."""
     found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -81,7 +86,7 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.forms(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_percentiles, p2_daily, p2_combined, p4_found, p4_shares, p5_found, p5_items, p5_judges, p7_layout, p7_fill, p8_found, p9_found, p9_classes, p9_forms)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_percentiles, p2_daily, p2_combined, p4_found, p4_shares, p5_found, p5_items, p5_judges, p7_layout, p7_fill, p7_classes, p8_found, p9_found, p9_classes, p9_forms)}
 _QUANTILES = ", ".join(f"quantile_disc(v, {q}) FILTER (v IS NOT NULL AND NOT isnan(v)) AS p{round(q * 100)}" for q in (0.1, 0.25, 0.5, 0.75, 0.9, 0.99))
 _LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rollout_id ORDER BY loaded_at DESC) AS rn FROM rollouts) WHERE rn = 1"
 _LONG = f"""one AS ({_LATEST}), long AS (

@@ -4,33 +4,44 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from symweave.llm.packing import encoding, fill, layout, pack
+from symweave.llm.packing import classes, encoding, fill, layout, pack
 
 SCHEMA = "doc_id bigint, text string, container string, k int"
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.integers(1, 40), st.data())
-def test_pack(capacity, data):
+@given(st.integers(1, 40), st.booleans(), st.data())
+def test_pack(capacity, top_up, data):
     sizes = data.draw(st.lists(st.integers(1, capacity), max_size=60))
-    placed = pack(sizes, capacity)
+    placed = pack(sizes, capacity, top_up)
     assert sorted(p[0] for p in placed) == list(range(len(sizes)))
     boxes = defaultdict(list)
-    for item, box, position, offset in placed:
-        boxes[box].append((position, offset, sizes[item]))
+    for item, box, own, position, offset in placed:
+        boxes[box].append((position, offset, sizes[item], own))
     assert sorted(boxes) == list(range(len(boxes)))
+    short = []
     for box in boxes.values():
         at = 0
-        for n, (position, offset, size) in enumerate(box):
+        for n, (position, offset, size, _) in enumerate(box):
             assert (position, offset) == (n, at)
             at += size
         assert at <= capacity
-    full = [sum(s for *_, s in b) for b in boxes.values()]
-    assert sum(2 * x < capacity for x in full) <= 1
-    for box in boxes.values():  # the class of a container fills it up to its own number, or is used up
-        i = capacity // box[0][2]
-        own = sum(capacity // s == i for *_, s in box)
-        assert own <= i
+        # i texts of the class come first, then higher classes only
+        (i,) = {own for *_, own in box}
+        kinds = [capacity // size for _, _, size, _ in box]
+        count = sum(k == i for k in kinds)
+        assert kinds[:count] == [i] * count and all(k > i for k in kinds[count:]) and (top_up or count == len(kinds))
+        if count < i:
+            short.append(i)
+    assert len(short) == len(set(short))
+    if top_up:
+        assert sum(2 * sum(x[2] for x in b) < capacity for b in boxes.values()) <= 1
+
+
+def test_a_class_is_filled_by_count_not_by_fit():
+    # best fit would put 6 with 4 and 5 with 5; class 1 takes one text and what is left of its room, class 2 takes two
+    assert [(p[1], p[2]) for p in sorted(pack([6, 4, 4, 5], 10))] == [(0, 1), (0, 1), (1, 2), (1, 2)]
+    assert [(p[1], p[2]) for p in sorted(pack([6, 4, 4, 5], 10, top_up=False))] == [(0, 1), (1, 2), (2, 2), (1, 2)]
 
 
 def test_layout(df):
@@ -56,6 +67,9 @@ def test_layout(df):
         pieces = sorted(r.piece for r in rows if r.doc_id == i)
         assert pieces == (list(range(max(1, -(-n // 128)))) if t is not None else [])
     f = fill(out, 128).first()
+    by_class = {r.container_class: r for r in classes(out, 128).collect()}
+    assert sum(r.own_texts + r.texts_on_top for r in by_class.values()) == sum(r.tokens > 0 for r in rows)
+    assert all(0 < r.used_by_class <= r.used <= 1 and r.own_texts <= i * r.containers for i, r in by_class.items())
     assert f.texts == 12 and f.tokens == sum(tokens.values()) and f.used > 0.8
 
 
