@@ -1,17 +1,18 @@
 """Exact percentiles per group by distributed multi-select, and summaries of them that can be combined.
 
-All wanted ranks of all groups are searched at once. In each round every partition reports, for each
-range that is still searched, how many of its values lie below, on and above the pivot, and the medians
-of the two sides. The side that holds the rank stays, the other is ruled out, and the weighted median of
-the partitions' medians of that side is the next pivot, so that each round drops at least a quarter of what
-is left. Once the ranges hold less than half of the table, only what they hold is written again. A range of
-at most ``GATHER`` values is sorted in one task. No task ever gets the values of a large group, and the
-driver gets at most ``REPORTS`` rows a round: with more ranges than that, they are searched in blocks.
+All wanted ranks of all groups are searched at once. Every partition is sorted once and kept. In each round
+every partition reports, for each range that is still searched, how many of its values lie below, on and
+above the pivot, and the medians of the two sides. The side that holds the rank stays, the other is ruled
+out, and the weighted median of the partitions' medians of that side is the next pivot, so that each round
+drops at least a quarter of what is left. This is repeated until the pivot is the value, for groups of any
+size; no group is gathered. Once the ranges hold less than half of the table, only what they hold is written
+again. The driver gets at most ``REPORTS`` rows a round: with more ranges than that, they are searched in
+blocks, and what a block found is written to the shared folder.
 
 ``summaries`` keeps of every slice (say, a day of a group) at most ``size`` values at evenly spaced ranks
 with their weights; slices merge by putting their rows together. The rank of a percentile read from merged
 slices is off by at most the sum of ``n / (2 * size) + 1`` over the slices of more than ``size`` values; a
-smaller slice is kept whole and adds no error.
+smaller slice is its own summary, needs no search and adds no error.
 
 Defined results: nulls and NaN are no values; they are counted in ``n_missing``. Infinities are the largest
 and smallest values, -0.0 equals 0.0. The p-quantile of n values is the value of rank ``n - floor(n - p * n)``,
@@ -28,13 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from symweave.operators import skew
 from symweave.runtime import cut
 
-GATHER = 5_000
 REPORTS = 1_000_000
 _LOW, _HIGH = -(2**63), 2**63 - 1
 
@@ -54,12 +55,14 @@ def rank_of(q: float, n: int) -> int:
 
 
 def _whole(batches: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray]:
-    """A partition's group numbers and keys, sorted."""
+    """A partition's group numbers and keys, sorted; stored partitions already are."""
     parts = [(b["g"].to_numpy(np.int64), b["k"].to_numpy(np.int64)) for b in batches]
     g = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.int64)
     k = np.concatenate([p[1] for p in parts]) if parts else np.empty(0, np.int64)
-    o = np.lexsort((k, g))
-    return g[o], k[o]
+    if not ((g[1:] > g[:-1]) | ((g[1:] == g[:-1]) & (k[1:] >= k[:-1]))).all():
+        o = np.lexsort((k, g))
+        g, k = g[o], k[o]
+    return g, k
 
 
 def _bounds(g: np.ndarray, k: np.ndarray, s: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -72,119 +75,100 @@ def _bounds(g: np.ndarray, k: np.ndarray, s: pd.DataFrame) -> tuple[np.ndarray,
     return lo, np.maximum(lo, hi)
 
 
-def _narrow(values: DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-    """One round over the ranges of ``state`` (g, rank, lo, hi, n, k, pivot): the ranges that are left.
+def _weighted_medians(told: pd.DataFrame, median: str, weight: str, n: int) -> pd.Series:
+    """For each of ``n`` ranges ``i`` the weighted median of what the partitions report, 0 where they report none."""
+    t = told[told[weight] > 0].sort_values(["i", median])
+    share = t.groupby("i")[weight].cumsum() * 2 >= t.groupby("i")[weight].transform("sum")
+    return t[share].groupby("i")[median].first().reindex(range(n), fill_value=0).astype(np.int64)
 
-    A found value has ``lo = hi``.
+
+def _first_pivots(values: DataFrame, ranges: pd.DataFrame) -> pd.DataFrame:
+    """The weighted medians of the partitions' medians of whole ranges."""
+    sent = values.sparkSession.sparkContext.broadcast(ranges[["g", "lo", "hi"]])
+
+    def medians(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g, k = _whole(batches)
+        a, b = _bounds(g, k, sent.value)
+        on = np.flatnonzero(b > a)
+        yield pd.DataFrame({"i": on, "m": k[(a[on] + b[on]) // 2] if len(on) else np.empty(0, np.int64), "w": (b - a)[on]})
+
+    told = values.mapInPandas(medians, "i bigint, m bigint, w bigint").toPandas()
+    return ranges.assign(pivot=_weighted_medians(told, "m", "w", len(ranges)))
+
+
+def _narrow(values: DataFrame, state: pd.DataFrame, ranges: pd.DataFrame) -> pd.DataFrame:
+    """One round: ``state`` (g, rank, k, lo, hi) with the part of its range that holds the rank, the size n of this part and its pivot.
+
+    ``ranges`` are the different ranges (g, lo, hi, pivot); those of one group are equal or apart. A found value has ``lo = hi``.
     """
-    sent = values.sparkSession.sparkContext.broadcast(state[["g", "lo", "hi", "pivot"]])
+    sent = values.sparkSession.sparkContext.broadcast(ranges)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g, k = _whole(batches)
         s = sent.value
         a, b = _bounds(g, k, s)
         rows = []
+        pivots = s["pivot"].to_numpy()
         for i in np.flatnonzero(b > a):
-            x, y, p = a[i], b[i], s["pivot"].iat[i]
+            x, y, p = a[i], b[i], pivots[i]
             m1, m2 = x + np.searchsorted(k[x:y], p, "left"), x + np.searchsorted(k[x:y], p, "right")
             rows.append((i, m1 - x, m2 - m1, y - m2, k[(x + m1) // 2] if m1 > x else 0, k[(m2 + y) // 2] if y > m2 else 0))
         yield pd.DataFrame(rows, columns=["i", "less", "same", "more", "below", "above"]).astype(np.int64)
 
     told = values.mapInPandas(count, "i bigint, less bigint, same bigint, more bigint, below bigint, above bigint").toPandas()
-    sums = told.groupby("i")[["less", "same", "more"]].sum().reindex(range(len(state)), fill_value=0)
-    out = state.copy()
-    less, same = sums["less"].to_numpy(), sums["same"].to_numpy()
-    k, pivot = out["k"].to_numpy(), out["pivot"].to_numpy()
-    left, right = k <= less, k > less + same
-    out["hi"] = np.where(left, pivot, np.where(right, out["hi"], pivot))
-    out["lo"] = np.where(left, out["lo"], pivot)
-    out["n"] = np.where(left, less, np.where(right, sums["more"], same))
-    out["k"] = np.where(right, k - less - same, k)
-    side = {True: ("below", "less"), False: ("above", "more")}
-    for goes_left, (median, weight) in side.items():
-        on = np.flatnonzero(left if goes_left else right)
-        t = told[told["i"].isin(on) & (told[weight] > 0)].sort_values(["i", median])
-        if len(t):
-            share = t.groupby("i")[weight].cumsum() * 2 >= t.groupby("i")[weight].transform("sum")
-            t = t[share].groupby("i")[median].first()
-            out.loc[t.index, "pivot"] = t.to_numpy()
-    return out
-
-
-def _first_pivots(values: DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-    """The weighted medians of the partitions' medians of whole groups."""
-    sent = values.sparkSession.sparkContext.broadcast(state[["g", "lo", "hi"]].drop_duplicates("g").reset_index(drop=True))
-
-    def medians(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g, k = _whole(batches)
-        s = sent.value
-        a, b = _bounds(g, k, s)
-        on = np.flatnonzero(b > a)
-        yield pd.DataFrame({"g": s["g"].to_numpy()[on], "m": k[(a[on] + b[on]) // 2] if len(on) else np.empty(0, np.int64), "w": (b - a)[on]})
-
-    t = values.mapInPandas(medians, "g bigint, m bigint, w bigint").toPandas().sort_values(["g", "m"])
-    share = t.groupby("g")["w"].cumsum() * 2 >= t.groupby("g")["w"].transform("sum")
-    first = t[share].groupby("g")["m"].first()
-    return state.assign(pivot=state["g"].map(first).astype(np.int64))
+    sums = told.groupby("i")[["less", "same", "more"]].sum().reindex(range(len(ranges)), fill_value=0)
+    sums["below"], sums["above"] = _weighted_medians(told, "below", "less", len(ranges)), _weighted_medians(told, "above", "more", len(ranges))
+    sent.destroy()
+    out = state.merge(ranges.assign(i=np.arange(len(ranges))), on=["g", "lo", "hi"]).join(sums, on="i")
+    left, right = out["k"] <= out["less"], out["k"] > out["less"] + out["same"]
+    here = ~left & ~right
+    pivot = out["pivot"]
+    last = (left & (out["less"] == 1)) | (right & (out["more"] == 1))  # what is left is the median told
+    side = out["below"].where(left, out["above"])
+    out["lo"], out["hi"] = out["lo"].where(left, pivot), out["hi"].where(right, pivot)
+    out.loc[last, "lo"] = out.loc[last, "hi"] = side[last]
+    out["k"] = out["k"].where(~right, out["k"] - out["less"] - out["same"])
+    out["n"] = out["less"].where(left, out["more"])
+    out["pivot"] = side.where(~here, pivot)
+    return out[["g", "rank", "k", "lo", "hi", "n", "pivot"]]
 
 
 def _inside(values: DataFrame, ranges: pd.DataFrame) -> DataFrame:
-    """The values in the ranges, with the number of the range."""
-    sent = values.sparkSession.sparkContext.broadcast(ranges)
+    """The values in the ranges, sorted within partitions."""
+    sent = values.sparkSession.sparkContext.broadcast(ranges.sort_values(["g", "lo"]))
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g, k = _whole(batches)
-        s = sent.value
-        a, b = _bounds(g, k, s)
+        a, b = _bounds(g, k, sent.value)
         for i in np.flatnonzero(b > a):
             for x in range(a[i], b[i], 50_000):
                 y = min(b[i], x + 50_000)
-                yield pd.DataFrame({"r": np.full(y - x, s["r"].iat[i]), "g": g[x:y], "k": k[x:y]})
+                yield pd.DataFrame({"g": g[x:y], "k": k[x:y]})
 
-    return values.mapInPandas(keep, "r bigint, g bigint, k bigint")
+    return values.mapInPandas(keep, "g bigint, k bigint")
 
 
-def multi_select(values: DataFrame, wanted: pd.DataFrame, gather: int = GATHER) -> pd.DataFrame:
+def multi_select(values: DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
     """The keys of the wanted ranks: ``g, rank, key``.
 
     ``values`` has ``g, k``; ``wanted`` has ``g, rank, n`` with the size n of each group.
     """
+    span = ["g", "lo", "hi"]
+    size = int(wanted.drop_duplicates("g")["n"].sum())
     state = wanted.assign(lo=_LOW, hi=_HIGH, k=wanted["rank"]).reset_index(drop=True)
-    large = state[state["n"] > gather].reset_index(drop=True)
-    ready = [state[state["n"] <= gather]]
-    found = []
-    size = int(state.drop_duplicates("g")["n"].sum())
-    table = values
-    if len(large):
-        large = _first_pivots(table, large)
-    while len(large):
-        large = _narrow(table, large)
-        hit = large["lo"] == large["hi"]
-        found.append(large[hit])
-        large = large[~hit]
-        ready.append(large[large["n"] <= gather])
-        large = large[large["n"] > gather].reset_index(drop=True)
-        spans = large.drop_duplicates(["g", "lo", "hi"])
-        if len(large) and spans["n"].sum() * 2 < size:
-            rest = pd.concat([spans, *[r.drop_duplicates(["g", "lo", "hi"]) for r in ready]]).drop_duplicates(["g", "lo", "hi"])
-            if rest["n"].sum() * 2 < size:
-                # ranges of one group may overlap only as a whole, so that no value is kept twice
-                merged = rest.groupby("g", as_index=False).agg(lo=("lo", "min"), hi=("hi", "max"))
-                table = cut(_inside(values, merged.assign(r=0)).select("g", "k"))
-                size = table.count()
-    few = pd.concat(ready)
-    out = [pd.concat(found)[["g", "rank", "lo"]].rename(columns={"lo": "key"})] if found else []
-    if len(few):
-        spans = few.drop_duplicates(["g", "lo", "hi"]).reset_index(drop=True)
-        spans["r"] = np.arange(len(spans))
-        few = few.merge(spans[["g", "lo", "hi", "r"]], on=["g", "lo", "hi"])
-        ranks = few.groupby("r")["k"].apply(lambda s: sorted(set(map(int, s)))).reset_index()
-        spark = values.sparkSession
-        asked = spark.createDataFrame(ranks.values.tolist(), "r bigint, ks array<bigint>")
-        lists = _inside(table, spans[["r", "g", "lo", "hi"]]).groupBy("r").agg(F.array_sort(F.collect_list("k")).alias("v"))
-        got = lists.join(F.broadcast(asked), "r").select("r", F.explode(F.transform("ks", lambda i: F.struct(i.alias("k"), F.element_at("v", i.cast("int")).alias("key")))).alias("x")).select("r", "x.*").toPandas()
-        out.append(few.merge(got, on=["r", "k"])[["g", "rank", "key"]])
-    return pd.concat(out).astype(np.int64) if out else pd.DataFrame({"g": [], "rank": [], "key": []}, dtype=np.int64)
+    found = [pd.DataFrame({"g": [], "rank": [], "lo": []}, dtype=np.int64)]
+    ranges = _first_pivots(values, state[span].drop_duplicates().reset_index(drop=True)) if len(state) else None
+    while len(state):
+        told = _narrow(values, state.drop(columns=["n", "pivot"], errors="ignore"), ranges)
+        hit = told["lo"] == told["hi"]
+        found.append(told.loc[hit, ["g", "rank", "lo"]])
+        state = told[~hit].reset_index(drop=True)
+        left = state[[*span, "n", "pivot"]].drop_duplicates(span).reset_index(drop=True)
+        ranges = left[[*span, "pivot"]]
+        if len(left) and left["n"].sum() * 2 < size:
+            values = cut(_inside(values, left[span]))
+            size = int(left["n"].sum())
+    return pd.concat(found).rename(columns={"lo": "key"}).astype(np.int64)
 
 
 def label(name: Column) -> Column:
@@ -217,8 +201,8 @@ def _prepared(rows: DataFrame, groups: dict[str, Column], metrics: list[str]) ->
         for b in batches:
             yield pd.DataFrame({"g": b["g"], "k": to_key(b["v"].to_numpy(np.float64))})
 
-    values = cut(long.where(valid).select(F.xxhash64(*names).alias("g"), "v").mapInPandas(keyed, "g bigint, k bigint"))
-    return values, sizes
+    values = long.where(valid).select(F.xxhash64(*names).alias("g"), "v").mapInPandas(keyed, "g bigint, k bigint")
+    return cut(values.sortWithinPartitions("g", "k")), sizes
 
 
 def _ranks(sizes: pd.DataFrame, quantiles: list[float]) -> pd.DataFrame:
@@ -228,29 +212,38 @@ def _ranks(sizes: pd.DataFrame, quantiles: list[float]) -> pd.DataFrame:
 
 def _blocks(values: DataFrame, sizes: DataFrame, per_group: int) -> Iterator[pd.DataFrame]:
     """The groups in blocks, so that a round reports at most ``REPORTS`` rows."""
-    partitions = values.select(F.spark_partition_id().alias("p")).distinct().count()
-    most = max(1, REPORTS // max(1, partitions) // per_group)
+    most = max(1, REPORTS // max(1, values.rdd.getNumPartitions()) // per_group)
     n = sizes.count()
     blocks = max(1, -(-n // most))
     for b in range(blocks):
         yield sizes.where(F.pmod("g", F.lit(blocks)) == b).select("g", "n").toPandas()
 
 
+def _stored(parts: Iterator[tuple[list, str]], spark: SparkSession) -> DataFrame | None:
+    """What the blocks found, block by block in the shared folder, so that the driver keeps nothing."""
+    out, n = None, 0
+    for data, columns in parts:
+        part = cut(spark.createDataFrame(data, columns))
+        out, n = part if out is None else out.unionByName(part), n + 1
+        if n % 16 == 0:
+            out = cut(out.coalesce(16))
+    return out
+
+
 def percentiles(rows: DataFrame, groups: dict[str, Column], metrics: list[str], quantiles: list[float]) -> DataFrame:
     """``groups, metric, n, n_missing, p..., rank_error`` with one exact column for each quantile."""
     values, sizes = _prepared(rows, groups, metrics)
-    spark = rows.sparkSession
     names = [f"p{round(q * 100)}" for q in quantiles]
-    found = None
-    for block in _blocks(values, sizes, len(quantiles)):
-        ranks = _ranks(block, quantiles)
-        got = multi_select(values, ranks[["g", "rank", "n"]].drop_duplicates())
-        wide = ranks.merge(got, on=["g", "rank"])
-        wide["v"] = from_key(wide["key"].to_numpy(np.int64))
-        data = [(int(g), {names[quantiles.index(q)]: float(v) for q, v in zip(x["q"], x["v"])}) for g, x in wide.groupby("g")]
-        part = spark.createDataFrame(data, "g bigint, m map<string,double>")
-        found = part if found is None else found.unionByName(part)
-    out = sizes.join(found, "g", "left")
+
+    def parts() -> Iterator[tuple[list, str]]:
+        for block in _blocks(values, sizes, len(quantiles)):
+            ranks = _ranks(block, quantiles)
+            got = multi_select(values, ranks[["g", "rank", "n"]].drop_duplicates())
+            wide = ranks.merge(got, on=["g", "rank"])
+            wide["v"] = from_key(wide["key"].to_numpy(np.int64))
+            yield [(int(g), {names[quantiles.index(q)]: float(v) for q, v in zip(x["q"], x["v"])}) for g, x in wide.groupby("g")], "g bigint, m map<string,double>"
+
+    out = sizes.join(_stored(parts(), rows.sparkSession), "g", "left")
     return out.select(*groups, "metric", "n", "n_missing", *[F.col("m")[c].alias(c) for c in names], F.lit(0).cast("bigint").alias("rank_error"))
 
 
@@ -260,20 +253,29 @@ def summaries(rows: DataFrame, groups: dict[str, Column], metrics: list[str], si
     Slice i of ``size`` equal parts of the sorted values is represented by its middle one.
     """
     values, sizes = _prepared(rows, groups, metrics)
-    spark = rows.sparkSession
-    out = None
-    for block in _blocks(values, sizes, size):
-        points = []
-        for g, n in zip(block["g"], block["n"]):
-            m = min(size, n)
-            for i in range(m):
-                a, b = i * n // m, (i + 1) * n // m
-                points.append((g, a + (b - a + 1) // 2, n, b - a))
-        p = pd.DataFrame(points, columns=["g", "rank", "n", "weight"]).astype(np.int64)
-        got = multi_select(values, p[["g", "rank", "n"]]).merge(p[["g", "rank", "weight"]], on=["g", "rank"])
-        data = list(zip(map(int, got["g"]), map(float, from_key(got["key"].to_numpy(np.int64))), map(int, got["weight"])))
-        part = spark.createDataFrame(data, "g bigint, value double, weight bigint")
-        out = part if out is None else out.unionByName(part)
+
+    def back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"g": b["g"], "value": from_key(b["k"].to_numpy(np.int64)), "weight": np.ones(len(b), np.int64)})
+
+    # the largest slices are no summaries of their own; they are left out before the shuffle
+    large = [r.g for r in sizes.where(F.col("n") > size).orderBy(F.desc("n"), "g").limit(skew.HOT).collect()]
+    rest = values.where(~F.col("g").isin(large)) if large else values
+    out = rest.join(sizes.where(F.col("n") <= size).select("g"), "g", "left_semi").mapInPandas(back, "g bigint, value double, weight bigint")
+
+    def parts() -> Iterator[tuple[list, str]]:
+        for block in _blocks(values, sizes.where(F.col("n") > size), size) if large else ():
+            points = []
+            for g, n in zip(block["g"], block["n"]):
+                for i in range(size):
+                    a, b = i * n // size, (i + 1) * n // size
+                    points.append((g, a + (b - a + 1) // 2, n, b - a))
+            p = pd.DataFrame(points, columns=["g", "rank", "n", "weight"]).astype(np.int64)
+            got = multi_select(values, p[["g", "rank", "n"]]).merge(p[["g", "rank", "weight"]], on=["g", "rank"])
+            yield list(zip(map(int, got["g"]), map(float, from_key(got["key"].to_numpy(np.int64))), map(int, got["weight"]))), "g bigint, value double, weight bigint"
+
+    selected = _stored(parts(), rows.sparkSession)
+    out = out if selected is None else out.unionByName(selected)
     return sizes.select("g", *groups, "metric", "n").join(out, "g").drop("g")
 
 
