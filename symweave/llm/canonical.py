@@ -212,14 +212,6 @@ def digests(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return rows.mapInPandas(run, f"k {dict(documents.dtypes)[key]}, f1 bigint, f2 bigint, t1 bigint, t2 bigint").withColumnRenamed("k", key)
 
 
-def _salted(many: DataFrame, few: DataFrame, on: list[str], spread: str) -> DataFrame:
-    """Inner join; the most frequent values of the first key are split on the side of many rows and repeated on the other."""
-    hot = skew.hot_values(many, on[0])
-    a = many.withColumn("_salt", skew.salt_many(F.col(on[0]), F.col(spread), hot))
-    b = few.withColumn("_salt", F.explode(skew.salt_all(F.col(on[0]), hot)))
-    return a.join(b, [*on, "_salt"]).drop("_salt")
-
-
 def classes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, f1, f2, t1, t2, variants, class_id`` of the documents whose look is written in several ways.
 
@@ -230,7 +222,7 @@ def classes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     marked = cut(digests(documents, key, text))
     texts = marked.groupBy("f1", "f2", "t1", "t2").agg(F.min(key).alias("least"))
     several = texts.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("variants"), F.min("least").alias("class_id")).where("variants > 1")
-    return _salted(marked, several, ["f1", "f2"], key)
+    return skew.joined(marked, several, ["f1", "f2"], key)
 
 
 def look_alike_pairs(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -246,5 +238,5 @@ def look_alike_pairs(documents: DataFrame, key: str = "doc_id", text: str = "tex
     two = x.join(y, ["f1", "f2"]).where((F.col("x1") < F.col("y1")) | ((F.col("x1") == F.col("y1")) & (F.col("x2") < F.col("y2")))).drop("f1", "f2")
     a = rows.select(F.col("t1").alias("x1"), F.col("t2").alias("x2"), F.col("k").alias("a"))
     b = rows.select(F.col("t1").alias("y1"), F.col("t2").alias("y2"), F.col("k").alias("b"))
-    both = _salted(b, _salted(a, two, ["x1", "x2"], "a"), ["y1", "y2"], "b")
+    both = skew.joined(b, skew.joined(a, two, ["x1", "x2"], "a"), ["y1", "y2"], "b")
     return both.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).where("doc_id_a < doc_id_b").distinct()

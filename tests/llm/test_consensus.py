@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pytest
 
 from symweave.llm import consensus
 
@@ -61,6 +62,34 @@ def test_beats_the_majority(df):
     assert all(r.n_picks == 5 and 0 < r.probability <= 1 and r.difficulty > 0 for r in got.values())
 
 
+def test_panels_of_any_size_take_the_same_steps(df, monkeypatch):
+    rows = consensus.picks(df(panel(60, 5)[1], SCHEMA))
+    monkeypatch.setattr(consensus, "PASSES", 2)
+    with pytest.warns(RuntimeWarning):
+        bounded, one = consensus.fit(rows)
+    monkeypatch.setattr(consensus, "PANEL", 3)
+    with pytest.warns(RuntimeWarning):
+        joined, two = consensus.fit(rows)
+    weights = {r.judge: r.w for r in joined.table.collect()}
+    # after two passes the first way returns the point before its extrapolation
+    assert sorted(weights) == bounded.judges.tolist() and np.allclose([weights[j] for j in bounded.judges], bounded.weights)
+    assert np.allclose(bounded.labels, joined.labels)
+    one, two = ({r.verdict_id: r.x for r in x.collect()} for x in (one, two))
+    assert sorted(one) == sorted(two) and all(np.allclose(x, two[i]) for i, x in one.items())
+
+
+def test_settled_labels_stay_and_unsettled_ones_are_told(df, monkeypatch):
+    rows = consensus.picks(df(panel(200)[1], SCHEMA))
+    fitted, _ = consensus.fit(rows)
+    assert fitted.converged and fitted.passes < 60
+    monkeypatch.setattr(consensus, "STEADY", 1e-6)
+    finer, _ = consensus.fit(rows)
+    assert finer.converged and np.abs(finer.weights - fitted.weights).max() < 0.01
+    monkeypatch.setattr(consensus, "PASSES", 2)
+    with pytest.warns(RuntimeWarning, match="still move"):
+        assert not consensus.fit(rows)[0].converged
+
+
 def test_agreement_and_ties(df):
     rows = [(1, T, [vote(j, "raw") for j in range(4)], ""), (2, T, [vote(0, "raw"), vote(1, "treatment")], ""), (3, T, [vote(0, "tie")], "")]
     got = {r.verdict_id: r for r in consensus.item_labels(df(rows, SCHEMA)).collect()}
