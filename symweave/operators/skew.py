@@ -43,14 +43,15 @@ def salt_all(key: Column, hot: list[int], salts: int = SALTS) -> Column:
     return F.when(key.isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
 
 
-def joined(many: DataFrame, few: DataFrame, on: list[str], spread: str) -> DataFrame:
-    """Inner join in which a frequent value of the first key does not meet in one task.
+def joined(many: DataFrame, few: DataFrame, on: list[str], spread: str, how: str = "inner", hot: list[int] | None = None) -> DataFrame:
+    """Join (inner, or ``left`` keeping the rows of ``many``) in which a frequent value of the first key does not meet in one task.
 
-    The most frequent values of ``many`` are split by ``spread``, and the rows of ``few`` with them are repeated.
+    The most frequent values of ``many`` (counted here unless given) are split by ``spread``, and the rows of
+    ``few`` with them are repeated.
     """
-    hot = hot_values(many, on[0])
+    hot = hot_values(many, on[0]) if hot is None else hot
     if not hot:
-        return many.join(few, on)
+        return many.join(few, on, how)
     a = many.withColumn("_salt", salt_many(F.col(on[0]), F.col(spread), hot))
     b = few.withColumn("_salt", F.explode(salt_all(F.col(on[0]), hot)))
-    return a.join(b, [*on, "_salt"]).drop("_salt")
+    return a.join(b, [*on, "_salt"], how).drop("_salt")
