@@ -22,15 +22,17 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from symweave.operators import skew
 from symweave.runtime import cut
 
 CLOSING = "DONE"
-#: Last-line shapes seen at least so often in front of the closing word are proper ends.
-SUPPORT = 2
+#: A last-line shape in front of the closing word is a proper end of a source if it stands there in at least this
+#: share of the source's complete texts, and more than once.
+SUPPORT, SUPPORT_SHARE = 2, 0.0003
 #: Longer last lines are running text, which needs a terminator.
 SHAPE = 80
 #: Where fewer texts of a source than this end in white space, a text that does was followed by something.
@@ -152,35 +154,42 @@ def inspected(rows: DataFrame, key: str, source: str, text: str, at: str | None)
     return one.select("k", "r.*").where(F.col("closed").isNotNull())
 
 
+def _hash(*cols: str) -> Column:
+    return F.xxhash64(*[x for c in cols for x in (F.col(c), F.col(c).isNull())])
+
+
 def judged(rows: DataFrame, key: str = "rollout_id", source: str = "run_label", text: str = "final_answer", at: str | None = "loaded_at") -> DataFrame:
     """``key, source, truncated, why`` for each text that is not blank."""
-    seen = cut(inspected(rows, key, source, text, at))
-    ends = seen.where("closed and shape != ''").groupBy("s", "shape").agg(F.count(F.lit(1)).alias("n"))
-    own = ends.where(F.col("n") >= SUPPORT).select(F.col("s").alias("os"), F.col("shape").alias("oshape"), F.lit(True).alias("own"))
-    pooled = ends.groupBy("shape").agg(F.sum("n").alias("n")).where(F.col("n") >= SUPPORT).select("shape", F.lit(True).alias("pooled"))
-    sources = seen.groupBy(F.col("s").alias("bs")).agg((F.count_if("blank") < RARE * F.count(F.lit(1))).alias("rare"), F.max("closed").alias("learned"))
-    fit = seen.join(sources, F.col("s").eqNullSafe(F.col("bs")), "left")
-    fit = fit.join(own, F.col("s").eqNullSafe(F.col("os")) & (F.col("shape") == F.col("oshape")), "left").join(pooled, "shape", "left")
-    fit = fit.withColumn("proper", F.when(F.col("learned"), F.col("own")).otherwise(F.col("pooled")))
+    seen = cut(inspected(rows, key, source, text, at).withColumns({"sh": _hash("s"), "ph": _hash("s", "shape")}))
+    # sources and shapes are judged in a table of their own, which then meets the rows once
+    ends = seen.groupBy("s", "sh", "shape", "ph").agg(F.count(F.lit(1)).alias("n"), F.count_if("blank").alias("blanks"), F.count_if("closed").alias("complete"))
+    ends = cut(ends.withColumn("before", F.when(F.col("shape") != "", F.col("complete")).otherwise(0)))
+    of = F.struct((F.sum("blanks") < RARE * F.sum("n")).alias("rare"), F.sum("complete").alias("complete"))
+    sources = ends.groupBy(F.col("s").alias("bs"), "sh").agg(of.alias("source"))
+    everywhere = ends.agg(F.coalesce(F.sum("complete"), F.lit(0))).first()[0]
+    pooled = ends.where("shape != ''").groupBy("shape").agg(F.sum("before").alias("pooled"))
+    known = skew.joined(ends, sources, ["sh"], "shape").where(F.col("s").eqNullSafe(F.col("bs"))).join(pooled, "shape", "left")
+    enough = lambda n, complete: n >= F.greatest(F.lit(float(SUPPORT)), SUPPORT_SHARE * complete)
+    proper = F.when(F.col("source.complete") > 0, enough(F.col("before"), F.col("source.complete"))).otherwise(enough(F.coalesce("pooled", F.lit(0)), F.lit(everywhere)))
+    known = known.select(F.col("s").alias("ks"), F.col("shape").alias("kshape"), "ph", proper.alias("proper"), F.col("source.rare").alias("rare"))
+    fit = skew.joined(seen, known, ["ph"], "k").where(F.col("s").eqNullSafe(F.col("ks")) & (F.col("shape") == F.col("kshape")))
     why = (
         F.when(~F.col("closed") & F.col("blank") & F.col("rare") & ((F.col("why") == "") | F.col("why").isin("no terminator", "mark")), "blank end")
-        .when(F.col("why").isin("no terminator", "mark") & F.coalesce("proper", F.lit(False)), "")
+        .when(F.col("why").isin("no terminator", "mark") & F.col("proper"), "")
         .otherwise(F.col("why"))
     )
-    fit = fit.select("k", "s", "n_chars", "n_bytes", "closed", why.alias("why"))
-    limits = None
+    fit = cut(fit.select("k", "s", "n_chars", "n_bytes", "closed", why.alias("why"), *[_hash("s", x).alias(f"h_{x}") for x in ("n_chars", "n_bytes")]))
+    out = fit
     for size in ("n_chars", "n_bytes"):
-        counts = fit.where("not closed").groupBy("s", size).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("why") != "").alias("open"))
+        counts = fit.where("not closed").groupBy("s", size, f"h_{size}").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("why") != "").alias("open"))
         near = Window.partitionBy("s").orderBy(size).rangeBetween(-LIMIT_AROUND, LIMIT_AROUND)
         around = (F.sum("n").over(near) - F.col("n")) / (2 * LIMIT_AROUND)
         full = (F.col("n") >= LIMIT_ROWS) & (F.col("n") >= LIMIT_TIMES * F.col("around")) & (F.col("open") >= LIMIT_OPEN * F.col("n"))
-        spikes = counts.withColumn("around", around).where(full).select(F.col("s").alias("ls"), F.col(size).alias("l"), F.lit(size).alias("kind"))
-        limits = spikes if limits is None else limits.unionByName(spikes)
-    by = [limits.where(F.col("kind") == x).select("ls", F.col("l").alias(f"l_{x}"), F.lit(True).alias(f"at_{x}")) for x in ("n_chars", "n_bytes")]
-    out = fit
-    for x, side in zip(("n_chars", "n_bytes"), by):
-        out = out.join(side, F.col("s").eqNullSafe(F.col("ls")) & (F.col(x) == F.col(f"l_{x}")), "left").drop("ls", f"l_{x}")
-    at = ~F.col("closed") & (F.coalesce("at_n_chars", F.lit(False)) | F.coalesce("at_n_bytes", F.lit(False)))
+        spikes = counts.withColumn("around", around).where(full).select(f"h_{size}", F.struct("s", size).alias(f"at_{size}"))
+        out = skew.joined(out, spikes, [f"h_{size}"], "k", how="left", hot=skew.hot_values(fit, f"h_{size}"))
+        same = F.col(f"at_{size}.s").eqNullSafe(F.col("s")) & (F.col(f"at_{size}.{size}") == F.col(size))
+        out = out.withColumn(f"at_{size}", F.col(f"at_{size}").isNotNull() & same)
+    at = ~F.col("closed") & (F.col("at_n_chars") | F.col("at_n_bytes"))
     reason = F.when((F.col("why") == "") & at, "field limit").otherwise(F.col("why"))
     return out.select(F.col("k").alias(key), F.col("s").alias(source), (reason != "").alias("truncated"), reason.alias("why"))
 

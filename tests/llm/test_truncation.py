@@ -39,6 +39,13 @@ def test_baseline_of_proper_ends(df):
     assert run(df, rows) == {6: "no terminator", 8: "mark", 9: "no terminator"}
 
 
+def test_proper_ends_are_a_share_of_the_source(df, monkeypatch):
+    rows = [("s", "Well.\n\nDONE")] * 10 + [("s", "No callers found\n\nDONE")] * 2 + [("s", "No callers found")]
+    assert run(df, rows) == {}
+    monkeypatch.setattr(truncation, "SUPPORT_SHARE", 0.2)
+    assert run(df, rows) == {12: "no terminator"}
+
+
 def test_blank_ends(df):
     rows = [("s", f"Sentence {i}.") for i in range(60)] + [("s", "Sentence. "), ("s", "Ends well.\n\nDONE\n")]
     assert run(df, rows) == {60: "blank end"}
