@@ -2,24 +2,54 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
-# Two-sided 95 % quantiles of Student's t for 1 to 30 degrees of freedom.
-T95 = (
-    12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228, 2.201, 2.179, 2.160, 2.145, 2.131,
-    2.120, 2.110, 2.101, 2.093, 2.086, 2.080, 2.074, 2.069, 2.064, 2.060, 2.056, 2.052, 2.048, 2.045, 2.042,
-)
 # Files whose change counts as tampering with the tests' set-up.
 TAMPER_NAMES = ("conftest.py", "pytest.ini", "tox.ini", "setup.cfg", "pyproject.toml")
 TAMPER_FOLDER = ".github/workflows/"
 
 
-def t95(df: int) -> float:
-    return T95[df - 1] if 1 <= df <= len(T95) else 1.96 if df > len(T95) else math.nan
+def _beta_share(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction."""
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_share(b, a, 1 - x)
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    f = d
+    for m in range(1, 10_000):
+        before = f
+        for n in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / (1 + n * d), 1 + n / c
+            f *= c * d
+        if abs(f - before) <= 1e-16 * f:
+            break
+    return f * math.exp(a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) / a
+
+
+@functools.cache
+def t_quantile(df: int, level: float = 0.95) -> float:
+    """The value that Student's t with ``df`` degrees of freedom stays within, up or down, with probability ``level``."""
+    if df < 1:
+        return math.nan
+    low, high = 0.0, 1e9
+    while high - low > 1e-13 * high:  # the share outside t is the beta function at df / (df + t * t)
+        t = (low + high) / 2
+        low, high = (t, high) if _beta_share(df / 2, 0.5, df / (df + t * t)) > 1 - level else (low, t)
+    return (low + high) / 2
+
+
+def _t95(df: Column) -> Column:
+    """The quantile for a column of a few rows."""
+    def of(d: pd.Series) -> pd.Series:
+        return d.map(lambda n: t_quantile(int(n))).astype(float)
+
+    return F.pandas_udf(of, DoubleType())(df)
 
 
 def grade(rollouts: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -50,17 +80,15 @@ def cells(rollouts: DataFrame, keys: list[str], cost: str = "total_cost_usd", me
 
 
 def paired_totals(rollouts: DataFrame, arms: tuple[str, str], arm: str = "arm", seed: str = "seed", cost: str = "total_cost_usd") -> DataFrame:
-    """One row: totals by seed of two arms, and the mean of their paired differences with its 95 % interval.
+    """One row: totals by seed of two arms, and the mean of their paired differences (first less second) with its 95 % interval.
 
     With fewer than two common seeds the interval is null.
     """
     a, b = arms
     seeds = rollouts.where(F.col(arm).isin(a, b)).groupBy(seed).agg(F.sum(F.when(F.col(arm) == a, F.col(cost))).alias("a"), F.sum(F.when(F.col(arm) == b, F.col(cost))).alias("b"))
-    both = seeds.where("a is not null and b is not null").withColumn("d", F.col("b") - F.col("a"))
+    both = seeds.where("a is not null and b is not null").withColumn("d", F.col("a") - F.col("b"))
     s = both.agg(F.count(F.lit(1)).alias("n"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("sd"))
-    quantile = F.element_at(F.array(*map(F.lit, T95)), F.least(F.greatest(F.col("n") - 1, F.lit(1)), F.lit(len(T95))).cast("int"))
-    t = F.when(F.col("n") > len(T95) + 1, F.lit(1.96)).otherwise(quantile)
-    half = F.when(F.col("n") > 1, t * F.col("sd") / F.sqrt("n"))
+    half = F.when(F.col("n") > 1, _t95(F.col("n") - 1) * F.col("sd") / F.sqrt("n"))
     return s.select("n", "mean_a", "mean_b", "mean_diff", (F.col("mean_diff") - half).alias("ci_low"), (F.col("mean_diff") + half).alias("ci_high"))
 
 
@@ -183,9 +211,9 @@ def markdown_report(cells_: DataFrame, interval: DataFrame) -> str:
     i = interval.first()
     if i is None or i.ci_low is None:
         verdict = "not enough seeds for an interval"
-    elif i.ci_high < 0:
-        verdict = "the treatment is cheaper"
     elif i.ci_low > 0:
+        verdict = "the treatment is cheaper"
+    elif i.ci_high < 0:
         verdict = "the treatment is dearer"
     else:
         verdict = "no significant difference"

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from symweave.functions.paths import has_suffix, is_test_path
+from symweave.operators import skew
 from symweave.runtime import cut
 from symweave.schema import KEY
 
@@ -70,13 +71,15 @@ def callers_relaxed(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """Callers of each target by its full key; where there are none, by file and name whatever the kind.
 
     Columns: the target's ``file, name, kind``, the edge's ``src_*`` and ``line``, and ``tier`` (0 exact, 1 relaxed).
+    Which targets have exact callers is told by the distinct ends of the edges; the edges themselves meet the
+    targets once, those of frequent ends in several tasks.
     """
-    t = targets.select(*KEY).distinct()
-    e = edges.select(*DST, *SRC, "line")
-    hits = e.join(t, (F.col("dst_file") == F.col("file")) & (F.col("dst_name") == F.col("name")))
-    tiers = hits.withColumn("tier", F.when(F.col("dst_kind") == F.col("kind"), 0).otherwise(1))
-    best = F.min("tier").over(Window.partitionBy(*KEY))
-    return tiers.withColumn("best", best).where("tier = best").select(*KEY, *SRC, "line", "tier")
+    t = targets.select(*KEY).where("file is not null and name is not null").distinct()
+    ends = edges.select(*[F.col(d).alias(k) for d, k in zip(DST, KEY)]).distinct().withColumn("tier", F.lit(0))
+    t = t.join(ends, KEY, "left").withColumn("tier", F.coalesce("tier", F.lit(1))).withColumn("h", F.xxhash64("file", "name"))
+    e = edges.where("dst_file is not null and dst_name is not null").select(*DST, *SRC, "line", F.xxhash64("dst_file", "dst_name").alias("h"))
+    same = (F.col("dst_file") == F.col("file")) & (F.col("dst_name") == F.col("name")) & ((F.col("tier") == 1) | (F.col("dst_kind") == F.col("kind")))
+    return skew.joined(e, t, ["h"], "src_name").where(same).select(*KEY, *SRC, "line", "tier")
 
 
 def find_by_name(symbols: DataFrame, name: str) -> DataFrame:

@@ -10,11 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from symweave.functions.paths import is_test_path
 from symweave.functions.render import clamp
-from symweave.operators import graph
+from symweave.operators import graph, skew
 from symweave.runtime import cut
 from symweave.schema import KEY
 
@@ -65,10 +64,8 @@ def listed(rows: DataFrame, key: list[str], place: Column, most: int = LISTED) -
     are then chosen in two steps, within hashed parts of a key and over the parts' firsts.
     """
     one = rows.select(*key, place.alias("place")).distinct()
-    part = F.pmod(F.xxhash64("place"), F.lit(64))
-    top = F.row_number().over(Window.partitionBy(*key, part).orderBy("place"))
     counts = one.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    firsts = one.withColumn("r", top).where(F.col("r") <= most).groupBy(*key).agg(F.slice(F.array_sort(F.collect_list("place")), 1, most).alias("places"))
+    firsts = skew.top_of(one, key, [F.col("place")], most, "place", "r").groupBy(*key).agg(F.array_sort(F.collect_list("place")).alias("places"))
     both = counts.join(firsts, key)
     more = F.when(F.col("n") > most, F.format_string(" (+%d more)", F.col("n") - most)).otherwise("")
     return both.select(*key, "n", F.concat(F.array_join("places", ", "), more).alias("listed"))
@@ -142,31 +139,34 @@ def warn_visibility(changes: DataFrame) -> DataFrame:
     return _warning("VISIBILITY", found.where(less), F.format_string("%s went from %s to %s", "name", "old.visibility", F.coalesce("new.visibility", F.lit("none"))))
 
 
-def in_cycle(edges: DataFrame, start: DataFrame, max_depth: int = 64) -> bool:
+def in_cycle(edges: DataFrame, start: DataFrame) -> bool:
     """CIRCULAR_DEP: whether a walk from a symbol comes back to it."""
     first = graph.callees(edges, start).select(*[F.col(d).alias(k) for k, d in zip(KEY, graph.DST)]).where("file is not null and name is not null and kind is not null").distinct()
     row = start.select(*KEY).first()
     if row is None:
         return False
     goal = lambda level: level.where((F.col("file") == row.file) & (F.col("name") == row.name) & (F.col("kind") == row.kind))
-    levels = graph.bfs(edges, first, max_depth, goal)
+    levels = graph.bfs(edges, first, stop=goal)
     return bool(levels) and not goal(levels[-1]).isEmpty()
 
 
-def warn_reexports(changes: DataFrame, edges: DataFrame, max_depth: int = 64) -> DataFrame:
+def warn_reexports(changes: DataFrame, edges: DataFrame) -> DataFrame:
     """REEXPORT_CHAIN: a removed or changed symbol that other files pass on, directly or through further re-exports."""
     found = cut(_found(changes, ["removed", "modified_sig"]))
     passed = edges.where("kind = 'ReExports' and dst_file is not null and dst_name is not null and src_file is not null and src_name is not null")
     step = cut(passed.select(F.col("dst_file").alias("at_file"), F.col("dst_name").alias("at_name"), "src_file", "src_name").distinct())
     here = found.select("file", "name", "own_kind", F.col("file").alias("at_file"), F.col("name").alias("at_name"))
-    seen, reached = here, None
-    for _ in range(max_depth):
+    seen, reached, steps = here, None, 0
+    while True:
         further = here.join(step, ["at_file", "at_name"]).select("file", "name", "own_kind", F.col("src_file").alias("at_file"), F.col("src_name").alias("at_name")).distinct()
         here = cut(further.join(seen, seen.columns, "left_anti"))
         if here.isEmpty():
             break
         seen = seen.unionByName(here)
         reached = here if reached is None else reached.unionByName(here)
+        steps += 1
+        if steps % 16 == 0:  # keeps the plans of long chains short
+            seen, reached = cut(seen.coalesce(16)), cut(reached.coalesce(16))
     if reached is None:
         return _warning("REEXPORT_CHAIN", found.limit(0), F.lit(""))
     sites = listed(reached, ["file", "name", "own_kind"], F.format_string("%s:%s", "at_file", "at_name"))
@@ -193,8 +193,8 @@ def context_bundle(changed: DataFrame, edges: DataFrame, symbols: DataFrame, per
     """Callers of changed symbols: at most five for each, by centrality, and ten altogether."""
     hits = graph.callers_relaxed(edges, changed).select(*[F.col(k).alias(f"of_{k}") for k in KEY], *[F.col(s).alias(k) for s, k in zip(graph.SRC, KEY)]).distinct()
     full = graph.ranked(hits.join(symbols.select(*KEY, "line_start", "signature"), KEY), graph.centrality(edges))
-    place = F.row_number().over(Window.partitionBy("of_file", "of_name", "of_kind").orderBy(F.desc("in_degree"), *KEY, "line_start"))
-    top = full.withColumn("n", place).where(F.col("n") <= per_symbol).orderBy("of_file", "of_name", "of_kind", "n").limit(most)
+    firsts = skew.top_of(full, ["of_file", "of_name", "of_kind"], [F.desc("in_degree"), *map(F.col, KEY), F.col("line_start")], per_symbol, "name")
+    top = firsts.orderBy("of_file", "of_name", "of_kind", "n").limit(most)
     return top.select("of_file", "of_name", "of_kind", "n", *KEY, "line_start", "in_degree")
 
 

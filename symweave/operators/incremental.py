@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from symweave.functions.paths import extension
+from symweave.runtime import cut
 from symweave.schema import KEY
 
 
@@ -46,10 +47,10 @@ def merkle_root(hashes: DataFrame, fanout: int = FANOUT) -> DataFrame:
     return folded.agg(F.sha2(F.array_join(F.transform(all_, lambda x: x["h"]), "\n"), 256).alias("root"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_files"))
 
 
-def directory_hashes(hashes: DataFrame, max_depth: int = 64) -> DataFrame:
+def directory_hashes(hashes: DataFrame) -> DataFrame:
     """``path, hash`` of every directory, from its children's names and hashes, bottom up by depth."""
     level = hashes.select("path", F.col("content_hash").alias("hash")).withColumn("depth", F.size(F.split("path", "/")))
-    deepest = min(max_depth, level.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0])
+    deepest = level.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
     parent = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", r"/[^/]*$", "")).otherwise("")
     out, carried = None, None
     for d in range(deepest, 0, -1):
@@ -57,6 +58,8 @@ def directory_hashes(hashes: DataFrame, max_depth: int = 64) -> DataFrame:
         here = here if carried is None else here.unionByName(carried)
         carried = here.groupBy(parent.alias("dir")).agg(F.array_sort(F.collect_list(F.struct(F.regexp_replace("path", r"^.*/", "").alias("name"), "hash"))).alias("c"))
         carried = carried.select(F.col("dir").alias("path"), F.sha2(F.array_join(F.transform("c", lambda x: F.concat(x["name"], F.lit("\x00"), x["hash"])), "\n"), 256).alias("hash"))
+        if d % 16 == 0:  # keeps the plans of deep trees short
+            carried = cut(carried)
         out = carried if out is None else out.unionByName(carried)
     return out if out is not None else hashes.select("path", F.col("content_hash").alias("hash")).limit(0)
 

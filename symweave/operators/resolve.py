@@ -94,10 +94,9 @@ def pick_existing(imports: DataFrame, files: DataFrame) -> DataFrame:
     return hits.groupBy("import_id").agg(F.min_by("path", "priority").alias("resolved_file"))
 
 
-def resolve_imports(edges: DataFrame, files: DataFrame, languages: Column, rules: DataFrame | None = None, rust_root: str = "src") -> DataFrame:
-    """Import edges with their target file and Certain where a candidate exists; others stay as they are."""
-    is_import = F.col("kind") == "Imports"
-    work = edges.where(is_import & (F.col("confidence") == "Unresolved")).withColumn("import_id", F.xxhash64("src_file", "spec", "line")).withColumn("lang", languages)
+def with_candidates(work: DataFrame, languages: Column, rules: DataFrame | None = None, rust_root: str = "src") -> DataFrame:
+    """Import edges with an ``import_id`` and the ``candidates`` for their target, the best first."""
+    work = work.withColumn("import_id", F.xxhash64("src_file", "spec", "line")).withColumn("lang", languages)
     mapped = F.lit(None).cast("array<string>")
     if rules is not None:
         work = work.join(alias_bases(work.where(F.col("lang").isin("typescript", "javascript")).dropDuplicates(["import_id"]), rules), "import_id", "left")
@@ -108,7 +107,13 @@ def resolve_imports(edges: DataFrame, files: DataFrame, languages: Column, rules
         .when(F.col("lang") == "python", python_candidates(src, spec))
         .when(F.col("lang") == "rust", rust_candidates(spec, rust_root))
     )
-    work = work.withColumn("candidates", found)
+    return work.withColumn("candidates", found)
+
+
+def resolve_imports(edges: DataFrame, files: DataFrame, languages: Column, rules: DataFrame | None = None, rust_root: str = "src") -> DataFrame:
+    """Import edges with their target file and Certain where a candidate exists; others stay as they are."""
+    is_import = F.col("kind") == "Imports"
+    work = with_candidates(edges.where(is_import & (F.col("confidence") == "Unresolved")), languages, rules, rust_root)
     got = pick_existing(work.dropDuplicates(["import_id"]), files)
     done = work.join(got, "import_id", "left")
     hit = F.col("resolved_file").isNotNull()
@@ -139,11 +144,14 @@ def resolve_calls(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """
     open_call = (F.col("kind") == "Calls") & (F.col("confidence") == "Unresolved")
     calls = edges.where(open_call)
-    decl = symbols.groupBy("file", "name").agg(F.min_by("kind", F.struct("line_start", "kind")).alias("decl_kind"), F.collect_set("kind").alias("kinds"))
+    needed = symbols.join(calls.select(F.col("dst_name").alias("name")).distinct(), "name", "left_semi")
+    decl = needed.groupBy("file", "name").agg(F.min_by("kind", F.struct("line_start", "kind")).alias("decl_kind"), F.collect_set("kind").alias("kinds"))
     own = decl.select(F.col("file").alias("src_file"), F.col("name").alias("dst_name"), F.col("decl_kind").alias("own_kind"), F.col("kinds").alias("own_kinds"))
     names = calls.select("src_file", "dst_name").distinct()
     imported = edges.where((F.col("kind") == "Imports") & (F.col("confidence") == "Certain")).select("src_file", F.col("dst_file").alias("file")).distinct()
-    wanted = names.join(own.select("src_file", "dst_name"), ["src_file", "dst_name"], "left_anti")
+    # most open names belong to libraries: those that no file declares go before names meet imports
+    declared = decl.select(F.col("name").alias("dst_name")).distinct()
+    wanted = names.join(own.select("src_file", "dst_name"), ["src_file", "dst_name"], "left_anti").join(declared, "dst_name", "left_semi")
     there = wanted.join(imported, "src_file").join(decl.select("file", F.col("name").alias("dst_name"), "decl_kind"), ["file", "dst_name"])
     only = there.groupBy("src_file", "dst_name").agg(F.count_distinct("file").alias("n"), F.min("file").alias("far_file"), F.min("decl_kind").alias("far_kind")).where("n = 1").drop("n")
     done = calls.join(own, ["src_file", "dst_name"], "left").join(only, ["src_file", "dst_name"], "left")

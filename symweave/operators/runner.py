@@ -119,9 +119,16 @@ def cargo_failures(outputs: DataFrame) -> DataFrame:
 def frames_in_spans(found: DataFrame, spans: DataFrame) -> DataFrame:
     """Pairs of frames (``frame_id, file, line``) and spans (``file, line_start, line_end, ...``) that hold them.
 
-    The file is an equality, so this is a hash or merge join with the interval as its residue.
+    Spans of 2**l lines at most lie in one or two blocks of 2**l lines, so frame and span meet by file, l and block:
+    a frame meets the spans near it, not all spans of its file.
     """
-    return found.join(spans, "file").where(F.col("line").between(F.col("line_start"), F.col("line_end")))
+    length = F.greatest(F.col("line_end").cast("bigint") - F.col("line_start"), F.lit(0)) + 1
+    spans = spans.where(F.col("line_start") <= F.col("line_end")).withColumn("level", F.ceil(F.log2(length)).cast("int"))
+    levels = sorted(r[0] for r in spans.select("level").distinct().collect())  # at most 33 numbers
+    block = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level"))).cast("bigint")
+    spans = spans.withColumn("block", F.explode(F.array_distinct(F.array(block("line_start"), block("line_end")))))
+    each = found.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"))).withColumn("block", block("line"))
+    return each.join(spans, ["file", "level", "block"]).where(F.col("line").between(F.col("line_start"), F.col("line_end"))).drop("level", "block")
 
 
 def attribute(failures: DataFrame, modified: DataFrame, ago: DataFrame) -> DataFrame:
@@ -175,7 +182,7 @@ def build_command(runner: str, pattern: str | None = None) -> list[str]:
         "jest": ["npx", "jest", "--json"],
         "vitest": ["npx", "vitest", "run", "--reporter=json"],
         "pytest": ["pytest", "--json-report", "--json-report-file=-", "-q"],
-        "cargo": ["cargo", "test", "--", "-Z", "unstable-options", "--format", "json"],
+        "cargo": ["cargo", "test", "--no-fail-fast", "--", "-Z", "unstable-options", "--format", "json"],
     }
     if runner not in base:
         raise ValueError(f"unknown runner {runner!r}")
@@ -183,7 +190,7 @@ def build_command(runner: str, pattern: str | None = None) -> list[str]:
     if not pattern:
         return base[runner]
     if runner == "cargo":
-        return ["cargo", "test", pattern, *base["cargo"][2:]]
+        return ["cargo", "test", "--no-fail-fast", pattern, *base["cargo"][3:]]
     return [*base[runner], *flag, pattern]
 
 

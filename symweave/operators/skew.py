@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: So many of the most frequent keys are salted. Any key with more than 1/(HOT+1) of the rows is among
 #: them; salting a key that is not hot costs a few copies of its partner rows and nothing else.
@@ -43,6 +44,16 @@ def salt_all(key: Column, hot: list[int], salts: int = SALTS) -> Column:
     return F.when(key.isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
 
 
+def top_of(df: DataFrame, key: list[str], order: list[Column], most: int, spread: str, name: str = "n") -> DataFrame:
+    """The first ``most`` rows of each key in an order, numbered in ``name``.
+
+    Chosen within hashed parts of a key first, then among the parts' firsts, so that no task sorts all rows of a frequent key.
+    """
+    part = F.pmod(F.xxhash64(spread), F.lit(64))
+    first = df.withColumn(name, F.row_number().over(Window.partitionBy(*key, part).orderBy(*order))).where(F.col(name) <= most)
+    return first.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col(name) <= most)
+
+
 def joined(many: DataFrame, few: DataFrame, on: list[str], spread: str, how: str = "inner", hot: list[int] | None = None) -> DataFrame:
     """Join (inner, or ``left`` keeping the rows of ``many``) in which a frequent value of the first key does not meet in one task.
 

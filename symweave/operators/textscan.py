@@ -23,8 +23,12 @@ def lines(files: DataFrame, path: str = "path", content: str = "content") -> Dat
 
 
 def grep(files: DataFrame, pattern: str, path: str = "path", content: str = "content") -> DataFrame:
-    """All lines that a regular expression matches. Contents without any match are dropped before the split."""
-    matching = files.where(F.col(content).rlike("(?m)" + pattern))
+    """All lines that a regular expression matches.
+
+    Contents without any match are dropped before the split, except where the pattern may match a line and not
+    the content as a whole: with anchors of the whole input, or where it looks around or behind itself.
+    """
+    matching = files if re.search(r"\\[AzZGbB]|\(\?[<=!]|\(\?[a-z]*-|\\\d", pattern) else files.where(F.col(content).rlike("(?m)" + pattern))
     return lines(matching, path, content).where(F.col("text").rlike(pattern))
 
 

@@ -43,7 +43,11 @@ def cell_stats(spark, d):
 
 
 _TOTALS = f"WITH {ROLL}, s AS (SELECT seed, sum(total_cost_usd) FILTER (arm = 'raw') AS a, sum(total_cost_usd) FILTER (arm = 'treatment') AS b FROM roll WHERE arm IN ('raw', 'treatment') GROUP BY seed)"
-_T = "[" + ", ".join(map(str, evalstats.T95)) + "]"
+# The quantile of Student's t by bisection; the probability by its finite series for an even or odd number of degrees of freedom.
+_SERIES = """CASE WHEN f % 2 = 0 THEN sin(atan(x / sqrt(f))) * list_sum([exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * pow(cos(atan(x / sqrt(f))), 2 * k) for k in range(f // 2)])
+    ELSE 2 / pi() * (atan(x / sqrt(f)) + sin(atan(x / sqrt(f))) * coalesce(list_sum([sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5)) * pow(cos(atan(x / sqrt(f))), 2 * k + 1) for k in range((f - 1) // 2)]), 0)) END"""
+_T = f"""t AS (SELECT f, 0::DOUBLE AS low, 1000::DOUBLE AS high, 0 AS step FROM (SELECT greatest(n - 1, 1) AS f FROM m)
+    UNION ALL SELECT f, CASE WHEN p < 0.95 THEN x ELSE low END, CASE WHEN p < 0.95 THEN high ELSE x END, step + 1 FROM (SELECT *, {_SERIES} AS p FROM (SELECT *, (low + high) / 2 AS x FROM t)) WHERE step < 60)"""
 
 
 @query(_TOTALS + " SELECT seed, round(a, 6) AS raw_total, round(b, 6) AS treatment_total FROM s")
@@ -54,8 +58,8 @@ def arm_totals(spark, d):
     return r.groupBy("seed").agg(total("raw").alias("raw_total"), total("treatment").alias("treatment_total"))
 
 
-@query(_TOTALS + f""", p AS (SELECT a, b, b - a AS d FROM s WHERE a IS NOT NULL AND b IS NOT NULL), m AS (SELECT count(*) AS n, avg(a) AS mean_a, avg(b) AS mean_b, avg(d) AS mean_diff, stddev_samp(d) AS sd FROM p)
-    SELECT n, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(mean_diff, 6) AS mean_diff, round(mean_diff - CASE WHEN n > 31 THEN 1.96 ELSE {_T}[greatest(n - 1, 1)] END * sd / sqrt(n), 6) AS ci_low, round(mean_diff + CASE WHEN n > 31 THEN 1.96 ELSE {_T}[greatest(n - 1, 1)] END * sd / sqrt(n), 6) AS ci_high FROM m""")
+@query(_TOTALS.replace("WITH", "WITH RECURSIVE", 1) + f""", p AS (SELECT a, b, a - b AS d FROM s WHERE a IS NOT NULL AND b IS NOT NULL), m AS (SELECT count(*) AS n, avg(a) AS mean_a, avg(b) AS mean_b, avg(d) AS mean_diff, stddev_samp(d) AS sd FROM p), {_T}
+    SELECT n, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(mean_diff, 6) AS mean_diff, round(mean_diff - CASE WHEN n > 1 THEN high END * sd / sqrt(n), 6) AS ci_low, round(mean_diff + CASE WHEN n > 1 THEN high END * sd / sqrt(n), 6) AS ci_high FROM m, t WHERE step = 60""")
 def paired_diff(spark, d):
     """The paired difference of the arms with its interval."""
     return _rounded(evalstats.paired_totals(views.rollouts(spark, d), ("raw", "treatment")), 6)

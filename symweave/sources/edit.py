@@ -9,11 +9,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symweave.operators import impact, incremental
+from symweave.operators import impact
 from symweave.runtime import cut
 from symweave.sources import scan
-from symweave.sources.extract import detect_language, extract_files, relations
-from symweave.sources.index import Index, resolve_all, unresolved
+from symweave.sources.extract import detect_language
+from symweave.sources.index import Index, applied, renew
 
 
 class EditError(ValueError):
@@ -118,21 +118,14 @@ def apply_change(spark: SparkSession, root: str, index: Index, path: str, change
         return Outcome(status, diff, index=index)
     touched = spark.createDataFrame([(path,)], "file string")
     old_symbols = cut(index.symbols.where(F.col("file") == path))
-    again = spark.createDataFrame([(path, after)] if after is not None else [], "path string, content string")
-    symbols, edges, imports = relations(cut(extract_files(again, scan.read_crate_name(root))))
-    files = index.files.where(F.col("path") != path)
-    if after is not None:
-        files = files.unionByName(scan.read_files(spark, root, [path]), allowMissingColumns=True)
-    files = cut(files)
-    all_symbols, all_edges, raw = incremental.upsert_files((index.symbols, unresolved(index.edges), index.raw_imports), (symbols, edges, imports), touched)
+    fresh = scan.read_files(spark, root, [path] if after is not None else [])
+    r = renew(index, fresh, touched, scan.read_crate_name(root), scan.load_alias_rules(root))
+    new = applied(index, r)
+    changed = cut(impact.diff(old_symbols, r.rows.symbols))
     # callers are looked up among the edges as they were resolved before the change, too: they may now dangle
-    known = cut(index.edges.where(F.col("src_file") != path))
-    all_edges, all_imports = resolve_all(all_symbols, all_edges, raw, files, scan.load_alias_rules(root))
-    all_edges = cut(all_edges)
-    changed = cut(impact.diff(old_symbols, symbols))
-    seen = known.unionByName(all_edges.select(*known.columns)).distinct()
+    seen = cut(index.edges.where(F.col("src_file") != path).unionByName(r.rows.edges.select(*index.edges.columns)).distinct())
     found = cut(impact.warnings(changed, seen))
     of = changed.where("change_class in ('modified_sig', 'modified_body')").select("file", "name", F.coalesce("new.own_kind", "kind").alias("kind"))
-    context = impact.context_bundle(of, all_edges, all_symbols)
-    tests = [r.file for r in impact.test_importers(all_edges, touched).orderBy("file").collect()]
-    return Outcome(status, diff, found, impact.warning_summary(found).first().summary, context, tests, Index(files, all_symbols, all_edges, all_imports, raw))
+    context = impact.context_bundle(of, new.edges, new.symbols)
+    tests = [x.file for x in impact.test_importers(new.edges, touched).orderBy("file").collect()]
+    return Outcome(status, diff, found, impact.warning_summary(found).first().summary, context, tests, new)

@@ -386,21 +386,31 @@ _EDGE = "array<struct<src_name:string,src_kind:string,dst_file:string,dst_name:s
 _IMPORT = "array<struct<library:string,symbol:string,line:int>>"
 
 
+#: What an extraction gives for a file.
+EXTRACTED = f"partial_parse boolean, failed boolean, symbols {_SYMBOL}, edges {_EDGE}, imports {_IMPORT}"
+
+
+def extract_row(path: str, content: str | None, crate: str | None = None) -> tuple:
+    """The values of ``EXTRACTED``; ``partial_parse`` is null for files of unknown languages."""
+    if detect_language(path) is None:
+        return None, False, [], [], []
+    try:
+        x = extract(path, content or "", crate)
+        return x.partial, False, x.symbols, x.edges, x.imports
+    except Exception:  # noqa: BLE001 - one odd file must not end the run; it is counted in ``failed``
+        return True, True, [], [], []
+
+
 def extract_files(files: DataFrame, crate: str | None = None) -> DataFrame:
     """``file, partial_parse, failed, symbols, edges, imports``: one row for each file (``path, content``)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for path, content in zip(b["path"], b["content"]):
-                try:
-                    x = extract(path, content or "", crate)
-                    rows.append((path, x.partial, False, x.symbols, x.edges, x.imports))
-                except Exception:  # noqa: BLE001 - one odd file must not end the run; it is counted in ``failed``
-                    rows.append((path, True, True, [], [], []))
+            rows = [(path, *extract_row(path, content, crate)) for path, content in zip(b["path"], b["content"])]
             yield pd.DataFrame(rows, columns=["file", "partial_parse", "failed", "symbols", "edges", "imports"])
 
-    return files.select("path", "content").mapInPandas(run, f"file string, partial_parse boolean, failed boolean, symbols {_SYMBOL}, edges {_EDGE}, imports {_IMPORT}")
+    known = files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*EXTENSIONS))
+    return known.select("path", "content").mapInPandas(run, f"file string, {EXTRACTED}")
 
 
 def relations(extracted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -148,7 +148,7 @@ class Text:
         if at >= len(self.mask) or self.mask[at] != "<":
             return at
         depth = 0
-        for i in range(at, min(len(self.mask), at + 2000)):
+        for i in range(at, len(self.mask)):
             c = self.mask[i]
             if c == "<":
                 depth += 1

@@ -1,26 +1,29 @@
 """Project files: walking a tree, ignore rules, and the small configuration files beside the sources.
 
-The walk runs on the driver and yields paths only; contents are read by the tasks. (Spark's own file sources
-leave out names that begin with ``_`` or ``.``, ``__init__.py`` among them.)
+The walk runs on the driver and yields paths only; contents are read by the tasks, in batches of bounded size.
+(Spark's own file sources leave out names that begin with ``_`` or ``.``, ``__init__.py`` among them.)
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
 import tomllib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from symweave.functions.paths import is_test_path
 from symweave.sources.extract import EXTENSIONS, detect_language
 
-MOST_BYTES = 1 << 20
+#: Contents that a task sends on at once.
+BATCH_BYTES = 8 << 20
 
 
 class Ignore:
@@ -46,8 +49,9 @@ class Ignore:
             out.append({"**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(part, part if part.startswith("[") else re.escape(part)))
         return re.compile(("" if anchored else "(?:.*/)?") + "".join(out) + r"\Z")
 
-    def match(self, rel: str, is_dir: bool) -> bool:
-        ignored = False
+    def decide(self, rel: str, is_dir: bool) -> bool | None:
+        """Whether a path is ignored; None where no rule fits."""
+        ignored = None
         for regex, keep, only_dir in self.rules:
             if only_dir and not is_dir:
                 continue
@@ -55,24 +59,50 @@ class Ignore:
                 ignored = not keep
         return ignored
 
+    def match(self, rel: str, is_dir: bool) -> bool:
+        return bool(self.decide(rel, is_dir))
+
+
+def _rules(*paths: str) -> Ignore:
+    text = []
+    for p in paths:
+        try:
+            with open(p, encoding="utf-8", errors="replace") as f:
+                text.append(f.read())
+        except OSError:
+            continue
+    return Ignore("\n".join(text))
+
 
 def load_ignore(root: str) -> Ignore:
-    try:
-        with open(os.path.join(root, ".gitignore"), encoding="utf-8") as f:
-            return Ignore(f.read())
-    except OSError:
-        return Ignore()
+    return _rules(os.path.join(root, ".gitignore"))
 
 
 def walk(root: str, parseable_only: bool = True) -> list[str]:
-    """Relative paths of a project's files in order, without hidden and ignored ones."""
-    ignore, out = load_ignore(root), []
+    """Relative paths of a project's files in order, without hidden and ignored ones.
+
+    Every folder may have ignore files; rules of the nearest folder decide first, ``.ignore`` before ``.gitignore``,
+    and the repository's own exclude file last.
+    """
+    out = []
+    above: dict[str, list[tuple[str, Ignore]]] = {"": [("", _rules(os.path.join(root, ".git", "info", "exclude")))]}
     for folder, dirs, names in os.walk(root):
         rel = os.path.relpath(folder, root).replace(os.sep, "/")
         prefix = "" if rel == "." else rel + "/"
-        dirs[:] = sorted(d for d in dirs if not d.startswith(".") and not ignore.match(prefix + d, True))
-        for n in sorted(names):
-            if n.startswith(".") or ignore.match(prefix + n, False) or (parseable_only and detect_language(n) is None):
+        rules = above.pop(prefix)
+        own = [x for x in (".gitignore", ".ignore") if x in names]
+        if own:
+            rules = [(prefix, _rules(*[os.path.join(folder, x) for x in own])), *rules]
+
+        def ignored(path: str, is_dir: bool) -> bool:
+            told = (r.decide(path[len(p) :], is_dir) for p, r in rules)
+            return next((t for t in told if t is not None), False)
+
+        dirs[:] = sorted(d for d in dirs if not d.startswith(".") and not ignored(prefix + d, True))
+        for d in dirs:
+            above[f"{prefix}{d}/"] = rules
+        for n in names:
+            if n.startswith(".") or ignored(prefix + n, False) or (parseable_only and detect_language(n) is None):
                 continue
             out.append(prefix + n)
     return sorted(out)
@@ -87,31 +117,76 @@ def is_relevant(path: str, root: str, ignore: Ignore) -> bool:
     return not any(ignore.match("/".join(parts[: i + 1]), i < len(parts) - 1) for i in range(len(parts)))
 
 
-def read_files(spark: SparkSession, root: str, paths: list[str] | None = None, partitions: int | None = None) -> DataFrame:
-    """The canonical files table. Unreadable files and files over 1 MB have a null content."""
-    paths = walk(root) if paths is None else paths
+def relevant(events: DataFrame, ignore: Ignore, parseable_only: bool = False) -> DataFrame:
+    """The file events (``path`` relative to the root) that matter: not hidden, not ignored with one of their folders."""
+
+    def keep(path: pd.Series) -> pd.Series:
+        def matters(p: str) -> bool:
+            parts = p.split("/")
+            if p.startswith(("../", "/")) or any(x.startswith(".") for x in parts) or (parseable_only and detect_language(p) is None):
+                return False
+            return not any(ignore.match("/".join(parts[: i + 1]), i < len(parts) - 1) for i in range(len(parts)))
+
+        return path.map(lambda p: p is not None and matters(p))
+
+    return events.where(F.pandas_udf(keep, BooleanType())("path"))
+
+
+def _content(full: str, source: bool) -> tuple[str | None, str]:
+    """A file's text and the hash of its bytes. Other files than sources have no text if they hold a zero byte."""
+    try:
+        with open(full, "rb") as f:
+            data = f.read()
+    except OSError as e:
+        return None, hashlib.sha256(f"unreadable {e.errno}".encode()).hexdigest()
+    text = data.decode("utf-8", errors="replace") if source or b"\0" not in data else None
+    return text, hashlib.sha256(data).hexdigest()
+
+
+def _listed(spark: SparkSession, paths: list[str]) -> DataFrame:
+    n = max(1, min(len(paths) // 50 + 1, spark.sparkContext.defaultParallelism * 2), len(paths) // 5_000)
+    return spark.createDataFrame(pd.DataFrame({"path": paths}, dtype=object), "path string").repartition(n)
+
+
+def hash_files(spark: SparkSession, root: str) -> DataFrame:
+    """``path, content_hash`` of all files of a project; contents stay with the tasks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"path": b["path"], "content_hash": [_content(os.path.join(root, p), False)[1] for p in b["path"]]})
+
+    return _listed(spark, walk(root, parseable_only=False)).mapInPandas(run, "path string, content_hash string")
+
+
+def read_files(spark: SparkSession, root: str, paths: list[str] | DataFrame | None = None, also: Callable | None = None, columns: str = "") -> DataFrame:
+    """The canonical files table: all files that are not ignored, those of unknown languages without a language.
+
+    Texts are whole, whatever their size; bytes that are no UTF-8 come out as replacement characters. Unreadable
+    files, and other files than sources that hold a zero byte, have a null content. The hash is that of the bytes.
+    ``also(path, content)`` gives further values (``columns``) of a file in the task that reads it.
+    """
+    paths = walk(root, parseable_only=False) if paths is None else paths
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0
+        names = ["path", "content", "content_hash", *[c.split()[0] for c in columns.split(", ") if c]]
         for b in batches:
-            texts = []
             for p in b["path"]:
-                full = os.path.join(root, p)
-                try:
-                    if os.path.getsize(full) > MOST_BYTES:
-                        texts.append(None)
-                        continue
-                    with open(full, encoding="utf-8", errors="replace", newline="") as f:
-                        texts.append(f.read())
-                except OSError:
-                    texts.append(None)
-            yield pd.DataFrame({"path": b["path"], "content": texts})
-
-    listed = spark.createDataFrame([(p,) for p in paths], "path string")
-    n = partitions or max(1, min(len(paths) // 50 + 1, spark.sparkContext.defaultParallelism * 4))
-    rows = listed.repartition(n).mapInPandas(run, "path string, content string")
+                text, digest = _content(os.path.join(root, p), detect_language(p) is not None)
+                rows.append((p, text, digest, *(also(p, text) if also else ())))
+                size += len(text or "") + 200
+                if size >= BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
+
+    listed = _listed(spark, paths) if isinstance(paths, list) else paths.select("path")
+    rows = listed.mapInPandas(run, "path string, content string, content_hash string" + (", " + columns if columns else ""))
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     language = F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv])[ext]
-    return rows.select("path", F.col("path").alias("rel_path"), ext.alias("ext"), language.alias("language"), "content", F.sha2(F.coalesce("content", F.lit("")), 256).alias("content_hash"), is_test_path(F.col("path")).alias("is_test_path"))
+    extra = [c.split()[0] for c in columns.split(", ") if c]
+    return rows.select("path", F.col("path").alias("rel_path"), ext.alias("ext"), language.alias("language"), "content", "content_hash", is_test_path(F.col("path")).alias("is_test_path"), *extra)
 
 
 def strip_json_comments(text: str) -> str:

@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from symweave.operators import incremental
+from symweave.functions.paths import is_test_path
 from symweave.runtime import cut
-from symweave.sources.extract import extract_files, relations
-from symweave.sources.index import Index, load, resolve_all, save, unresolved
+from symweave.sources.index import Index, Renewal, applied, language_of, load, renew, store_renewal
+from symweave.sources.scan import Ignore, relevant
 
 EVENTS = "path string, op string, ts timestamp, content string"
 
@@ -38,22 +38,27 @@ def changed_stream(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return hashed.dropDuplicatesWithinWatermark(["path", "content_hash"])
 
 
+def renewal(index: Index, batch: DataFrame, crate: str | None = None, rules: list | None = None) -> Renewal:
+    """What a batch of events makes new. Files that the batch leaves untouched are neither read nor extracted."""
+    events = cut(last_events(batch))
+    ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    alive = events.where("op != 'delete'").select(
+        "path", F.col("path").alias("rel_path"), ext.alias("ext"), language_of("path").alias("language"), "content",
+        F.sha2(F.coalesce("content", F.lit("")), 256).alias("content_hash"), is_test_path(F.col("path")).alias("is_test_path"),
+    )
+    return renew(index, alive, events.select(F.col("path").alias("file")), crate, rules)
+
+
 def apply_batch(index: Index, batch: DataFrame, crate: str | None = None, rules: list | None = None) -> Index:
     """The graph after a batch of events."""
-    events = cut(last_events(batch))
-    touched = events.select(F.col("path").alias("file"))
-    alive = events.where("op != 'delete'").select("path", "content")
-    extracted = cut(extract_files(alive, crate))
-    symbols, edges, imports = relations(extracted)
-    all_symbols, all_edges, raw = incremental.upsert_files((index.symbols, unresolved(index.edges), index.raw_imports), (symbols, edges, imports), touched)
-    fresh = alive.join(extracted.select(F.col("file").alias("path"), "partial_parse"), "path").withColumn("content_hash", F.sha2(F.coalesce("content", F.lit("")), 256))
-    files = cut(index.files.join(events.select("path"), "path", "left_anti").unionByName(fresh, allowMissingColumns=True))
-    all_edges, all_imports = resolve_all(all_symbols, all_edges, raw, files, rules)
-    return Index(files, all_symbols, all_edges, all_imports, raw)
+    return applied(index, renewal(index, batch, crate, rules))
+
 
+def maintain(events: DataFrame, store: str, checkpoint: str, crate: str | None = None, rules: list | None = None, trigger: dict | None = None, ignore: Ignore | None = None) -> StreamingQuery:
+    """Keeps the graph in ``store`` current: each batch writes the buckets it affects and moves the pointer to them.
 
-def maintain(events: DataFrame, store: str, checkpoint: str, crate: str | None = None, rules: list | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """Keeps the graph in ``store`` current: each batch writes a new version and moves the pointer to it."""
+    Events of hidden and ignored files are left out.
+    """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
@@ -61,9 +66,9 @@ def maintain(events: DataFrame, store: str, checkpoint: str, crate: str | None =
         index = load(batch.sparkSession, store)
         if index is None:
             raise RuntimeError(f"no graph in {store}; build it with a cold index first")
-        save(apply_batch(index, batch, crate, rules), store)
+        store_renewal(renewal(index, batch, crate, rules), store)
 
-    return changed_stream(events).writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return changed_stream(relevant(events, ignore or Ignore())).writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def edit_positions(log: DataFrame) -> DataFrame:

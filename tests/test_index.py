@@ -70,6 +70,65 @@ def test_warm_start_is_cold(spark, tree, tmp_path_factory):
     assert {("utils", "src/worker.py"), ("util", "src/lib.rs")} <= {(r.library, r.file) for r in renewed.library_imports.collect()}
 
 
+def test_a_renewal_writes_a_bounded_share_and_old_versions_go(spark, tree, tmp_path_factory):
+    store = str(tmp_path_factory.mktemp("store") / "graph")
+    for i in range(40):
+        (tree / f"src/m{i}.py").write_text(f"def f{i}(): pass\n")
+    index.warm_start(spark, str(tree), store)
+    versions = []
+    for i in range(3):
+        (tree / "src/m7.py").write_text(f"def f7(x{i}): pass\n")
+        index.warm_start(spark, str(tree), store)
+        versions.append({x for x in os.listdir(store) if x not in ("current", "next")})
+        newest = max(versions[-1], key=lambda v: os.path.getmtime(f"{store}/{v}"))
+        assert len([x for x in os.listdir(f"{store}/{newest}/files") if x.startswith("bucket=")]) == 1
+    assert len(versions[-1]) == 3  # the first, which still holds most buckets, the last, and the one before
+    assert same(index.load(spark, store), index.cold_index(spark, str(tree)))
+
+
+def test_large_and_other_files(spark, tmp_path):
+    (tmp_path / "big.py").write_text("def first(): pass\n" + "# filler line\n" * 160_000 + "def last(): first()\n")
+    (tmp_path / "notes.md").write_text("one needle here\n")
+    (tmp_path / "image.bin").write_bytes(b"needle\0\xff")
+    ix = index.cold_index(spark, str(tmp_path))
+    assert {r.name for r in ix.symbols.collect()} == {"first", "last"}
+    assert {(r.file, r.line) for r in textscan.grep(ix.files, "needle|def last").collect()} == {("big.py", 160_002), ("notes.md", 1)}
+    before = {r.path: r.content_hash for r in scan.hash_files(spark, str(tmp_path)).collect()}
+    assert before == {r.path: r.content_hash for r in ix.files.collect()}
+    with open(tmp_path / "big.py", "a") as f:
+        f.write("#\n")
+    after = {r.path: r.content_hash for r in scan.hash_files(spark, str(tmp_path)).collect()}
+    assert {p for p in after if after[p] != before[p]} == {"big.py"}
+
+
+def test_ignore_files_of_inner_folders(tmp_path, df):
+    for p in ("a/x.py", "a/y.py", "a/gen/z.py", "b/x.py", "b/keep.py", "c/skip.py", ".hidden/h.py"):
+        os.makedirs(tmp_path / os.path.dirname(p), exist_ok=True)
+        (tmp_path / p).write_text("")
+    (tmp_path / ".gitignore").write_text("x.py\nskip.py\n")
+    (tmp_path / "a/.gitignore").write_text("/gen/\n!x.py\n")
+    (tmp_path / "b/.ignore").write_text("*\n!keep.py\n")
+    assert scan.walk(str(tmp_path)) == ["a/x.py", "a/y.py", "b/keep.py"]
+    events = df([("a/y.py",), ("d/x.py",), ("../o.py",), (".git/o.py",), ("n.md",), (None,)], "path string")
+    rules = scan.load_ignore(str(tmp_path))
+    assert sorted(r.path for r in scan.relevant(events, rules).collect()) == ["a/y.py", "n.md"]
+    assert [r.path for r in scan.relevant(events, rules, parseable_only=True).collect()] == ["a/y.py"]
+
+
+def test_hashes_of_deep_folders(df):
+    from symweave.operators.incremental import directory_hashes
+
+    deep = "/".join(f"d{i}" for i in range(80))
+    one, two = ({r.path: r.hash for r in directory_hashes(df([(f"{deep}/f.py", h), ("g.py", "h")], "path string, content_hash string")).collect()} for h in ("h1", "h2"))
+    assert len(one) == 81 and all(one[p] != two[p] for p in one)
+
+
+def test_patterns_that_look_beyond_a_line(df):
+    files = df([("a", "one\ntwo\n")], "path string, content string")
+    for pattern, lines in ((r"\Atwo", [2]), (r"one\z", [1]), (r"(?<!\n)two", [2]), (r"^t", [2]), (r"(?-m)^two", [2])):
+        assert [r.line for r in textscan.grep(files, pattern).collect()] == lines
+
+
 def test_change_and_cascade(spark, tree):
     ix = index.cold_index(spark, str(tree))
     out = edit.apply_change(spark, str(tree), ix, "src/utils/auth.py", [edit.Change("def verify():", "def verify(token):")])
