@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from symweave.operators import evalstats, incremental, runner
 from symweave.plans import views
-from symweave.plans.views import ROLL
+from symweave.plans.views import FAILED, REPORTS, ROLL, STACK_TEXT
 from symweave.runtime import cut, table
 from symweave.sources.extract import extract_files, relations
 
@@ -101,10 +101,16 @@ def mcnemar_counts(spark, d):
     return evalstats.mcnemar_counts(_pairs(spark, d))
 
 
-@query()
+_CHOOSE = "exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1))"
+_NORMAL = "1 - 2 * exp(-z * z / 2) / sqrt(2 * pi()) * list_sum([exp((2 * k + 1) * ln(greatest(z, 1e-300)) - (k + 1) * ln(2) - lgamma(k + 1.5) + ln(pi()) / 2) for k in range(400)])"
+
+
+@query(f"""WITH {_PAIRS}, c AS (SELECT count(*) FILTER (pa AND pb) AS "both", count(*) FILTER (pa AND NOT pb) AS only_a, count(*) FILTER (NOT pa AND pb) AS only_b, count(*) FILTER (NOT pa AND NOT pb) AS neither FROM p WHERE pa IS NOT NULL AND pb IS NOT NULL),
+    n AS (SELECT *, only_a + only_b AS n, least(only_a, only_b) AS least_, greatest(abs(only_a - only_b) - 1, 0) / sqrt(greatest(only_a + only_b, 1)) AS z FROM c)
+    SELECT "both", only_a, only_b, neither, round(CASE WHEN n = 0 THEN 1 WHEN n < 25 THEN least(1, 2 * list_sum([{_CHOOSE} for i in range(least_ + 1)]) / pow(2, n)) ELSE {_NORMAL} END, 9) AS p_value FROM n""")
 def mcnemar_test(spark, d):
     """the counts with the p-value."""
-    return evalstats.mcnemar(_pairs(spark, d))
+    return _rounded(evalstats.mcnemar(_pairs(spark, d)))
 
 
 _PICKS = """e AS (SELECT verdict_id, unnest(per_judge) AS j FROM judge_verdicts),
@@ -176,16 +182,25 @@ def _outputs(spark, d, cargo: bool) -> DataFrame:
     return r.where(mine if cargo else ~mine).groupBy(F.col("report_id").alias("run_id")).agg(F.max_by("stdout", F.struct("loaded_at", F.xxhash64("stdout"))).alias("stdout"))
 
 
-@query()
+def _whole_sql(jest: str, pytest: str) -> str:
+    return f"greatest(0, least(coalesce(TRY_CAST(CASE WHEN is_jest THEN json_extract_string(j, '$.{jest}') ELSE json_extract_string(j, '$.{pytest}') END AS BIGINT), 0), 2147483647))::INT"
+
+
+@query(f"""WITH {REPORTS} SELECT run_id, CASE WHEN is_jest THEN 'jest' ELSE 'pytest' END AS shape, {_whole_sql('numPassedTests', 'summary.passed')} AS passed, {_whole_sql('numFailedTests', 'summary.failed')} AS failed, {_whole_sql('numPendingTests', 'summary.skipped')} AS skipped,
+    CASE WHEN is_jest THEN 0 ELSE coalesce(round(TRY_CAST(json_extract_string(j, '$.duration') AS DOUBLE) * 1000), 0)::BIGINT END AS duration_ms FROM rep""")
 def runner_totals(spark, d):
     """M1 M2 M3 F8: passed, failed and skipped of all JSON reports."""
     return runner.Reports(_outputs(spark, d, False)).totals()
 
 
-@query()
+def _stack_text(df: DataFrame) -> DataFrame:
+    return df.withColumn("stack", F.array_join(F.transform("stack", lambda x: F.concat(x["file"], F.lit(":"), F.coalesce(x["line"].cast("string"), F.lit("?")))), " "))
+
+
+@query(f"WITH {FAILED} SELECT run_id, test_name, file, line, message, {STACK_TEXT} AS stack FROM failed")
 def runner_failures(spark, d):
     """Failed tests with message, place and frames."""
-    return runner.Reports(_outputs(spark, d, False)).failures()
+    return _stack_text(runner.Reports(_outputs(spark, d, False)).failures())
 
 
 _CARGO = """o AS (SELECT report_id AS run_id, stdout FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY loaded_at DESC) AS rn FROM runner_reports WHERE lower(trim(runner)) = 'cargo' AND stdout IS NOT NULL) WHERE rn = 1),
@@ -204,18 +219,50 @@ def cargo_failures(spark, d):
     return runner.cargo_failures(_outputs(spark, d, True)).groupBy("run_id", "test_name", "file", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+def _own_failures(spark, d) -> DataFrame:
+    """Failed tests with the folders of their files, below that of their repository, in place of the files.
+
+    The reports name files that the symbols do not have, but folders that they have.
+    """
+    reports = table(spark, d, "runner_reports").groupBy(F.col("report_id").alias("run_id")).agg(F.min("repo").alias("repo"))
+    found = runner.Reports(_outputs(spark, d, False)).failures()
+    path = lambda c: views.folder(F.concat(F.col("repo"), F.lit("/"), F.regexp_replace(c, r"^(/ws/|\./)", "")))
+    stack = F.transform("stack", lambda x: F.struct(path(x["file"]).alias("file"), x["line"].alias("line")))
+    return found.join(reports, "run_id").withColumns({"file": path(F.col("file")), "stack": stack}).drop("repo")
+
+
+def _folder_sql(c: str) -> str:
+    return f"regexp_replace(repo || '/' || regexp_replace({c}, '^(/ws/|\\./)', ''), '/[^/]*$', '')"
+
+
+_OWN = f"""{FAILED}, own AS (SELECT f.run_id, test_name, {_folder_sql('file')} AS file, line, message, list_transform(stack, lambda x: struct_pack(file := {_folder_sql('x.file')}, line := x.line)) AS stack
+        FROM failed f JOIN (SELECT report_id AS run_id, min(repo) AS repo FROM runner_reports GROUP BY 1) r USING (run_id)),
+    spot AS (SELECT DISTINCT run_id, test_name, file, line, message, unnest(list_concat(stack, CASE WHEN file IS NOT NULL AND line IS NOT NULL THEN [struct_pack(file := file, line := line)] ELSE [] END)) AS p FROM own)"""
+
+
+@query(f"""WITH {views.SYM}, {_OWN} SELECT s.file, s.name, s.kind, s.line_start, count(*) AS frames FROM (SELECT DISTINCT regexp_replace(file, '/[^/]*$', '') AS file, name, kind, line_start, line_end FROM sym) s JOIN spot ON s.file = p.file AND p.line BETWEEN s.line_start AND s.line_end GROUP BY ALL""")
+def attribute_failures(spark, d):
+    """The frames of failed tests inside of symbols."""
+    place = F.when(F.col("file").isNotNull() & F.col("line").isNotNull(), F.array(F.struct("file", "line"))).otherwise(F.array().cast("array<struct<file:string,line:int>>"))
+    each = _own_failures(spark, d).select("run_id", "test_name", "file", "line", "message", F.explode(F.concat("stack", place)).alias("p")).distinct()
+    spots = each.select("p.file", "p.line")
+    spans = views.symbols(spark, d, "line_start", "line_end").withColumn("file", views.folder(F.col("file"))).distinct()
+    return runner.frames_in_spans(spots, spans).groupBy("file", "name", "kind", "line_start").agg(F.count(F.lit(1)).alias("frames"))
+
+
+@query(f"""WITH {views.SYM}, {_OWN}, log AS (SELECT regexp_replace(file, '/[^/]*$', '') AS file, name, kind, max(epoch_us(indexed_at)) AS seq FROM symbols WHERE indexed_at IS NOT NULL GROUP BY 1, 2, 3),
+    hit AS (SELECT DISTINCT x.run_id, x.test_name, x.file, x.line, x.message, 'YOU MODIFIED ' || s.name || ' (' || ((SELECT max(seq) FROM log) - l.seq) || ' edits ago)' AS note
+        FROM spot x JOIN (SELECT DISTINCT regexp_replace(file, '/[^/]*$', '') AS file, name, kind, line_start, line_end FROM sym) s ON s.file = x.p.file AND x.p.line BETWEEN s.line_start AND s.line_end JOIN log l ON l.file = s.file AND l.name = s.name AND l.kind = s.kind),
+    notes AS (SELECT run_id, test_name, file, line, message, string_agg(note, '. ' ORDER BY note) AS notes FROM hit GROUP BY ALL)
+    SELECT o.run_id, o.test_name, o.file, o.line, o.message || coalesce('. ' || n.notes, '') AS message, {STACK_TEXT} AS stack
+    FROM own o LEFT JOIN notes n ON o.run_id = n.run_id AND o.test_name IS NOT DISTINCT FROM n.test_name AND o.file IS NOT DISTINCT FROM n.file AND o.line IS NOT DISTINCT FROM n.line AND o.message = n.message""")
 def failure_attribution(spark, d):
     """M5 G1: failures with notes on the edited symbols that their frames touch."""
-    reports = table(spark, d, "runner_reports").select(F.col("report_id").alias("run_id"), "repo").distinct()
-    found = runner.Reports(_outputs(spark, d, False)).failures()
-    own = found.join(reports, "run_id").withColumn("file", F.concat_ws("/", "repo", F.regexp_replace("file", r"^(/ws/|\./)", "")))
-    stack = F.transform("stack", lambda x: F.struct(F.concat(F.col("repo"), F.lit("/"), F.regexp_replace(x["file"], r"^(/ws/|\./)", "")).alias("file"), x["line"].alias("line")))
-    own = own.withColumn("stack", stack).drop("repo")
-    s = views.symbols(spark, d)
-    log = table(spark, d, "symbols").where("indexed_at is not null").select(F.unix_micros(F.col("indexed_at").cast("timestamp")).alias("seq"), "file", "name", "kind").distinct()
+    own = _own_failures(spark, d)
+    s = views.symbols(spark, d, "line_start", "line_end").withColumn("file", views.folder(F.col("file")))
+    log = table(spark, d, "symbols").where("indexed_at is not null").select(F.unix_micros(F.col("indexed_at").cast("timestamp")).alias("seq"), views.folder(F.col("file")).alias("file"), "name", "kind").distinct()
     numbered = log.groupBy("file", "name", "kind").agg(F.max("seq").alias("seq"))
-    return runner.attribute(own, s, incremental.edits_ago(numbered))
+    return _stack_text(runner.attribute(own, s, incremental.edits_ago(numbered)))
 
 
 # ---------------------------------------------------------------- extraction

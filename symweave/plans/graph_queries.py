@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from symweave.functions.paths import is_test_path
-from symweave.operators import graph, impact, incremental, resolve, runner, textscan
+from symweave.functions.paths import has_suffix, is_test_path
+from symweave.operators import graph, impact, incremental, resolve, textscan
 from symweave.plans import views
 from symweave.plans.search import Graph, search
 from symweave.plans.views import CEN, DIFF, EDG, NEW, OLD, ORDER, RANKED, SYM, TEST_PATH
@@ -153,12 +153,23 @@ def importers_of(spark, d):
     return graph.importers_of(e, _hub(e, "dst_file")).groupBy(F.col("src_file").alias("file"), "line").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {EDG} SELECT DISTINCT dst_file AS file, src_file AS test_file FROM edg WHERE kind = 'Imports' AND confidence = 'Certain' AND dst_name = '' AND dst_kind = 'Module' AND {TEST_PATH.format('src_file')}")
+_TESTED = f"WITH {EDG}, t AS (SELECT src_file, dst_file FROM edg WHERE kind = 'Imports' AND confidence = 'Certain' AND dst_name = '' AND dst_kind = 'Module' AND {TEST_PATH.format('src_file')})"
+
+
+def _tested(e: DataFrame) -> DataFrame:
+    certain = e.where("kind = 'Imports' and confidence = 'Certain' and dst_name = '' and dst_kind = 'Module'").where(is_test_path(F.col("src_file")))
+    return certain.groupBy("dst_file").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dst_file").limit(5)
+
+
+@query(_TESTED + " SELECT DISTINCT dst_file AS file, src_file AS test_file FROM t WHERE dst_file IN (SELECT dst_file FROM t GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5)")
 def tests_for(spark, d):
-    """The tests of all files."""
+    """The tests of the five files that tests import most."""
     e = views.edges(spark, d, "src_file", "src_kind", *graph.DST, "kind", "line", "confidence")
-    certain = e.where("kind = 'Imports' and confidence = 'Certain' and dst_name = '' and dst_kind = 'Module'")
-    return certain.where(is_test_path(F.col("src_file"))).select(F.col("dst_file").alias("file"), F.col("src_file").alias("test_file")).distinct()
+    found = None
+    for file in [r.dst_file for r in _tested(e).collect()]:
+        one = graph.tests_for(e, file).select(F.col("dst_file").alias("file"), F.col("src_file").alias("test_file"))
+        found = one if found is None else found.unionByName(one)
+    return (found if found is not None else e.select(F.col("dst_file").alias("file"), F.col("src_file").alias("test_file")).limit(0)).distinct()
 
 
 def _library_rows(e: DataFrame) -> DataFrame:
@@ -473,19 +484,10 @@ def debounce_events(spark, d):
     return debounce(table(spark, d, "events"), "10 minutes", "user_id", "ts")
 
 
-@query("""SELECT c.c_custkey AS name, count(*) AS frames FROM customer c JOIN events e ON e.event_type = 'error' AND (e.user_id % 25) = c.c_nationkey AND CAST(json_extract_string(e.props, '$.k') AS INT) BETWEEN (c.c_custkey % 100) AND (c.c_custkey % 100) + 5 GROUP BY c.c_custkey""")
-def attribute_failures(spark, d):
-    """Frames inside of spans, with the file as the equal part of the join."""
-    spans = table(spark, d, "customer").select(F.col("c_nationkey").alias("file"), F.col("c_custkey").alias("name"), (F.col("c_custkey") % 100).alias("line_start"), (F.col("c_custkey") % 100 + 5).alias("line_end"))
-    spots = table(spark, d, "events").where("event_type = 'error'").select((F.col("user_id") % 25).cast("int").alias("file"), F.get_json_object("props", "$.k").cast("bigint").alias("line"))
-    return runner.frames_in_spans(spots, spans).groupBy("name").agg(F.count(F.lit(1)).alias("frames"))
-
-
-@query(f"""WITH {EDG}, f AS (SELECT DISTINCT file FROM source_files WHERE removed_at IS NULL) SELECT e.edge_id FROM edg e JOIN f ON f.file = e.dst_file WHERE '/' || e.dst_file LIKE '%.rs'""")
+@query(f"WITH {EDG} SELECT edge_id FROM edg WHERE ends_with('/' || dst_file, '/std/result.rs')")
 def path_suffix(spark, d):
-    """Edges into current files by a suffix of their path."""
-    current = views.files(spark, d).select(F.col("file").alias("dst_file")).distinct()
-    return views.edges(spark, d, "dst_file").join(current, "dst_file", "left_semi").where(F.endswith("dst_file", F.lit(".rs"))).select("edge_id")
+    """Edges into files by a suffix of their path."""
+    return views.edges(spark, d, "dst_file").where(has_suffix(F.col("dst_file"), "std/result.rs")).select("edge_id")
 
 
 def _graph(spark, d) -> Graph:
@@ -493,7 +495,19 @@ def _graph(spark, d) -> Graph:
     return Graph(views.symbols(spark, d), e, _library_rows(e), views.texts(spark, d))
 
 
-@query()
+_PLURAL = "{0} || ' {1}' || CASE WHEN {0} = 1 THEN '' ELSE 's' END"
+_BARE = "regexp_replace(coalesce(signature, name), '(?s)(\\))\\s*(:|->).*$', '\\1')"
+_HIT = "NULL::VARCHAR AS snippet, NULL::VARCHAR AS context"
+
+
+@query(f"""{BASE}, best AS (SELECT file, name, kind FROM ranked WHERE name = 'emit' ORDER BY {ORDER} LIMIT 1),
+    ends AS (SELECT src_file AS file, src_name AS name, src_kind AS kind FROM edg e JOIN best b ON dst_file = b.file AND dst_name = b.name AND dst_kind = b.kind GROUP BY ALL),
+    top AS (SELECT row_number() OVER (ORDER BY {ORDER})::INT AS rank, file, line_start, signature, name FROM ends JOIN ranked USING (file, name, kind) ORDER BY {ORDER} LIMIT 10),
+    head AS (SELECT count(*) AS n, count(DISTINCT file) AS f FROM top),
+    imp AS (SELECT src_file AS file, min(line) AS line FROM edg JOIN best b ON dst_file = b.file WHERE edg.kind = 'Imports' AND confidence = 'Certain' AND dst_name = '' AND dst_kind = 'Module' AND src_file <> b.file AND src_file NOT IN (SELECT file FROM top) GROUP BY src_file)
+    SELECT 0 AS rank, '' AS file, 0 AS line, CASE WHEN n > 0 THEN '=== ' || {_PLURAL.format('n', 'caller')} || ' of emit in ' || {_PLURAL.format('f', 'file')} || ' ===' ELSE '=== 0 callers of emit ===' END AS signature, {_HIT}, true AS is_hint FROM head
+    UNION ALL SELECT rank, file, line_start, {_BARE}, NULL, NULL, false FROM top
+    UNION ALL SELECT (10 + row_number() OVER (ORDER BY file))::INT, file, line, 'cross-file importer — file imports `' || (SELECT file FROM best) || '`; grep `emit` here for call sites', NULL, NULL, false FROM imp""")
 def search_callers(spark, d):
     """A text query for callers, with header and importer hints."""
     return search(_graph(spark, d), "callers of emit")
@@ -509,13 +523,21 @@ def search_find(spark, d):
     return search(_graph(spark, d), "find emit")
 
 
-@query()
+_EMIT = f"(file, name, kind) = (SELECT (file, name, kind) FROM ranked WHERE name = 'emit' ORDER BY {ORDER} LIMIT 1)"
+
+
+@query(_WALK.replace(f"({_START})", f"(SELECT file, name, kind FROM ranked WHERE name = 'installAll' ORDER BY {ORDER} LIMIT 1)").replace("adj AS", f"{CEN}, {RANKED}, adj AS", 1) + _PATH.format(goal=_EMIT)
+    + f" SELECT (depth + 1)::INT AS rank, file, line_start AS line, {_BARE} AS signature, {_HIT}, false AS is_hint FROM back JOIN sym USING (file, name, kind)")
 def search_chain(spark, d):
     """A text query for a path."""
     return search(_graph(spark, d), "chain from installAll to emit")
 
 
-@query()
+@query(f"""WITH l AS (SELECT source || '/' || doc_id AS file, unnest(regexp_split_to_array(regexp_replace(text, '\\r?\\n\\z', ''), '\\r?\\n')) AS t, generate_subscripts(regexp_split_to_array(regexp_replace(text, '\\r?\\n\\z', ''), '\\r?\\n'), 1) AS line FROM documents WHERE contains(text, '(#')),
+    top AS (SELECT row_number() OVER (ORDER BY file, line)::INT AS rank, file, line::INT AS line, substr(regexp_replace(t, '^\\s+|\\s+$', '', 'g'), 1, 120) AS snippet FROM l WHERE contains(t, '(#') ORDER BY file, line LIMIT 30),
+    head AS (SELECT count(*) AS n, count(DISTINCT file) AS f FROM top)
+    SELECT 0 AS rank, '' AS file, 0 AS line, '=== ' || n || ' match' || CASE WHEN n = 1 THEN '' ELSE 'es' END || ' in ' || {_PLURAL.format('f', 'file')} || ' ===' AS signature, {_HIT}, true AS is_hint FROM head
+    UNION ALL SELECT rank, file, line, NULL, snippet, NULL, false FROM top""")
 def search_grep(spark, d):
     """L3: a text that is no valid pattern is searched literally."""
     return search(_graph(spark, d), "(#")

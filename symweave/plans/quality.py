@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symweave.operators import heavy_keys, nested, orphans
+from symweave.plans import views
 from symweave.plans.views import norm_sql
 from symweave.runtime import cut, table
 
@@ -66,6 +67,8 @@ _ENDS = f"""one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY edg
     ends AS (SELECT edge_id, line, 'to' AS side, {norm_sql('dst_file')} AS file, dst_name AS name, dst_kind AS kind, CASE WHEN src_file IS NOT NULL AND src_name IS NOT NULL AND src_kind IS NOT NULL THEN {norm_sql('src_file')} || chr(1) || src_name || chr(1) || src_kind END AS other FROM one
         UNION ALL SELECT edge_id, line, 'from', {norm_sql('src_file')}, src_name, src_kind, CASE WHEN dst_file IS NOT NULL AND dst_name IS NOT NULL AND dst_kind IS NOT NULL THEN {norm_sql('dst_file')} || chr(1) || dst_name || chr(1) || dst_kind END FROM one)"""
 ORACLES: dict[str, str] = {
+    "p3_found": f"""WITH {views.REPORT_PARTS} SELECT run_id AS report_id, outer_pos, inner_pos, leaf_pos FROM jsaid WHERE json_type(m) <> 'NULL'
+        UNION ALL SELECT run_id, outer_pos, -1, leaf_pos FROM pframe WHERE json_type(f) <> 'NULL'""",
     "p1_found": f"WITH {_LIVES} SELECT DISTINCT edge_id FROM x",
     "p1_report": f"""WITH {_LIVES}, y AS (SELECT edge_id, o, min(strftime(t, '%Y-%m')) AS month, min(f) AS f FROM x GROUP BY edge_id, o)
         SELECT CASE WHEN o = 'file' THEN 'source_files' WHEN starts_with(f, 'prelude/') THEN 'prelude_symbols' ELSE 'symbols' END AS target_table, month, 'direct' AS status, count(*) AS orphans FROM y GROUP BY ALL""",

@@ -53,6 +53,10 @@ def edges(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return rows.withColumns(plain).select(*(dict.fromkeys(("edge_id", *columns)) if columns else EDGE_COLUMNS)).distinct()
 
 
+def folder(path: Column) -> Column:
+    return F.regexp_replace(path, "/[^/]*$", "")
+
+
 def files(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "source_files").where("removed_at is null").select("file", "language", "content_hash", "is_test_path").distinct()
 
@@ -115,4 +119,37 @@ DIFF = """o1 AS (SELECT * FROM (SELECT *, CASE WHEN kind = 'AsyncFunction' THEN
         o.is_async AS old_async, n.is_async AS new_async
         FROM o1 o FULL OUTER JOIN n1 n ON o.file = n.file AND o.name = n.name AND o.bk = n.bk)"""
 ROLL = "roll AS (SELECT * EXCLUDE (rn, arm, seed), lower(trim(arm)) AS arm, coalesce(seed, 0) AS seed FROM (SELECT *, row_number() OVER (PARTITION BY rollout_id ORDER BY loaded_at DESC) AS rn FROM rollouts) WHERE rn = 1)"
+
+
+def json_list(x: str) -> str:
+    """The entries of a JSON list; a lone value is a list of one, nothing or null has no entries."""
+    return f"CASE WHEN {x} IS NULL OR json_type({x}) = 'NULL' THEN [] WHEN json_type({x}) = 'ARRAY' THEN json_extract({x}, '$[*]') ELSE [{x}] END"
+
+
+#: JSON reports alone, among other lines, as a JSON string, or under ``report``.
+REPORTS = """o AS (SELECT report_id AS run_id, stdout FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY loaded_at DESC) AS rn FROM runner_reports WHERE stdout IS NOT NULL AND lower(trim(runner)) IS DISTINCT FROM 'cargo') WHERE rn = 1),
+    whole AS (SELECT run_id, CASE WHEN json_valid(stdout) THEN stdout ELSE list_filter([regexp_extract(stdout, '(?s)\\{\\s*".*\\}'), regexp_extract(stdout, '(?s)\\{\\s*".*[\\]0-9]\\s*\\}')], lambda x: json_valid(x))[1] END AS t FROM o),
+    inner_ AS (SELECT run_id, CASE WHEN json_type(t) = 'VARCHAR' THEN json_extract_string(t, '$') WHEN json_exists(t, '$.report') THEN json_extract(t, '$.report')::VARCHAR ELSE t END AS t FROM whole WHERE json_valid(t)),
+    rep AS (SELECT run_id, t::JSON AS j, json_exists(t, '$.testResults') AS is_jest FROM inner_ WHERE json_valid(t) AND (json_exists(t, '$.testResults') OR json_exists(t, '$.tests')))"""
+_POS = "generate_subscripts({0}, 1)::INT - 1"
+#: Their tests, failure messages and traceback frames with positions.
+REPORT_PARTS = f"""{REPORTS},
+    jfile AS (SELECT run_id, unnest(x) AS f, {_POS.format('x')} AS outer_pos FROM (SELECT run_id, {json_list("json_extract(j, '$.testResults')")} AS x FROM rep WHERE is_jest)),
+    jtest AS (SELECT run_id, outer_pos, json_extract_string(f, '$.name') AS file, unnest(x) AS t, {_POS.format('x')} AS inner_pos FROM (SELECT *, {json_list("json_extract(f, '$.assertionResults')")} AS x FROM jfile)),
+    jsaid AS (SELECT run_id, outer_pos, inner_pos, unnest(x) AS m, {_POS.format('x')} AS leaf_pos FROM (SELECT *, {json_list("json_extract(t, '$.failureMessages')")} AS x FROM jtest)),
+    ptest AS (SELECT run_id, unnest(x) AS t, {_POS.format('x')} AS outer_pos FROM (SELECT run_id, {json_list("json_extract(j, '$.tests')")} AS x FROM rep WHERE NOT is_jest)),
+    pframe AS (SELECT run_id, outer_pos, unnest(x) AS f, {_POS.format('x')} AS leaf_pos FROM (SELECT *, {json_list("json_extract(t, '$.call.traceback')")} AS x FROM ptest))"""
+_SITE = r"'(?:\(|at )([^\s():]+):(\d+)(?::\d+)?\)?'"
+#: Failed tests of all JSON reports: ``run_id, test_name, file, line, message`` and the frames as text.
+FAILED = f"""{REPORT_PARTS},
+    first AS (SELECT run_id, outer_pos, inner_pos, arg_min(json_extract_string(m, '$'), leaf_pos) AS m FROM jsaid WHERE json_type(m) <> 'NULL' GROUP BY ALL),
+    jfail AS (SELECT run_id, json_extract_string(t, '$.fullName') AS test_name, file, TRY_CAST(json_extract_string(t, '$.location.line') AS INT) AS line, coalesce(split_part(m, chr(10), 1), '') AS message,
+        coalesce(list_transform(list_zip(regexp_extract_all(m, {_SITE}, 1), regexp_extract_all(m, {_SITE}, 2)), lambda x: struct_pack(file := x[1], line := x[2]::INT)), []) AS stack
+        FROM jtest LEFT JOIN first USING (run_id, outer_pos, inner_pos) WHERE json_extract_string(t, '$.status') = 'failed'),
+    trace AS (SELECT run_id, outer_pos, list(struct_pack(file := json_extract_string(f, '$.path'), line := TRY_CAST(json_extract_string(f, '$.lineno') AS INT)) ORDER BY leaf_pos) AS s FROM pframe WHERE json_type(f) <> 'NULL' AND json_extract_string(f, '$.path') IS NOT NULL GROUP BY ALL),
+    pfail AS (SELECT run_id, split_part(json_extract_string(t, '$.nodeid'), '::', -1) AS test_name, coalesce(s[-1].file, split_part(json_extract_string(t, '$.nodeid'), '::', 1)) AS file, coalesce(s[-1].line, TRY_CAST(json_extract_string(t, '$.lineno') AS INT)) AS line,
+        split_part(coalesce(json_extract_string(t, '$.call.longrepr.reprcrash.message'), json_extract_string(t, '$.call.longrepr'), ''), chr(10), 1) AS message, coalesce(s, []) AS stack
+        FROM ptest LEFT JOIN trace USING (run_id, outer_pos) WHERE json_extract_string(t, '$.outcome') = 'failed'),
+    failed AS (SELECT * FROM jfail UNION ALL SELECT * FROM pfail)"""
+STACK_TEXT = "array_to_string(list_transform(stack, lambda x: x.file || ':' || coalesce(x.line::VARCHAR, '?')), ' ')"
 TEST_PATH = "len(list_filter(string_split({0}, '/'), lambda c: c IN ('tests', '__tests__') OR contains(c, '.test.') OR contains(c, '.spec.') OR contains(c, '_test') OR starts_with(c, 'test_'))) > 0"
