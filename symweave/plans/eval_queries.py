@@ -173,6 +173,12 @@ def tool_usage(spark, d):
     return one.select(F.explode("e").alias("k")).groupBy(F.col("k.key").alias("tool")).agg(F.sum("k.value").alias("calls"), F.count(F.lit(1)).alias("rollouts"))
 
 
+@query(f"""WITH {ROLL} SELECT rollout_id, CASE WHEN length(final_answer) > 200 THEN substr(final_answer, 1, 200) || chr(10) || '[... ' || (length(final_answer) - 200) || ' characters cut]' ELSE final_answer END AS answer FROM roll""")
+def trimmed_answers(spark, d):
+    """Answers cut for a prompt, with a mark for what was cut."""
+    return views.rollouts(spark, d).select("rollout_id", evalstats.trimmed_text(F.col("final_answer"), 200).alias("answer"))
+
+
 # ---------------------------------------------------------------- runner reports
 
 

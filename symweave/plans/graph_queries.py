@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 
 from symweave.functions.paths import has_suffix, is_test_path
+from symweave.functions.render import without_return_type
 from symweave.operators import graph, impact, incremental, resolve, textscan
 from symweave.plans import views
 from symweave.plans.search import Graph, search
@@ -543,3 +544,16 @@ def search_grep(spark, d):
     return search(_graph(spark, d), "(#")
 
 
+@query(_TESTED.replace("src_file, dst_file FROM edg", "src_file, dst_file, line FROM edg") + f""" SELECT row_number() OVER (ORDER BY src_file, line)::INT AS rank, src_file AS file, line, 'imports ' || dst_file AS signature, {_HIT}, false AS is_hint
+    FROM t WHERE dst_file = (SELECT dst_file FROM t GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)""")
+def search_tests(spark, d):
+    """A text query for the tests of the file that tests import most."""
+    g = _graph(spark, d)
+    return search(g, f"tests for {_tested(g.edges).first().dst_file}")
+
+
+@query(f"WITH {SYM} SELECT file, name, kind, regexp_extract(regexp_replace(string_split(signature, '(')[1], '^fn ', ''), '(\\S+)\\s*$', 1) AS found, {_BARE} AS bare FROM sym WHERE signature IS NOT NULL")
+def signature_parts(spark, d):
+    """The name in every signature, and the signature without its return type."""
+    s = views.symbols(spark, d, "signature", "line_start", "params", "return_type", "visibility", "body_hash", "is_async", "line_end").where("signature is not null")
+    return s.select(*KEY, graph.function_name(F.col("signature")).alias("found"), without_return_type(F.coalesce("signature", "name")).alias("bare"))

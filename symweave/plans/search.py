@@ -15,6 +15,18 @@ from symweave.runtime import cut
 from symweave.schema import HITS, KEY
 
 
+# The notes of answers, which callers of the query language may rely on.
+NO_SYMBOL = "no symbol named '{name}' found; try `find {name}` for fuzzy matches or grep across files"
+NO_SYMBOL_IN_CHAIN = "no symbol named '{name}' found; try `find {name}` for fuzzy matches"
+IMPORTER = "cross-file importer — file imports `{file}`; grep `{name}` here for call sites"
+NO_IMPORTS = 'no internal imports in the graph; use grep for "use X::"'
+NO_TESTS = "no same-file tests found; use grep for 'test_{subject}'"
+NO_FILE = "no symbols indexed in {target}; try `outline of {target}` or check the path spelling"
+NO_PATH_TO_FILE = "no call-graph path from {name} to any symbol in {target}; try `callees of {name}` then filter by file"
+NO_PATH = "no call-graph path from {name} to {target}; re-export chains and dynamic dispatch are not followed"
+MORE_SIBLINGS = "{over} more candidate symbols in {target} truncated; use `outline of {target}` for the full list"
+
+
 @dataclass
 class Graph:
     """The relations of a code graph. Paths in queries are relative to the root as those in the tables are."""
@@ -101,7 +113,7 @@ def callers(g: Graph, name: str, with_context: bool = False, most: int = CAPS["c
     best = cut(graph.best_match(g.symbols, g.central, name))
     target = best.first()
     if target is None:
-        return _note(spark, f"no symbol named '{name}' found; try `find {name}` for fuzzy matches or grep across files")
+        return _note(spark, NO_SYMBOL.format(name=name))
     ends = graph.endpoint_symbols(graph.callers(g.edges, best), g.symbols, "src")
     top = cut(graph.with_rank(graph.ranked(ends, g.central), graph.by_centrality(), most))
     context = None
@@ -116,7 +128,7 @@ def callers(g: Graph, name: str, with_context: bool = False, most: int = CAPS["c
     others = graph.importers_of(g.edges, target.file).where(F.col("src_file") != target.file).join(known, "src_file", "left_anti")
     hint = others.groupBy(F.col("src_file").alias("file")).agg(F.min("line").alias("line_start"))
     hint = graph.with_rank(hint, ["file"], first=most + 1)
-    said = F.lit(f"cross-file importer — file imports `{target.file}`; grep `{name}` here for call sites")
+    said = F.lit(IMPORTER.format(file=target.file, name=name))
     head = top.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file").alias("f"))
     text = F.when(F.col("n") > 0, F.concat(F.lit("=== "), _plural(F.col("n"), "caller"), F.lit(f" of {name} in "), _plural(F.col("f"), "file"), F.lit(" ==="))).otherwise(F.lit(f"=== 0 callers of {name} ==="))
     return _hint(head, text).unionByName(_hits(shown, _signature(), context=context)).unionByName(_hits(hint, said))
@@ -148,7 +160,7 @@ def _import_hits(edges: DataFrame, file: str, said: Column) -> DataFrame:
 def imports(g: Graph, file: str) -> DataFrame:
     found = graph.imports_of(g.edges, file)
     if found.isEmpty():
-        return _note(g.edges.sparkSession, 'no internal imports in the graph; use grep for "use X::"')
+        return _note(g.edges.sparkSession, NO_IMPORTS)
     return _import_hits(found, "dst_file", F.concat(F.lit("imports "), "dst_file"))
 
 
@@ -165,7 +177,7 @@ def tests(g: Graph, subject: str) -> DataFrame:
         file = row.file if row else None
     found = graph.tests_for(g.edges, file) if file else None
     if found is None or found.isEmpty():
-        return _note(spark, f"no same-file tests found; use grep for 'test_{subject}'")
+        return _note(spark, NO_TESTS.format(subject=subject))
     return _import_hits(found, "src_file", F.concat(F.lit("imports "), "dst_file"))
 
 
@@ -191,24 +203,24 @@ def chain(g: Graph, name: str, target: str, most: int = CAPS["siblings"]) -> Dat
     spark = g.symbols.sparkSession
     start = cut(graph.best_match(g.symbols, g.central, name))
     if start.isEmpty():
-        return _note(spark, f"no symbol named '{name}' found; try `find {name}` for fuzzy matches")
+        return _note(spark, NO_SYMBOL_IN_CHAIN.format(name=name))
     into_file = is_path_like(target)
     if into_file:
         if g.symbols.where(has_suffix(F.col("file"), target)).isEmpty():
-            return _note(spark, f"no symbols indexed in {target}; try `outline of {target}` or check the path spelling")
+            return _note(spark, NO_FILE.format(target=target))
         goal = graph.to_file(target)
     else:
         end = cut(graph.best_match(g.symbols, g.central, target))
         if end.isEmpty():
-            return _note(spark, f"no symbol named '{target}' found; try `find {target}` for fuzzy matches")
+            return _note(spark, NO_SYMBOL_IN_CHAIN.format(name=target))
         wanted = end.first()
         goal = lambda level: level.where((F.col("file") == wanted.file) & (F.col("name") == wanted.name) & (F.col("kind") == wanted.kind))
     path = graph.shortest_path(g.edges, start, goal)
     if path is None:
         if into_file:
-            return _hits(start.withColumn("rank", F.lit(1)), _signature()).unionByName(_note(spark, f"no call-graph path from {name} to any symbol in {target}; try `callees of {name}` then filter by file", 2))
+            return _hits(start.withColumn("rank", F.lit(1)), _signature()).unionByName(_note(spark, NO_PATH_TO_FILE.format(name=name, target=target), 2))
         ends = start.withColumn("rank", F.lit(1)).unionByName(end.withColumn("rank", F.lit(2)))
-        return _hits(ends, _signature()).unionByName(_note(spark, f"no call-graph path from {name} to {target}; re-export chains and dynamic dispatch are not followed", 3))
+        return _hits(ends, _signature()).unionByName(_note(spark, NO_PATH.format(name=name, target=target), 3))
     steps = path.join(g.symbols, KEY).withColumn("rank", (F.col("step") + 1).cast("int"))
     hits = _hits(steps, _signature())
     if into_file:
@@ -217,7 +229,7 @@ def chain(g: Graph, name: str, target: str, most: int = CAPS["siblings"]) -> Dat
         hits = hits.unionByName(_hits(graph.with_rank(near, graph.by_centrality(), most, n + 1), _signature()))
         over = near.count() - most
         if over > 0:
-            hits = hits.unionByName(_note(spark, f"{over} more candidate symbols in {target} truncated; use `outline of {target}` for the full list", n + most + 1))
+            hits = hits.unionByName(_note(spark, MORE_SIBLINGS.format(over=over, target=target), n + most + 1))
     return hits
 
 
