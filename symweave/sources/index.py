@@ -166,13 +166,12 @@ def warm_start(spark: SparkSession, root: str, store: str) -> Index:
     return load(spark, store) or applied(old, r)
 
 
-BUCKETS = 16
 _PARTS = {"files": "path", "symbols": "file", "edges": "src_file", "library_imports": "file", "raw_imports": "file"}
 _POINTER = "schema_version int, version string, part string, bucket int, schema string, root string"
 
 
 def _bucket(column: str) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int")
+    return F.pmod(F.crc32(F.encode(F.col(column), "UTF-8")), F.lit(scan.BUCKETS)).cast("int")
 
 
 def _root_of(spark: SparkSession, store: str, old: Index) -> str:
@@ -199,7 +198,7 @@ def save(index: Index, store: str, buckets: list[int] | None = None, root: str |
     for name, column in _PARTS.items():
         df = getattr(index, name).withColumn("bucket", _bucket(column))
         kind = df.drop("bucket").schema.json()
-        if name == "edges":
+        if name in ("edges", "library_imports"):  # the others still lie as they were read, by bucket
             df = df.repartition("bucket")
         df.write.partitionBy("bucket").parquet(f"{store}/{version}/{name}")
         pointer += [(schema.VERSION, version, name, b, kind, root) for b in _written(spark, f"{store}/{version}/{name}")]

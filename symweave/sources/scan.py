@@ -11,6 +11,7 @@ import json
 import os
 import re
 import tomllib
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -143,9 +144,16 @@ def _content(full: str, source: bool) -> tuple[str | None, str]:
     return text, hashlib.sha256(data).hexdigest()
 
 
+#: Parts of every relation of a stored graph, by a checksum of the file.
+BUCKETS = 16
+
+
 def _listed(spark: SparkSession, paths: list[str]) -> DataFrame:
-    n = max(1, min(len(paths) // 50 + 1, spark.sparkContext.defaultParallelism * 2), len(paths) // 5_000)
-    return spark.createDataFrame(pd.DataFrame({"path": paths}, dtype=object), "path string").repartition(n)
+    """The paths, those of one bucket together, so that each task writes few buckets later."""
+    n = max(1, min(len(paths) // 50 + 1, spark.sparkContext.defaultParallelism), len(paths) // 5_000)
+    ordered = sorted(paths, key=lambda p: (zlib.crc32(p.encode("utf-8", "surrogateescape")) % BUCKETS, p))
+    listed = spark.createDataFrame(pd.DataFrame({"path": pd.Series(ordered, dtype=object), "slot": range(len(ordered))}), "path string, slot bigint")
+    return listed.repartitionByRange(n, "slot").select("path") if n > 1 else listed.select("path").coalesce(1)
 
 
 def hash_files(spark: SparkSession, root: str) -> DataFrame:
