@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -89,9 +89,26 @@ def find_by_name(symbols: DataFrame, name: str) -> DataFrame:
     return near if exact.isEmpty() else exact
 
 
-def best_match(symbols: DataFrame, central: DataFrame, name: str) -> DataFrame:
-    """The most central symbol of a name, as at most one row."""
-    return ranked(find_by_name(symbols, name), central).orderBy(*by_centrality()).limit(1)
+def best_match(symbols: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """The most central symbol of a name, as at most one row, which is known to the driver.
+
+    Only edges that point at the name are counted; symbols within two edits are looked for where there is none.
+    """
+    exact = ranked(symbols.where(F.col("name") == name), centrality(edges.where(F.col("dst_name") == name)))
+    row = exact.orderBy(*by_centrality()).first()
+    if row is None:
+        row = ranked(find_by_name(symbols, name), centrality(edges)).orderBy(*by_centrality()).select(*exact.columns).first()
+    return few(exact, [] if row is None else [row])
+
+
+def few(like: DataFrame, rows: list) -> DataFrame:
+    """Rows that the driver has, as a table of the same columns."""
+    return like.sparkSession.createDataFrame([tuple(r) for r in rows], like.schema)
+
+
+def pointing_at(edges: DataFrame, row: Row) -> DataFrame:
+    """Edges that point at one symbol."""
+    return edges.where((F.col("dst_file") == row.file) & (F.col("dst_name") == row.name) & (F.col("dst_kind") == row.kind))
 
 
 def exports_of(symbols: DataFrame, file: str) -> DataFrame:

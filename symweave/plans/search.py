@@ -110,12 +110,14 @@ def find(g: Graph, name: str, most: int = CAPS["find"]) -> DataFrame:
 def callers(g: Graph, name: str, with_context: bool = False, most: int = CAPS["callers"]) -> DataFrame:
     """Callers of the most central symbol of a name, then files that import its file without a caller in them."""
     spark = g.symbols.sparkSession
-    best = cut(graph.best_match(g.symbols, g.central, name))
+    best = graph.best_match(g.symbols, g.edges, name)
     target = best.first()
     if target is None:
         return _note(spark, NO_SYMBOL.format(name=name))
-    ends = graph.endpoint_symbols(graph.callers(g.edges, best), g.symbols, "src")
-    top = cut(graph.with_rank(graph.ranked(ends, g.central), graph.by_centrality(), most))
+    ends = graph.endpoint_symbols(graph.pointing_at(g.edges, target), g.symbols, "src")
+    order = graph.by_centrality()
+    rows = graph.ranked(ends, g.central).orderBy(*order).limit(most).collect()
+    top = graph.few(ends.withColumn("in_degree", F.lit(0).cast("bigint")).withColumn("rank", F.lit(0)), [(*r, i) for i, r in enumerate(rows, 1)])
     context = None
     shown = top
     if with_context and g.files is not None:
@@ -124,25 +126,25 @@ def callers(g: Graph, name: str, with_context: bool = False, most: int = CAPS["c
         body = textscan.enclosing_statement_udf("content", "edge_line")
         args = textscan.call_arguments_udf("content", "edge_line", F.lit(target.name))
         context = F.when(body.isNotNull(), F.concat_ws("\n", F.concat(F.lit("// args: "), args), F.lit(f"// callee: {(target.signature or target.name).split('): ')[0]}" + (")" if "): " in (target.signature or "") else "")), body))
-    known = top.select(F.col("file").alias("src_file")).distinct()
-    others = graph.importers_of(g.edges, target.file).where(F.col("src_file") != target.file).join(known, "src_file", "left_anti")
+    known = sorted({r.file for r in rows} | {target.file})
+    others = graph.importers_of(g.edges, target.file).where(~F.col("src_file").isin(known))
     hint = others.groupBy(F.col("src_file").alias("file")).agg(F.min("line").alias("line_start"))
     hint = graph.with_rank(hint, ["file"], first=most + 1)
     said = F.lit(IMPORTER.format(file=target.file, name=name))
-    head = top.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file").alias("f"))
-    text = F.when(F.col("n") > 0, F.concat(F.lit("=== "), _plural(F.col("n"), "caller"), F.lit(f" of {name} in "), _plural(F.col("f"), "file"), F.lit(" ==="))).otherwise(F.lit(f"=== 0 callers of {name} ==="))
-    return _hint(head, text).unionByName(_hits(shown, _signature(), context=context)).unionByName(_hits(hint, said))
+    n, f = len(rows), len({r.file for r in rows})
+    text = f"=== {n} caller{'' if n == 1 else 's'} of {name} in {f} file{'' if f == 1 else 's'} ===" if n else f"=== 0 callers of {name} ==="
+    return _note(spark, text).unionByName(_hits(shown, _signature(), context=context)).unionByName(_hits(hint, said))
 
 
 def callees(g: Graph, name: str, most: int = CAPS["callees"]) -> DataFrame:
     """Symbols that the most central symbol of a name refers to; nothing for an unknown name."""
-    best = cut(graph.best_match(g.symbols, g.central, name))
+    best = graph.best_match(g.symbols, g.edges, name)
     ends = graph.endpoint_symbols(graph.callees(g.edges, best), g.symbols, "dst")
     return _hits(graph.with_rank(graph.ranked(ends, g.central), graph.by_centrality(), most), _signature())
 
 
 def outline(g: Graph, file: str, most: int = CAPS["outline"]) -> DataFrame:
-    entries = graph.outline(g.symbols.where(F.col("file") == file))
+    entries = graph.outline(g.symbols.where(F.col("file") == file).repartition(1))  # one file: the windows move nothing more
     head = graph.outline_headers(entries)
     rows = entries.where(F.col("entry") < most).withColumnRenamed("entry", "rank")
     return _hint(head, F.col("header")).unionByName(_hits(rows, F.col("label"), "line"))
@@ -173,7 +175,7 @@ def tests(g: Graph, subject: str) -> DataFrame:
     spark = g.edges.sparkSession
     file = subject
     if "/" not in subject and "\\" not in subject:
-        row = graph.best_match(g.symbols, g.central, subject).first()
+        row = graph.best_match(g.symbols, g.edges, subject).first()
         file = row.file if row else None
     found = graph.tests_for(g.edges, file) if file else None
     if found is None or found.isEmpty():
@@ -201,7 +203,7 @@ def grep(g: Graph, text: str, most: int = CAPS["grep"]) -> DataFrame:
 def chain(g: Graph, name: str, target: str, most: int = CAPS["siblings"]) -> DataFrame:
     """A shortest path from a symbol to a symbol or into a file, with the path's other call targets in that file."""
     spark = g.symbols.sparkSession
-    start = cut(graph.best_match(g.symbols, g.central, name))
+    start = graph.best_match(g.symbols, g.edges, name)
     if start.isEmpty():
         return _note(spark, NO_SYMBOL_IN_CHAIN.format(name=name))
     into_file = is_path_like(target)
@@ -210,7 +212,7 @@ def chain(g: Graph, name: str, target: str, most: int = CAPS["siblings"]) -> Dat
             return _note(spark, NO_FILE.format(target=target))
         goal = graph.to_file(target)
     else:
-        end = cut(graph.best_match(g.symbols, g.central, target))
+        end = graph.best_match(g.symbols, g.edges, target)
         if end.isEmpty():
             return _note(spark, NO_SYMBOL_IN_CHAIN.format(name=target))
         wanted = end.first()
