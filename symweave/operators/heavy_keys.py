@@ -137,7 +137,8 @@ def key_results(edges: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.9), min
     if min_share > 0:  # few keys: one edge of each tells its name
         out = cut(out.where(F.col("degree") >= F.lit(least)))
         seen = sides.groupBy(*key).agg(F.min("edge_id").alias("edge_id")).collect()
-        edges = edges.where(F.col("edge_id").isin([r.edge_id for r in seen]))
+        known = F.col("edge_id").isin([r.edge_id for r in seen if r.edge_id is not None])
+        edges = edges.where(known | F.col("edge_id").isNull() if any(r.edge_id is None for r in seen) else known)
     found = key_quantiles(sides.groupBy(*key, "line").agg(F.count(F.lit(1)).alias("n")), key, "line", list(quantiles))
     labels = [f"line_p{round(q * 100)}" for q in quantiles]
     wide = found.groupBy(*key).agg(*[F.max(F.when(F.col("q") == q, F.col("quantile"))).alias(c) for q, c in zip(quantiles, labels)])

@@ -52,7 +52,8 @@ def embedded_objects(text: str | None, wanted: tuple[str, ...]) -> list[dict]:
 
     They may be the whole text, lie among other output, under fields of another value, or inside a JSON
     string. An object whose wanted fields are neither lists nor objects is one unless it holds such an object. An object that breaks off is none. Each start is tried once and a complete value is skipped as
-    a whole, so the time is linear in the text for every level of nesting that breaks off.
+    a whole, so the time is linear in the text for every level of nesting that breaks off. An object nested
+    deeper than the parser can follow (thousands of levels) raises ValueError, so that no record is lost unseen.
     """
     found: list[dict] = []
 
@@ -77,7 +78,9 @@ def embedded_objects(text: str | None, wanted: tuple[str, ...]) -> list[dict]:
         while m := _START.search(s, at):
             try:
                 value, at = _DECODER.raw_decode(s, m.start())
-            except (ValueError, RecursionError):
+            except RecursionError:
+                raise ValueError(f"an object at character {m.start()} is nested deeper than the parser can follow") from None
+            except ValueError:
                 at = m.end()
                 continue
             walk(value)
@@ -148,7 +151,7 @@ def infer_schema(records: DataFrame, column: str = "json") -> Node:
             for s in b["j"]:
                 try:
                     _shapes(json.loads(s), (), seen)
-                except (TypeError, ValueError, RecursionError):
+                except (TypeError, ValueError):
                     continue
         yield pd.DataFrame([(json.dumps(p), k, n) for (p, k), n in seen.items()], columns=["path", "kind", "n"])
 
@@ -249,6 +252,10 @@ def flatten(records: DataFrame, schema: Node | None = None) -> dict[str, DataFra
                 lists(df, c, value, label)
 
     def child(df: DataFrame, value: Column, entry: Node, lone: Node, label: str) -> None:
+        n, given = 1, label
+        while label in out:  # a field ``a.b`` and the field ``b`` of an object ``a`` have one path
+            n += 1
+            label = f"{given[:-2]}_{n}[]"
         before = F.col("positions") if "positions" in df.columns else F.array().cast("array<int>")
         rows = df.select("key", F.col("row_key").alias("parent_key"), before.alias("_before"), F.posexplode(_entries(value)).alias("pos", "_v"))
         rows = rows.select(

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from symweave.sources.statements import enclosing_statement
+
 SNIPPET = 120
 
 
@@ -107,38 +109,7 @@ def call_arguments(content: str | None, line: int, name: str) -> str | None:
     if depth:
         return None
     args = re.sub(r"\s+", " ", "".join(out)).strip()
-    return args[:200] or None
-
-
-def _balance(line: str) -> int:
-    """Round and square brackets that a line opens, less those it closes; strings and comments do not count."""
-    line = re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|//.*|#.*", "", line)
-    return sum(line.count(c) for c in "([") - sum(line.count(c) for c in ")]")
-
-
-def enclosing_statement(content: str | None, line: int, most: int = 20) -> str | None:
-    """The statement around a line: up to where its brackets open, down to where they close, at most 20 lines.
-
-    Where no end is found within 20 lines, the line and its neighbours.
-    """
-    if content is None:
-        return None
-    rows = content.split("\n")
-    if not 1 <= line <= len(rows):
-        return None
-    begin, level = line - 1, 0
-    for i in range(line - 2, max(-1, line - 1 - most), -1):
-        level += _balance(rows[i])
-        if level > 0:
-            begin, level = i, 0
-    while begin > 0 and rows[begin].lstrip().startswith("."):
-        begin -= 1
-    end, level = begin, _balance(rows[begin])
-    while end < len(rows) - 1 and end - begin < most - 1 and (level > 0 or end < line - 1 or rows[end + 1].lstrip().startswith(".")):
-        end += 1
-        level += _balance(rows[end])
-    found = rows[begin : end + 1] if level == 0 else rows[max(0, line - 2) : line + 1]
-    return "\n".join(found)
+    return (args if len(args) <= 200 else args[:197] + "...") or None
 
 
 @F.pandas_udf(StringType())
@@ -147,5 +118,5 @@ def call_arguments_udf(content: pd.Series, line: pd.Series, name: pd.Series) ->
 
 
 @F.pandas_udf(StringType())
-def enclosing_statement_udf(content: pd.Series, line: pd.Series) -> pd.Series:
-    return pd.Series([enclosing_statement(c, int(n)) if c is not None and not pd.isna(n) else None for c, n in zip(content, line)])
+def enclosing_statement_udf(path: pd.Series, content: pd.Series, line: pd.Series) -> pd.Series:
+    return pd.Series([enclosing_statement(p, c, int(n)) if c is not None and not pd.isna(n) else None for p, c, n in zip(path, content, line)])

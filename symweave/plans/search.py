@@ -123,7 +123,7 @@ def callers(g: Graph, name: str, with_context: bool = False, most: int = CAPS["c
     if with_context and g.files is not None:
         content = g.files.select(F.col("path").alias("file"), "content")
         shown = top.join(content, "file", "left")
-        body = textscan.enclosing_statement_udf("content", "edge_line")
+        body = textscan.enclosing_statement_udf("file", "content", "edge_line")
         args = textscan.call_arguments_udf("content", "edge_line", F.lit(target.name))
         context = F.when(body.isNotNull(), F.concat_ws("\n", F.concat(F.lit("// args: "), args), F.lit(f"// callee: {(target.signature or target.name).split('): ')[0]}" + (")" if "): " in (target.signature or "") else "")), body))
     known = sorted({r.file for r in rows} | {target.file})

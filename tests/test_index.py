@@ -247,7 +247,24 @@ def test_text_operators(df):
     assert h[0] == h[1] != h[2]
     assert df([("(a: A<B, C>, , d)",)], "s string").select(textscan.split_params(F.col("s"))).first()[0] == ["a: A<B", "C>", "d"]
     assert textscan.call_arguments("x = f(\n 1, g(2))", 1, "f") == "1, g(2)" and textscan.call_arguments("f()", 1, "f") is None and textscan.call_arguments(None, 1, "f") is None
-    assert textscan.enclosing_statement("a\nx = f(\n 1,\n)\nb", 3) == "x = f(\n 1,\n)" and textscan.enclosing_statement("a", 5) is None
+
+
+def test_enclosing_statements():
+    from symweave.sources.statements import enclosing_statement as around
+
+    py = "def a():\n    x = f(\n        g(1),\n    )\n    if h(x):\n        return k(x)\n    for y in many(x): pass\n"
+    assert around("m.py", py, 3) == around("m.py", py, 2) == "x = f(\n        g(1),\n    )"
+    assert around("m.py", py, 5) == "if h(x):\n        return k(x)" and around("m.py", py, 6) == "return k(x)"
+    assert around("m.py", py, 7) == "        return k(x)\n    for y in many(x): pass\n"  # no statement of the kinds: the lines around
+    assert around("m.py", "def (:\n f(1)\n", 2) == "def (:\n f(1)\n" and around("m.py", None, 1) is None and around("m.py", "f()", 9) is None
+    rs = "fn a() {\n    let t = \"; } (\"; // ( no\n    let x = make(\n        Some(1),\n    )\n    .finish();\n    if check(x) {\n        go(x);\n    }\n    last(x)\n}\n"
+    assert around("m.rs", rs, 4) == "let x = make(\n        Some(1),\n    )\n    .finish();"
+    assert around("m.rs", rs, 7) == "if check(x) {\n        go(x);\n    }" and around("m.rs", rs, 8) == "go(x);" and around("m.rs", rs, 10) == "last(x)"
+    ts = "export function a() {\n  const r = send({\n    id: next(),\n    to: 1,\n  })\n  log(r)\n  return wrap(`${x(}`)\n}\n"
+    assert around("m.ts", ts, 3) == around("m.ts", ts, 2) == "const r = send({\n    id: next(),\n    to: 1,\n  })"
+    assert around("m.ts", ts, 6) == "log(r)"
+    long = "f(\n" + "  1,\n" * 40 + ");\n"
+    assert around("m.ts", long, 1).count("\n") == 19 and around("m.txt", "a\nb\nc", 2) == "a\nb\nc"
 
 
 def test_each_language_of_a_document_is_a_file(df, spark, tmp_path):

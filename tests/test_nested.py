@@ -109,3 +109,15 @@ def test_long_records_that_do_not_parse_raise(df, monkeypatch):
     monkeypatch.setattr(nested, "LONG", 4)
     with pytest.raises(Exception, match="MALFORMED_RECORD|VARIANT"):
         rows.select(nested.parsed("json").cast("string")).collect()
+
+
+def test_paths_that_read_alike_have_tables_of_their_own(df):
+    records = df([(1, 0, '{"a.b": [1, 2], "a": {"b": [3]}}')], "key bigint, seq int, json string")
+    tables = nested.flatten(records)
+    assert sorted(tables) == ["", "a.b[]", "a.b_2[]"]
+    assert sorted(sorted(r.value for r in t.collect()) for name, t in tables.items() if name) == [[1, 2], [3]]
+
+
+def test_too_deep_objects_are_told():
+    with pytest.raises(ValueError, match="nested deeper"):
+        nested.embedded_objects('{"tests": ' * 200_000, ("tests",))
